@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, token_counts
+from . import decontaminate, media, mixing, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op3_mixing": mixing.query,
         "op6_media_columns": media.query,
+        "op8_simhash": simhash.query,
         "op9_decontamination": decontaminate.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.oracle()}
+    return {"op3_mixing": mixing.oracle(), "op9_decontamination": decontaminate.oracle()}
