@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, mixing, simhash, token_counts
+from . import decontaminate, linkrank, media, mixing, simhash, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_link_trust": linkrank.query,
         "op3_mixing": mixing.query,
         "op6_media_columns": media.query,
+        "op7_warc": warc.query,
         "op8_simhash": simhash.query,
         "op9_decontamination": decontaminate.query,
         "op10_token_counts": token_counts.query,
@@ -16,4 +18,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle(), "op9_decontamination": decontaminate.oracle()}
+    return {
+        "op1_link_trust": linkrank.oracle(),
+        "op3_mixing": mixing.oracle(),
+        "op7_warc": warc.oracle(),
+        "op9_decontamination": decontaminate.oracle(),
+    }
