@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linkrank, media, mixing, simhash, token_counts, warc
+from . import decontaminate, fuzzy_lines, linkrank, media, mixing, simhash, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_link_trust": linkrank.query,
         "op3_mixing": mixing.query,
+        "op4_fuzzy_lines": fuzzy_lines.query,
         "op6_media_columns": media.query,
         "op7_warc": warc.query,
         "op8_simhash": simhash.query,
