@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, linkrank, media, mixing, simhash, token_counts, warc
+from . import decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_link_trust": linkrank.query,
+        "op2_ordinal_quality": ordinal.query,
         "op3_mixing": mixing.query,
         "op4_fuzzy_lines": fuzzy_lines.query,
         "op6_media_columns": media.query,
