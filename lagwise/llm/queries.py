@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, token_counts, warc
+from . import decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ordinal_quality": ordinal.query,
         "op3_mixing": mixing.query,
         "op4_fuzzy_lines": fuzzy_lines.query,
+        "op5_string_kernel_toxicity": toxicity.query,
         "op6_media_columns": media.query,
         "op7_warc": warc.query,
         "op8_simhash": simhash.query,
