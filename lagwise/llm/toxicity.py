@@ -115,7 +115,7 @@ class Landmarks:
     """The landmarks' subsequences, for the similarity of any words to each of them."""
 
     def __init__(self, names: tuple[str, ...]):
-        row, code, weight = subsequences(list(names))
+        row, code, weight = subsequences([_pieces(n)[0] for n in names])
         norm = np.sqrt(np.bincount(row, weight**2, len(names)))
         used, at = np.unique(code, return_inverse=True)
         self.place = np.full(1 << 18, -1, np.int32)
@@ -251,7 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     names = tuple(choose_landmarks(sample, count)) if seen == {0, 1} else ()
     if not names:
         return KernelModel((), (), 10.0 if seen == {1} else -10.0)
-    gram = Landmarks(names).similar(list(names))[1].astype(np.float64)
+    gram = np.zeros((len(names), len(names)))
+    at, near = Landmarks(names).similar(list(names))
+    gram[at] = near
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
