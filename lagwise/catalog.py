@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lagwise.plans import team_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**team_queries.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**team_queries.SQL}
