@@ -37,7 +37,7 @@ FLOOR = 0.4
 #: Longer words are compared in pieces of this length that overlap by OVERLAP.
 PIECE, OVERLAP = 32, 12
 #: Words whose similarities one Python worker remembers.
-REMEMBER = 100_000
+REMEMBER = 200_000
 _WORDS_AT_ONCE = 4_096
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
@@ -93,6 +93,8 @@ def _letters(pieces: list[str]) -> np.ndarray:
 
 def subsequences(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """piece, subsequence, weight: each triple of letters of each piece once, in order."""
+    if not pieces:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     c = _letters(pieces)
     rows, codes, weights = [], [], []
     for a, b in _TRIPLES:
@@ -122,8 +124,24 @@ class Landmarks:
         self.place[used] = np.arange(len(used))
         self.of = np.zeros((len(used), len(names)), np.float32)
         np.add.at(self.of, (at, row), weight / norm[row])
+        # the most that a subsequence adds to the similarity to any landmark
+        self.peak = np.zeros(1 << 18, np.float32)
+        self.peak[used] = self.of.max(axis=1)
         self.n = len(names)
 
+    def hopeful(self, pieces: list[str]) -> np.ndarray:
+        """Which pieces may reach FLOOR: the sum of all that their subsequences can add
+        is bounded, and so, by its number of letters, is a piece's own length."""
+        c = _letters(pieces)
+        size = np.array([len(p) for p in pieces])
+        most, own = np.zeros(len(pieces), np.float32), np.zeros(len(pieces))
+        for a, b in _TRIPLES:
+            n = c.shape[1] - b
+            if n > 0:
+                most += self.peak[(c[:, :n] << 12) | (c[:, a : a + n] << 6) | c[:, b:]].sum(axis=1) * DECAY ** (b + 1)
+                own += DECAY ** (2 * b + 2) * np.maximum(size - b, 0)
+        return most >= FLOOR * np.sqrt(own) * 0.999
+
     def similar(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which words are similar to some landmark at all, and their similarities,
         raised to POWER; those below FLOOR count as 0."""
@@ -132,12 +150,13 @@ class Landmarks:
             part = found[first : first + _WORDS_AT_ONCE]
             cut = [_pieces(w) for w in part]
             owner = np.repeat(np.arange(len(part)), [len(p) for p in cut])
-            row, code, weight = subsequences([x for p in cut for x in p])
+            pieces = [x for p in cut for x in p]
+            near = np.flatnonzero(self.hopeful(pieces))
+            owner = owner[near]
+            row, code, weight = subsequences([pieces[i] for i in near])
             norm = np.sqrt(np.bincount(row, weight**2, len(owner)))
             at = self.place[code]
-            # the part of a word's length that lies in the landmarks' space bounds its similarity
-            reach = np.sqrt(np.bincount(row, np.where(at >= 0, weight, 0) ** 2, len(owner)))
-            hit = (at >= 0) & (reach >= FLOOR * norm)[row]
+            hit = at >= 0
             row, at, weight = row[hit], at[hit], weight[hit].astype(np.float32)
             if not len(row):
                 continue
@@ -170,10 +189,11 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
     size = 0
 
     def done():
-        new = sorted(set().union(*part) - known.keys())
+        new = set().union(*part) - known.keys()
         if len(known) + len(new) > REMEMBER:
             known.clear()
-            new = sorted(set().union(*part))
+            new = set().union(*part)
+        new = sorted(new, key=len)  # words of about one length fill a table well
         at, rows = marks.similar(new)
         known.update(dict.fromkeys(new))
         known.update(zip((new[i] for i in at), rows, strict=True))
