@@ -62,16 +62,16 @@ def words(text: str | None) -> set[str]:
     if "@" in t or "$" in t:
         t = re.sub(r"(?<=\w)[@$](?=\w)", lambda m: m[0].translate(_STAND_INS), t)
     tokens = _DROPPED.sub("", t).split()
-    out, run = set(tokens), []
-    for w in tokens:
-        if len(w) == 1:
-            run.append(w)
-        elif run:
-            if len(run) > 2:
-                out.add("".join(run))
-            run = []
-    if len(run) > 2:
-        out.add("".join(run))
+    out = set(tokens)
+    if sum([len(w) == 1 for w in out]) > 1:
+        run: list[str] = []
+        for w in [*tokens, ""]:
+            if len(w) == 1:
+                run.append(w)
+            elif run:
+                if len(run) > 2:
+                    out.add("".join(run))
+                run = []
     return {w for w in out if len(w) > 2}
 
 
@@ -182,24 +182,25 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
     key = hashlib.sha256("\0".join(names).encode("utf-8", "surrogatepass")).digest()
     if key not in _known:
         _known.clear()
-        _known[key] = (Landmarks(names), {})
-    marks, known = _known[key]
+        _known[key] = (Landmarks(names), set(), {})
+    marks, known, near = _known[key]
     none = np.zeros(len(names), np.float32)
     part: list[set[str]] = []
     size = 0
 
     def done():
-        new = set().union(*part) - known.keys()
+        new = set().union(*part) - known
         if len(known) + len(new) > REMEMBER:
             known.clear()
+            near.clear()
             new = set().union(*part)
+        known.update(new)
         new = sorted(new, key=len)  # words of about one length fill a table well
         at, rows = marks.similar(new)
-        known.update(dict.fromkeys(new))
-        known.update(zip((new[i] for i in at), rows, strict=True))
+        near.update(zip((new[i] for i in at), rows, strict=True))
         for found in part:
-            near = [x for x in map(known.get, found) if x is not None]
-            yield np.log1p(np.sum(near, axis=0)) if near else none
+            rows = [near[w] for w in near.keys() & found]
+            yield np.log1p(np.sum(rows, axis=0, dtype=np.float64)) if rows else none
 
     for t in texts:
         part.append(words(t))
