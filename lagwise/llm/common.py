@@ -44,8 +44,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def null_safe(a, b):
-    return a.eqNullSafe(b)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., which clash with nothing, and the new name
+    of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 WINDOW = 13
 #: The automaton is held by every worker, so the benchmark's texts must fit this bound.
 MAX_BENCHMARK_BYTES = 64 << 20
@@ -138,9 +140,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated",
                                               *["hit_spans"] * spans])
 
-    out = docs.withColumn("_found", found(F.col(text)))
+    held_as = free_name(docs, "found")
+    out = docs.withColumn(held_as, found(F.col(text)))
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["hit_spans"] * spans]
-    return out.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
+    return out.withColumns({n: F.col(f"{held_as}.{n}") for n in names}).drop(held_as)
 
 
 def query(spark, sf_dir):

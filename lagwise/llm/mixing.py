@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 #: A word is a run of anything but the blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -77,17 +79,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     group = ["_null", "_source", "_class", "_salt"]
     results = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in results]
-    sized = _sized(docs.select(kept), doc_id, text, source)
+    plain, names = numbered(docs)
+    kept = [F.col(n).alias(c) for c, n in names.items() if c not in results]
+    sized = _sized(plain, names[doc_id], names[text], names[source])
     groups = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("_count"), F.sum("_size").alias("_total"))
     ahead = Window.partitionBy("_null", "_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_start", F.coalesce(F.sum("_count").over(ahead), F.lit(0)))
     plan = starts.join(source_plan(groups, weights, limit, seed), ["_null", "_source"]).select(
         *group, "_start", "source_size", "target", "_rate", "_shift")
-    place = Window.partitionBy(*group).orderBy(doc_id, "_size", "_tie")
+    place = Window.partitionBy(*group).orderBy(names[doc_id], "_size", "_tie")
     at = F.col("_start") + F.col("_place")
     crossed = F.floor(F.col("_rate") * at + F.col("_shift")) - F.floor(F.col("_rate") * (at - 1) + F.col("_shift"))
-    out = sized.withColumn("_tie", F.xxhash64(text)).withColumn("_place", F.row_number().over(place)).join(plan, group)
+    out = sized.withColumn("_tie", F.xxhash64(names[text])).withColumn("_place", F.row_number().over(place)).join(plan, group)
     return (out.withColumn("size", F.col("_size")).withColumn("copies", F.least(crossed, F.lit(limit)).cast("long"))
             .withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *results))
 

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 #: Hash buckets of trigrams; the mark of repeated words comes after them.
 BUCKETS = 2_048
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
 
     rated = ratings.where(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).groupBy(doc_id).agg(F.min(grade).cast("int").alias("_grade"))
     sample = stage(rated.orderBy(F.xxhash64(doc_id), doc_id).limit(rows))
-    texts = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)
+    texts = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # at most rows ids
     data = stage(texts.select("_grade", features(text).alias("x")))
     grades = sorted(r[0] for r in data.select("_grade").distinct().limit(MAX_GRADES + 1).collect())
     if len(grades) > MAX_GRADES:
@@ -107,12 +107,14 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
             expected = grades[0] + tails @ np.diff(grades) if len(grades) else np.full(len(z), None)
             yield pd.DataFrame({"expected_grade": expected, "tails": list(tails)})
 
-    out = docs.withColumn("_scored", scored(F.col(text)))
-    return out.withColumns({"expected_grade": F.col("_scored.expected_grade"), "tails": F.col("_scored.tails")}).drop("_scored")
+    held_as = free_name(docs, "scored")
+    out = docs.withColumn(held_as, scored(F.col(text)))
+    return out.withColumns({n: F.col(f"{held_as}.{n}") for n in ("expected_grade", "tails")}).drop(held_as)
 
 
 def select(docs: DataFrame, model: OrdinalModel, text: str = "text", grade: int = KEEP_GRADE, chance: float = KEEP_CHANCE) -> DataFrame:
-    """docs plus expected_grade, tail (the chance of grade or more) and selected."""
+    """docs plus expected_grade, tail (the chance of grade or more) and selected. Columns
+    named like these, or tails, are replaced."""
     at = next((i for i, g in enumerate(model.grades[1:]) if g >= grade), None)
     # a grade no rating reaches has the chance 0, unless nothing was learnt at all
     tail = F.get("tails", F.lit(at)) if at is not None else F.lit(0.0 if len(model.grades) > 1 else 1.0)

@@ -1,0 +1,102 @@
+"""The registered queries against their SQL, and the pipeline stage by stage."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from lagwise.llm import decontaminate, fuzzy_lines, mixing, ordinal, queries, simhash
+from lagwise.llm.common import table
+
+duckdb = pytest.importorskip("duckdb")
+SF = "/root/testdata/sf0.001"
+TABLES = ["documents", "pages", "benchmark", "labels", "conversations", "embeddings"]
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in TABLES:
+        if os.path.exists(f"{SF}/{t}.parquet"):
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, db, name):
+    df = queries.queries()[name](spark, SF)
+    found = db.sql(queries.oracle_sql()[name])
+    order = sorted(df.columns)
+    assert order == sorted(found.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    a = sorted(repr([plain(r[c]) for c in order]) for r in df.collect())
+    b = sorted(repr([plain(r[found.columns.index(c)]) for c in order]) for r in found.fetchall())
+    assert a == b
+
+
+def test_registered():
+    names = entry.queries()
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names
+
+
+@pytest.mark.parametrize("name", ["op2_ordinal_quality", "op4_fuzzy_lines", "op5_string_kernel_toxicity", "op6_media_columns", "op8_simhash", "op10_token_counts"])
+def test_every_document_returns(spark, name):
+    got = queries.queries()[name](spark, SF)
+    docs = table(spark, SF, "documents")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_pipeline_stages(spark):
+    start = table(spark, SF, "documents").withColumn("extra", F.lit("kept"))
+    docs = start.collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontaminate", "mix"]
+    for name, step in corpus_pipeline.STAGES:
+        before = spark.createDataFrame(docs, start.schema)
+        out = step(spark, before, SF)
+        rows = out.collect()
+        old = {r.doc_id: r for r in docs}
+        if name == "quality":
+            model = ordinal.fit(before, ordinal.ratings(table(spark, SF, "labels")))
+            kept = {r.doc_id for r in ordinal.select(before, model).where("tail >= 0.5").collect()}
+            assert {r.doc_id for r in rows} == kept and 0 < len(kept) < len(docs)
+        if name == "lines":
+            assert {r.doc_id for r in rows} == set(old) and all(r.n_chars == len(r.text) for r in rows)
+            assert sum(len(r.text) for r in rows) < sum(len(r.text) for r in docs)
+            again = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, start.schema)).agg(F.sum("n_removed")).first()[0]
+            assert again <= 2
+        if name == "near_duplicates":
+            groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
+            assert {r.doc_id for r in rows} == set(groups.values())
+        if name == "decontaminate":
+            bench = table(spark, SF, "benchmark")
+            ids, patterns = decontaminate.benchmark_patterns(bench, decontaminate.WINDOW, "item_id", "text")
+            machine = decontaminate.automaton(patterns)
+            clean = set()
+            for r in docs:
+                n, ranges, _ = decontaminate.scan(r.text, machine)
+                hit = sum(b - a + 1 for a, b in ranges)
+                if not (hit and 20 * hit >= n):
+                    clean.add(r.doc_id)
+            assert {r.doc_id for r in rows} == clean
+        if name == "mix":
+            copies = {r.doc_id: r.copies for r in mixing.mix(before).where("size > 0").collect()}
+            got = {}
+            for r in rows:
+                got[r.doc_id] = got.get(r.doc_id, 0) + 1
+            assert got == {i: n for i, n in copies.items() if n} and out.columns == [*start.columns, "copy"]
+            break
+        assert out.columns == start.columns and all(r.extra == "kept" for r in rows)
+        if name != "lines":
+            assert all(r == old[r.doc_id] for r in rows)
+        docs = rows
+    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_of_nothing(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, SF)
+        assert out.count() == 0
