@@ -70,16 +70,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = F.col("u"), F.col("v")
     cur = stage(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u > v").distinct())
+    # edges have at most twice as many nodes, which bounds the tables of minima
+    hint = F.broadcast if 2 * cur.count() <= BROADCAST_ROWS else lambda df: df
     last = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node points to the node's minimum
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(least, "u")
+        large = (both.where("v > u").join(hint(least), "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         # small star: every smaller neighbour, and the node, point to the minimum
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
+        met = large.join(hint(low), "u")
         small = (met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         cur = stage(small)
