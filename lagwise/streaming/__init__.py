@@ -1 +1 @@
-
+"""Nothing here: all tables that the library works on are read in batches."""
