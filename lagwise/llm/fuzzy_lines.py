@@ -18,10 +18,9 @@ SIMILAR = 0.8
 #: its range, so lines of similarity s share one with chance s**3:
 #: 1 - (1 - 0.8**3)**8 = 99.7 % at 0.8.
 BANDS, BAND_ROWS = 8, 3
-#: A line's shingles are those at the start of words, a sixth of all, if it has so many
-#: words; with fewer than BOTH_BELOW all its shingles count too. Two lines are compared
-#: by all shingles if both have them, else by those at the start of words.
-SAMPLED_FROM, BOTH_BELOW = 16, 24
+#: Every line is signed and compared by all its shingles: none has so many words that a
+#: sample of them would do.
+SAMPLED_FROM = BOTH_BELOW = float("inf")
 
 
 def normal(line: Column) -> Column:
@@ -42,41 +41,54 @@ def _all_shingles(norm: Column) -> Column:
     return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(every)
 
 
-def _word_shingles(norm: Column) -> Column:
-    return F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]+ *"), F.lit(1))
-
-
-def _hashes(lines: DataFrame) -> DataFrame:
-    """lines plus sampled and full, the different hashes of the shingles of each kind in
-    order; null for lines that aren't signed by it."""
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    kinds = {"sampled": (words >= SAMPLED_FROM, _word_shingles(F.col("norm"))), "full": (words < BOTH_BELOW, _all_shingles(F.col("norm")))}
-    out = lines.withColumns({k: F.when(ok, F.transform(found, lambda s: F.xxhash64(s))) for k, (ok, found) in kinds.items()})
-    return out.withColumns({k: F.array_distinct(F.sort_array(k)) for k in kinds})
+def _hashes(lines: DataFrame, shingles=_all_shingles) -> DataFrame:
+    """lines plus shingles, the different hashes of their shingles in order."""
+    hashes = F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))
+    return lines.withColumn("shingles", F.array_distinct(F.sort_array(hashes)))
 
 
 def _range_starts() -> list[int]:
     return [(b << 64) // BANDS - (1 << 63) for b in range(BANDS)]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def _starts() -> Column:
+    return F.array(*[F.lit(x) for x in _range_starts()])
+
+
+def signatures(lines: DataFrame, shingles=_all_shingles) -> DataFrame:
     """lines without norm, and keys: the band keys of each line.
 
     The starts of the ranges are sorted in among the hashes and found again by their
     places, so no function is called per hash and band. A range with too few hashes
     takes those that follow, round the end to the first."""
     rest = [c for c in lines.columns if c != "norm"]
-    starts = F.array(*[F.lit(x) for x in _range_starts()])
-    kinds = ("sampled", "full")
-    placed = _hashes(lines).select(*rest, *[F.sort_array(F.concat(k, starts)).alias(f"_{k}") for k in kinds],
-                                   *[F.concat(k, F.slice(k, 1, BAND_ROWS)).alias(k) for k in kinds])
+    placed = _hashes(lines, shingles).select(*rest, F.sort_array(F.concat("shingles", _starts())).alias("_placed"),
+                                             F.concat("shingles", F.slice("shingles", 1, BAND_ROWS)).alias("_round"))
     keys = []
-    for family, kind in enumerate(kinds):
-        for b, start in enumerate(_range_starts()):
-            # the starts up to this one stand before its hashes too
-            least = F.slice(kind, (F.array_position(f"_{kind}", F.lit(start)) - b).cast("int"), BAND_ROWS)
-            keys.append(F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(family * BANDS + b), least)))
-    return placed.select(*rest, F.array_compact(F.array(*keys)).alias("keys"))
+    for b, start in enumerate(_range_starts()):
+        # the starts up to this one stand before its hashes too
+        least = F.slice("_round", (F.array_position("_placed", F.lit(start)) - b).cast("int"), BAND_ROWS)
+        keys.append(F.xxhash64(F.lit(b), least))
+    return placed.select(*rest, F.array(*keys).alias("keys"))
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """sets plus n, the number of shingles, and marks: for each range of hashes a bitmap
+    of their last six bits."""
+    placed = sets.withColumn("_placed", F.sort_array(F.concat("shingles", _starts())))
+    ends = F.array(*[F.array_position("_placed", F.lit(x)).cast("int") for x in _range_starts()], F.size("_placed") + 1)
+    marks = [F.expr(f"aggregate(slice(_placed, _ends[{b}] + 1, _ends[{b + 1}] - _ends[{b}] - 1), 0L, (m, h) -> m | shiftleft(1L, cast(h & 63 as int)))")
+             for b in range(BANDS)]
+    return (placed.withColumn("_ends", ends).withColumns({"marks": F.array(*marks), "n": F.size("shingles")})
+            .drop("_placed", "_ends"))
+
+
+def _near(a: str, b: str) -> Column:
+    """False only for pairs that can't be alike: each bit in which the marks differ
+    stands for a shingle or more that only one of the two has."""
+    differing = sum(F.bit_count(F.get(f"{a}marks", F.lit(i)).bitwiseXOR(F.get(f"{b}marks", F.lit(i)))) for i in range(BANDS))
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (differing * (1 + SIMILAR) <= (n + m) * (1 - SIMILAR) + 1e-6) & (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-6)
 
 
 def _once(value: Column, use) -> Column:
@@ -85,19 +97,14 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    return _once(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (u, v) with j, the Jaccard similarity of the lines' sets of shingles (as
-    64-bit hashes); whole: whether all their shingles were compared; v_whole: whether v
-    has all its shingles. Lines of quite different lengths have the similarity 0."""
-    sides = [sets.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("sampled", "full")]) for i in "uv"]
-    met = pairs.join(sides[0], "u").join(sides[1], "v")
-    whole = F.col("u_full").isNotNull() & F.col("v_full").isNotNull()
-    j = F.when(whole, _jaccard(F.col("u_full"), F.col("v_full"))).otherwise(_jaccard(F.col("u_sampled"), F.col("v_sampled")))
-    return met.select("u", "v", F.coalesce(j, F.lit(0.0)).alias("j"), whole.alias("whole"), F.col("v_full").isNotNull().alias("v_whole"))
+def _alike(pairs: DataFrame, marked: DataFrame, shingles) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of SIMILAR or
+    more. Texts meet, not sets, which are several times larger."""
+    met = pairs
+    for i in "uv":
+        met = met.join(marked.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
+    both = F.size(F.array_intersect(shingles(F.col("u_norm")), shingles(F.col("v_norm"))))
+    return met.where(_once(both, lambda k: k / (F.col("u_n") + F.col("v_n") - k)) >= SIMILAR).select("u", "v")
 
 
 def _rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
@@ -108,32 +115,25 @@ def _rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame) -> DataFrame:
     """u, v: lines of one bucket and different roots that may be alike.
 
-    members: key, id, root, and j, whole, v_whole of the comparison with the bucket's
-    pivot (null for the pivot). 1 - j is a metric among sets of one kind, so lines
-    whose distances from a pivot differ by over 1 - SIMILAR can't be alike; a pair has
-    to pass this in every bucket that it shares."""
-    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    members: key, id, root, marks, n."""
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     # lines of the component with most of the bucket's lines meet only the others
-    most = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    most = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     opened = stage(members.join(most.select("key", "main"), "key"))
-    stray = opened.where("root <> main").select("key", F.col("id").alias("s"), *[F.col(c).alias(f"s_{c}") for c in ("root", "j", "whole", "v_whole")])
-    met = opened.join(stray, "key").where("root <> s_root")
-    pivot = F.col("j").isNull() | F.col("s_j").isNull()
-    one_kind = (F.col("whole") == F.col("s_whole")) & (F.col("whole") | ~(F.col("v_whole") & F.col("s_v_whole")))
-    apart = F.when(pivot | one_kind, F.abs(F.coalesce("j", F.lit(1.0)) - F.coalesce("s_j", F.lit(1.0)))).otherwise(0.0)
-    near = met.groupBy(F.least("id", "s").alias("u"), F.greatest("id", "s").alias("v")).agg(F.max(apart).alias("apart"))
-    return near.where(F.col("apart") <= 1 - SIMILAR + 1e-9).select("u", "v")
+    stray = opened.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
+    met = opened.join(stray, "key").where((F.col("root") != F.col("s_root")) & _near("", "s_"))
+    return met.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
+def similar_lines(lines: DataFrame, signed: DataFrame, shingles=_all_shingles) -> DataFrame:
     """node, root: components of the lines (norm, id; repeats allowed) that are linked
     by a similarity of SIMILAR or more and share a band. signed has their id and keys.
 
     In each bucket all lines first meet one of them, the pivot, another in each band.
     In buckets that this leaves with several components, the lines outside the largest
-    then meet those of other components, but for pairs that their distances from the
-    pivots rule out. No link that would join two components is lost, and a component's
-    own lines aren't compared with each other."""
+    then meet those of other components. Texts meet only where marks don't rule the
+    pair out. No link that would join two components is lost, and a component's own
+    lines aren't compared with each other."""
     bands = signed.select("id", F.explode("keys").alias("key"))
     # the exclusive or with the key puts the ids of each bucket in an order of its own
     turned = F.col("id").bitwiseXOR(F.col("key"))
@@ -142,11 +142,14 @@ def similar_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
     members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key").select("key", "id", "pivot").distinct())
     wanted = stage(members.select("id").distinct())
     held = lines.select("id", "norm").join(broadcast_if_small(wanted, 1_000_000), "id").groupBy("id").agg(F.first("norm").alias("norm"))
-    sets = stage(_hashes(held).drop("norm"))
-    star = stage(_compared(members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct(), sets))
-    tied = components(star.where(F.col("j") >= SIMILAR))
-    rooted = _rooted(members, tied).join(star.withColumnsRenamed({"u": "pivot", "v": "id"}), ["pivot", "id"], "left")
-    found = stage(_compared(_open_pairs(rooted), sets).where(F.col("j") >= SIMILAR).select("u", "v"))
+    texts = stage(_marked(_hashes(held, shingles)).drop("shingles"))
+    marked = texts.select("id", "marks", "n")
+    star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    for i in "uv":
+        star = star.join(marked.select(*[F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in marked.columns]), i)
+    tied = components(_alike(stage(star.where(_near("u_", "v_")).select("u", "v")), texts, shingles))
+    rooted = _rooted(members, tied).join(marked, "id").select("key", "id", "root", "marks", "n")
+    found = stage(_alike(stage(_open_pairs(rooted)), texts, shingles))
     if not found.limit(1).count():
         return tied
     return components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))

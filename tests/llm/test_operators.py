@@ -218,6 +218,19 @@ def test_lines_odd(spark, odd, none):
     assert fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_long_lines_are_compared_whole(spark):
+    """Lines of words with one start, and lines of long words with few edits after it."""
+    rng = np.random.default_rng(5)
+    urls = [[f"https://{rng.integers(10**9)}.example/{rng.integers(10**9)}" for _ in range(30)] for _ in range(12)]
+    edited = [u[:-1] + "?" if i % 3 == 0 else u for i, u in enumerate(urls[0])]
+    lines = [" ".join(x) for x in [*urls, edited]]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    near = {(a, b) for a in range(13) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == {(12, 0)}
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("n_removed = 1").collect()} == {12}
+
+
 # 5
 
 
