@@ -2,7 +2,7 @@
 
 1. quality: documents that the ordinal classifier rejects go.
 2. lines: of equal and similar lines one stays.
-3. near_duplicates: of each SimHash group one document stays.
+3. near_duplicates: of documents whose five-word shingles are similar to 0.8 one stays.
 4. decontaminate: documents contaminated by benchmark items go.
 5. mix: sources are sampled to their target weights.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate as _decontaminate
-from lagwise.llm import fuzzy_lines, mixing, ordinal, simhash
+from lagwise.llm import fuzzy_lines, mixing, ordinal
 from lagwise.llm.common import stage, table
 
 
@@ -34,8 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id in each group of near copies."""
-    return simhash.dedup(docs)
+    """The document of the least id in each group of near copies. SimHash at op8's two
+    bits would keep many of them, so candidates come from MinHash bands."""
+    return fuzzy_lines.dedup_texts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,6 +155,38 @@ def similar_lines(lines: DataFrame, signed: DataFrame, shingles=_all_shingles) -
     return components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 
 
+def _word_runs(width: int):
+    """Shingles of width words, which stand apart by one blank; a shorter text is one."""
+
+    def of(norm: Column) -> Column:
+        every = F.regexp_extract_all(norm, F.lit(f"(?=([^ ]+(?: [^ ]+){{{width - 1}}}))[^ ]+"), F.lit(1))
+        return F.when(F.size(every) == 0, F.array(norm)).otherwise(every)
+
+    return of
+
+
+def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, component_id (smallest id reachable by links), one row per row of docs.
+
+    Texts, without case and with blanks alike, are linked by a similarity of SIMILAR or
+    more of their shingles of width words. Null, empty and blank texts are equal. A null
+    id gets its group's smallest id, null if it has none."""
+    norm = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm")).withColumn("id", F.xxhash64("norm"))
+    shingles = _word_runs(width)
+    signed = stage(signatures(rows, shingles))
+    placed = _rooted(signed.drop("keys"), stage(similar_lines(rows, signed.select("id", "keys"), shingles)))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root").select("doc_id", "component_id")
+
+
+def dedup_texts(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs without those that a document of a smaller id is near. Rows of one
+    doc_id are one document: they stay or go together; null ids stay."""
+    gone = stage(near_texts(docs, width=width).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, line_no of the lines that go: all but the first of each component, in order
     of doc_id and place. Lines that are equal (but for case and blanks at their ends)

@@ -386,6 +386,31 @@ def test_simhash(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "7", "8", "9", "None"]
 
 
+def test_near_texts_by_brute_force(spark, none):
+    """The pipeline's stage: word edits up to a similarity of 0.8 and somewhat below."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(100, 400))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            for k in rng.integers(0, len(words), rng.integers(1, 5)):
+                words[k] = f"v{rng.integers(3000)}"
+            texts.append(" ".join(words))
+    texts += ["one two", "One  two\n", "one two three", "", " "]
+    split = [x.lower().split() for x in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, r in enumerate(components_of(len(texts), near)) if i == r}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    # a pair at 0.8 shares no band once in some hundred times
+    assert want <= kept and len(kept - want) <= 1 and len(near) > 90
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
 # 9
 
 
