@@ -28,6 +28,12 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
+def _harmless(url: str):
+    """url in one line, with the dot of a magic at its end, where the line's end would
+    complete it, percent-encoded."""
+    return F.regexp_replace(F.regexp_replace(url, r"[\r\n]", ""), r"WARC/1\.0\z", "WARC/1%2E0")
+
+
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
             revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """record: the text of one WARC record per row of pages, without its end mark.
@@ -36,7 +42,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     page_id is the response and the others revisit it (rows that repeat its id are
     responses too; a null id is never the largest). Null html is an empty payload;
     a null url leaves its field out."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.regexp_replace(url, r"[\r\n]", "").alias("url"),
+    rows = pages.select(F.col(page_id).alias("page_id"), _harmless(url).alias("url"),
                         F.coalesce(F.col(html), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
     keep = (rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest")
@@ -152,7 +158,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     or a whole record inside a payload is passed over. A record whose payload holds
     a magic is put together from its parts in a second pass over the files, which
     is left out if there is none. A revisit's size and digest are those it states
-    of the payload that it revisits. An empty folder of archives gives no rows."""
+    of the payload that it revisits. An empty folder of archives gives no rows. An
+    archive whose chain doesn't end with its last byte is refused."""
     found = stage(_chunks(spark, path).mapInPandas(_candidates, _CANDIDATE))
     sums = found.groupBy("file", "split").agg(F.sum("bytes").alias("bytes"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,6 +170,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = stage(placed.where("pos >= 0"))
     good = placed.where("successor is not null")
     kept = stage(good.join(reachable(good), ["file", "pos"]))
+    # text is counted with a magic at its end, which the last one of a file hasn't
+    ends = kept.groupBy("file").agg(F.max("successor").alias("end"))
+    sizes = sums.groupBy("file").agg((F.sum("bytes") - len(MAGIC)).alias("size"))
+    broken = sizes.join(ends, "file", "left").where(~F.col("end").eqNullSafe(F.col("size"))).first()
+    if broken:
+        raise ValueError(f"{broken.file}: its records end at byte {broken.end} of {broken.size}")
     done = kept.where("whole")
     out = ["type", "page_id", "refers_to", "stated_bytes", "stated_digest", "payload_bytes", "payload_digest"]
     if kept.where("not whole").limit(1).count():

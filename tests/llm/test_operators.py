@@ -343,6 +343,25 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path + "0").count() == 0
 
 
+def test_warc_magic_in_url(spark, tmp_path):
+    urls = ["http://h/WARC/1.0", "WARC/1.0", "http://h/WARC/1.\n0\r\n", "http://h/WARC/1.0?x", "http://h/WARC/1.0\x85"]
+    df = spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls * 3)], "page_id long, url string, html string").coalesce(1)
+    path = "file://" + str(tmp_path / "w")
+    warc.write(df, path)
+    assert sorted(r.page_id for r in warc.read(spark, path).collect()) == list(range(15))
+
+
+@pytest.mark.parametrize("cut", [30, 700])
+def test_warc_torn_archive(spark, tmp_path, cut):
+    df = spark.createDataFrame([(i, "u", f"p{i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, "file://" + str(tmp_path / "w"))
+    (part,) = (tmp_path / "w").glob("part-*")
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "part-0.txt").write_bytes(part.read_bytes()[:-cut])
+    with pytest.raises(ValueError, match="end at byte"):
+        warc.read(spark, "file://" + str(tmp_path / "torn"))
+
+
 def test_reachable(spark):
     chain = [(1, i, i + 3) for i in range(0, 300, 3)] + [(1, 4, 7), (1, 7, 300), (2, 5, 9), (2, 0, 9)]
     got = {tuple(r) for r in warc.reachable(spark.createDataFrame(chain, "file long, pos long, successor long")).collect()}
