@@ -15,6 +15,10 @@ ROUNDS = 10
 #: A host is blocked if its distrust is over its trust by more than this; a host
 #: all of whose pages rules block has a distrust of 1 before any link counts.
 MARGIN = 0.5
+#: Judging goes on until no score can grow by more than TOLERANCE; in more than
+#: MOST_ROUNDS it is given up with an error.
+TOLERANCE = MARGIN * 1e-6
+MOST_ROUNDS = 300
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Target of a link with a host of its own; the group is the host, perhaps with user and port.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
@@ -25,6 +29,11 @@ def host_of(url):
     return F.translate(rest, _UPPER, _LOWER)
 
 
+def node_of(host):
+    """The name by which pages and links of a host meet: without user and port."""
+    return F.regexp_replace(host, r"^.*@|:\d*$", "")
+
+
 def path_of(url):
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
@@ -41,17 +50,19 @@ def rule_of(host, path, rules=RULES):
 def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """src, dst, n: links of pages from one host to another."""
     linked = F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER))
-    return (pages.select(F.col(host).alias("src"), F.explode(linked).alias("dst"))
-            .withColumn("dst", F.regexp_replace("dst", r"^.*@|:\d*$", "")).where("src <> dst and src <> '' and dst <> ''")
+    return (pages.select(node_of(F.col(host)).alias("src"), F.explode(linked).alias("dst"))
+            .withColumn("dst", node_of(F.col("dst"))).where("src <> dst and src <> '' and dst <> ''")
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """host, score: PageRank that starts anew at the seeds (host, weight).
 
     edges: src, dst, n. A host's score flows along its edges by n; what a host
     without edges holds is lost. Scores are in units of a seed of weight 1 that no
     link reaches, not shares of the whole, so they mean the same in any corpus.
+    With a tolerance, rounds go on until all scores together can grow by no more than
+    it, and more than `rounds` are an error; without, there are just so many.
     Sums to each host are partial aggregations. Every round is staged in the shared
     folder."""
     home = seeds.select("host", F.col("weight").cast("double").alias("score"))
@@ -59,16 +70,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         return home
     outs = edges.groupBy("src").agg(F.sum("n").alias("out"))
     share = stage(edges.join(outs, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    score = home
+    # what a round adds to the scores is what flows on in the next
+    score = home.withColumn("added", F.col("score"))
     for _ in range(rounds):
-        flow = (share.join(score, share["src"] == score["host"])
-                .select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score")))
-        score = stage(home.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score")))
-    return score
+        flow = (share.join(score.where("added > 0"), share["src"] == score["host"])
+                .select(F.col("dst").alias("host"), (F.col("share") * F.col("added") * damping).alias("score")))
+        score = stage(score.select("host", "score", F.lit(0.0).alias("added")).unionByName(flow.withColumn("added", F.col("score")))
+                      .groupBy("host").agg(F.sum("score").alias("score"), F.sum("added").alias("added")))
+        # all further rounds together add at most damping / (1 - damping) of this one
+        if tolerance is not None and (score.agg(F.sum("added")).first()[0] or 0.0) * damping <= tolerance * (1 - damping):
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"scores did not settle in {rounds} rounds")
+    return score.select("host", "score")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES,
-          damping: float = DAMPING, rounds: int = ROUNDS, margin: float = MARGIN) -> DataFrame:
+          damping: float = DAMPING, rounds: int = MOST_ROUNDS, margin: float = MARGIN, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages.
 
     Pages that a rule fits have the rule's verdict. Hosts seed trust by the share of
@@ -77,20 +96,21 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     link to bad ones. Other pages are blocked if their host's distrust is over its
     trust by more than margin, and allowed otherwise: hosts that nothing reaches, and pages without a host, are
     allowed. A null url has no host and path; null html has no links; an empty table
-    gives no rows, repeated rows each return.
+    gives no rows, repeated rows each return. Pages and links whose hosts differ only in
+    user or port share seeds, links and scores; the column host is as in the url.
     """
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
-    ruled = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    seeds = stage(ruled.where("host <> ''").groupBy("host").agg(
+    ruled = parts.withColumn("node", node_of(F.col("host"))).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    seeds = stage(ruled.where("node <> ''").groupBy(F.col("node").alias("host")).agg(
         (F.count_if(F.col("fit.verdict") == "allow") / F.count(F.lit(1))).alias("good"),
         (F.count_if(F.col("fit.verdict") == "block") / F.count(F.lit(1))).alias("bad")))
     edges = stage(host_edges(parts))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, seeds.where("good > 0").select("host", F.col("good").alias("weight")), damping, rounds)
-    bad = propagate(back, seeds.where("bad > 0").select("host", F.col("bad").alias("weight")), damping, rounds)
+    trust = propagate(edges, seeds.where("good > 0").select("host", F.col("good").alias("weight")), damping, rounds, tolerance)
+    bad = propagate(back, seeds.where("bad > 0").select("host", F.col("bad").alias("weight")), damping, rounds, tolerance)
     scores = (trust.withColumn("distrust", F.lit(0.0)).unionByName(bad.select("host", F.lit(0.0).alias("score"), F.col("score").alias("distrust")))
               .groupBy("host").agg(F.sum("score").alias("trust"), F.sum("distrust").alias("distrust")))
-    out = ruled.drop("html").join(stage(scores), "host", "left")
+    out = ruled.drop("html").join(stage(scores.withColumnRenamed("host", "node")), "node", "left")
     none = F.lit(0.0)
     method = F.when(F.coalesce("distrust", none) - F.coalesce("trust", none) > margin, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"),

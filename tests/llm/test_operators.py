@@ -86,6 +86,22 @@ def test_propagation_like_numpy(spark):
     assert all(got.get(i, 0) == pytest.approx(x[i]) for i in range(12))
 
 
+def test_link_trust_settles(spark):
+    """Distrust that passes the margin only after more than ten rounds, and ports."""
+    a = lambda u: f"<a href='{u}'>"
+    rows = [(0, "http://spam.net/x", "")]
+    for i in range(1, 6):
+        rows += [(i, f"http://a{i}.test/", a("http://spam.net/") + a(f"http://b{i}.test")), (10 + i, f"http://b{i}.test/", a(f"//a{i}.test"))]
+    rows += [(20, "http://liker.test:8080/", a("http://bad.net/")), (21, "http://bad.net/", ""), (22, "http://far.test/", a("http://u@liker.test:8080/y"))]
+    got = {r.page_id: r for r in linkrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # half of a1's links go to b1; against the links spam's distrust is dealt to five
+    assert all(got[i].distrust == pytest.approx(0.17 / 0.2775, abs=1e-5) and got[i].verdict == "block" for i in range(1, 6))
+    assert got[20].host == "liker.test:8080" and got[20].distrust == pytest.approx(0.85)
+    assert got[22].distrust == pytest.approx(0.7225) and got[22].verdict == "block"
+    with pytest.raises(RuntimeError, match="settle"):
+        linkrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rounds=3)
+
+
 # 2
 
 
