@@ -1,8 +1,10 @@
 """Line dedup: MinHash over character shingles, banding, exact Jaccard and
 distributed components, in DataFrame operations only.
 
-A MinHash signature is a sample of a line's hashes by their values: the least of each
-of a few ranges, as in one-permutation hashing."""
+A shingle is a line's 8 characters from any place on. The signature takes a sample of
+them by their content, those that start with a character of SAMPLED, as a MinHash
+signature is a sample of hashes; a line with few of these is signed by all its
+shingles too. Whether two lines are alike is decided on all shingles of both."""
 
 from __future__ import annotations
 
@@ -14,13 +16,20 @@ from .common import broadcast_if_small, components, numbered, stage
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
 SIMILAR = 0.8
+#: Shingles that start with one of these are about a quarter of Latin text, and all of
+#: texts in other scripts.
+SAMPLED = r"[aei0-9\x{80}-\x{10FFFF}]"
+#: Lines with so many sampled shingles are signed by them, lines with less than MANY by
+#: all shingles; those in between by either, so that similar lines have one in common.
+FEW, MANY = 16, 32
 #: Hashes fall into BANDS equal ranges; a band's key is made of the BAND_ROWS least of
-#: its range, so lines of similarity s share one with chance s**3:
-#: 1 - (1 - 0.8**3)**8 = 99.7 % at 0.8.
-BANDS, BAND_ROWS = 8, 3
-#: Every line is signed and compared by all its shingles: none has so many words that a
-#: sample of them would do.
-SAMPLED_FROM = BOTH_BELOW = float("inf")
+#: its range, so lines of similarity s share one with chance s**4:
+#: 1 - (1 - 0.8**4)**10 = 99.5 % at 0.8.
+BANDS, BAND_ROWS = 10, 4
+#: Words of 64 bits in the bitmap of a line's shingles.
+MARKS = 32
+#: A bucket of more lines is crowded: lines meet PIVOTS more of its lines before pairs.
+CROWDED, PIVOTS = 32, 8
 
 
 def normal(line: Column) -> Column:
@@ -29,66 +38,79 @@ def normal(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row (of id and whole text), doc_id, line_no, norm, id: every line that isn't blank."""
+    """row (of id and whole text), doc_id, line_no, norm, id, more: every line that isn't
+    blank. id and more are hashes of norm."""
     rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumn(
-        "id", F.xxhash64("norm"))
+    return lines.select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumns(
+        {"id": F.xxhash64("norm"), "more": F.hash("norm")})
 
 
-def _all_shingles(norm: Column) -> Column:
+def all_shingles(norm: Column) -> Column:
     every = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
     return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(every)
 
 
-def _hashes(lines: DataFrame, shingles=_all_shingles) -> DataFrame:
-    """lines plus shingles, the different hashes of their shingles in order."""
-    hashes = F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))
-    return lines.withColumn("shingles", F.array_distinct(F.sort_array(hashes)))
+def _sampled(norm: Column) -> Column:
+    return F.regexp_extract_all(norm, F.lit(f"(?s)(?=({SAMPLED}.{{{SHINGLE - 1}}}))"), F.lit(1))
 
 
-def _range_starts() -> list[int]:
-    return [(b << 64) // BANDS - (1 << 63) for b in range(BANDS)]
+def _hashes(shingles: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
 
 
-def _starts() -> Column:
-    return F.array(*[F.lit(x) for x in _range_starts()])
+def _range_starts(ranges: int) -> list[int]:
+    return [(b << 64) // ranges - (1 << 63) for b in range(ranges)]
 
 
-def signatures(lines: DataFrame, shingles=_all_shingles) -> DataFrame:
-    """lines without norm, and keys: the band keys of each line.
+def _with_starts(hashes: str, ranges: int) -> Column:
+    return F.sort_array(F.concat(hashes, F.array(*[F.lit(x) for x in _range_starts(ranges)])))
 
-    The starts of the ranges are sorted in among the hashes and found again by their
-    places, so no function is called per hash and band. A range with too few hashes
-    takes those that follow, round the end to the first."""
-    rest = [c for c in lines.columns if c != "norm"]
-    placed = _hashes(lines, shingles).select(*rest, F.sort_array(F.concat("shingles", _starts())).alias("_placed"),
-                                             F.concat("shingles", F.slice("shingles", 1, BAND_ROWS)).alias("_round"))
+
+def _keys(kind: int) -> Column:
+    """The band keys of the column _placed{kind}, null where that is null.
+
+    The starts of the ranges were sorted in among the hashes and are found again by
+    their places, so no function is called per hash and band. A range with too few
+    hashes takes those that follow, round the end to the first."""
     keys = []
-    for b, start in enumerate(_range_starts()):
+    for b, start in enumerate(_range_starts(BANDS)):
         # the starts up to this one stand before its hashes too
-        least = F.slice("_round", (F.array_position("_placed", F.lit(start)) - b).cast("int"), BAND_ROWS)
-        keys.append(F.xxhash64(F.lit(b), least))
-    return placed.select(*rest, F.array(*keys).alias("keys"))
+        least = F.slice(f"_round{kind}", (F.array_position(f"_placed{kind}", F.lit(start)) - b).cast("int"), BAND_ROWS)
+        keys.append(F.xxhash64(F.lit(kind), F.lit(b), least))
+    return F.when(F.col(f"_placed{kind}").isNotNull(), F.array(*keys))
 
 
-def _marked(sets: DataFrame) -> DataFrame:
-    """sets plus n, the number of shingles, and marks: for each range of hashes a bitmap
-    of their last six bits."""
-    placed = sets.withColumn("_placed", F.sort_array(F.concat("shingles", _starts())))
-    ends = F.array(*[F.array_position("_placed", F.lit(x)).cast("int") for x in _range_starts()], F.size("_placed") + 1)
-    marks = [F.expr(f"aggregate(slice(_placed, _ends[{b}] + 1, _ends[{b + 1}] - _ends[{b}] - 1), 0L, (m, h) -> m | shiftleft(1L, cast(h & 63 as int)))")
-             for b in range(BANDS)]
-    return (placed.withColumn("_ends", ends).withColumns({"marks": F.array(*marks), "n": F.size("shingles")})
-            .drop("_placed", "_ends"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """lines without norm, and keys: the band keys of each line's one or two signatures."""
+    rest = [c for c in lines.columns if c != "norm"]
+    norm = F.col("norm")
+    out = lines.withColumn("_some", _sampled(norm))
+    hashed = out.select(*rest, F.when(F.size("_some") >= FEW, _hashes(F.col("_some"))).alias("_hashes0"),
+                        F.when(F.size("_some") < MANY, _hashes(all_shingles(norm))).alias("_hashes1"))
+    placed = hashed.select(*rest, *[_with_starts(f"_hashes{k}", BANDS).alias(f"_placed{k}") for k in (0, 1)],
+                           *[F.concat(f"_hashes{k}", F.slice(f"_hashes{k}", 1, BAND_ROWS)).alias(f"_round{k}") for k in (0, 1)])
+    none = F.array().cast("array<long>")
+    return placed.select(*rest, F.concat(*[F.coalesce(_keys(k), none) for k in (0, 1)]).alias("keys"))
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """texts plus n, the number of shingles, and marks: a bitmap of them, a word for each
+    range of hashes."""
+    placed = texts.withColumn("_hashes", _hashes(all_shingles(F.col("norm")))).select(
+        *texts.columns, F.size("_hashes").alias("n"), _with_starts("_hashes", MARKS).alias("_placed"))
+    ends = F.array(*[F.array_position("_placed", F.lit(x)).cast("int") for x in _range_starts(MARKS)], F.size("_placed") + 1)
+    marks = F.expr(f"""transform(sequence(0, {MARKS - 1}), b -> aggregate(slice(_placed, _ends[b] + 1, _ends[b + 1] - _ends[b] - 1),
+                       0L, (m, h) -> m | shiftleft(1L, cast(h & 63 as int))))""")
+    return placed.withColumn("_ends", ends).withColumn("marks", marks).drop("_placed", "_ends")
 
 
 def _near(a: str, b: str) -> Column:
     """False only for pairs that can't be alike: each bit in which the marks differ
     stands for a shingle or more that only one of the two has."""
-    differing = sum(F.bit_count(F.get(f"{a}marks", F.lit(i)).bitwiseXOR(F.get(f"{b}marks", F.lit(i)))) for i in range(BANDS))
+    differing = sum(F.bit_count(F.get(f"{a}marks", F.lit(i)).bitwiseXOR(F.get(f"{b}marks", F.lit(i)))) for i in range(MARKS))
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (differing * (1 + SIMILAR) <= (n + m) * (1 - SIMILAR) + 1e-6) & (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-6)
+    return (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-6) & (differing * (1 + SIMILAR) <= (n + m) * (1 - SIMILAR) + 1e-6)
 
 
 def _once(value: Column, use) -> Column:
@@ -97,43 +119,80 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def _alike(pairs: DataFrame, marked: DataFrame, shingles) -> DataFrame:
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets of shingles have a Jaccard similarity of SIMILAR or
     more. Texts meet, not sets, which are several times larger."""
     met = pairs
     for i in "uv":
-        met = met.join(marked.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
-    both = F.size(F.array_intersect(shingles(F.col("u_norm")), shingles(F.col("v_norm"))))
+        met = met.join(texts.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
+    both = F.size(F.array_intersect(all_shingles(F.col("u_norm")), all_shingles(F.col("v_norm"))))
     return met.where(_once(both, lambda k: k / (F.col("u_n") + F.col("v_n") - k)) >= SIMILAR).select("u", "v")
 
 
+def _hopeful(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The different pairs (u, v), without those that their marks rule out."""
+    met = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for i in "uv":
+        met = met.join(texts.select(F.col("id").alias(i), F.col("marks").alias(f"{i}_marks"), F.col("n").alias(f"{i}_n")), i)
+    return stage(met.where(_near("u_", "v_")).select("u", "v"))
+
+
 def _rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """members plus the root of their id, which is the id itself if tied has none."""
     return members.join(broadcast_if_small(tied.withColumnRenamed("node", "id")), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """u, v: lines of one bucket and different roots that may be alike.
+def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """tied with the components that links (u, v) joins made one."""
+    known = tied.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return stage(components(known.unionByName(links)))
+
 
-    members: key, id, root, marks, n."""
-    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    # lines of the component with most of the bucket's lines meet only the others
-    most = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    opened = stage(members.join(most.select("key", "main"), "key"))
-    stray = opened.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
-    met = opened.join(stray, "key").where((F.col("root") != F.col("s_root")) & _near("", "s_"))
-    return met.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()
+def _buckets(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """key, id, root, size, main: members of the buckets that hold several components;
+    main is the component with most of a bucket's lines."""
+    placed = _rooted(members.select("key", "id"), tied)
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"),
+                                       F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    return stage(placed.join(broadcast_if_small(stage(several)), "key"))
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame, shingles=_all_shingles) -> DataFrame:
+def _more_pivots(buckets: DataFrame) -> DataFrame:
+    """u, v: lines of crowded buckets with PIVOTS of the bucket's lines that are in other
+    components."""
+    crowded = buckets.where(F.col("size") > CROWDED).select("key", "id", "root")
+    turned = F.col("id").bitwiseXOR(F.col("key"))
+    pivots = crowded.groupBy("key", F.pmod("id", F.lit(PIVOTS)).alias("_turn")).agg(F.min(turned).alias("lo")).select(
+        "key", F.col("lo").bitwiseXOR(F.col("key")).alias("id"))
+    pivots = stage(crowded.join(broadcast_if_small(stage(pivots)), ["key", "id"])).select(
+        "key", F.col("id").alias("v"), F.col("root").alias("v_root"))
+    return crowded.join(broadcast_if_small(pivots), "key").where("root <> v_root").select(F.col("id").alias("u"), "v")
+
+
+def _open_pairs(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: lines of one bucket and different components that may be alike. Lines outside
+    the bucket's main component meet all others; in crowded buckets marks are compared
+    before a pair is made."""
+    small, crowded = buckets.where(F.col("size") <= CROWDED), buckets.where(F.col("size") > CROWDED)
+    few = small.join(small.where("root <> main").select("key", F.col("id").alias("v"), F.col("root").alias("v_root")), "key")
+    marked = stage(crowded.join(texts.select("id", "marks", "n"), "id"))
+    stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
+    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & _near("", "s_"))
+    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), texts).unionByName(
+        stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()))
+
+
+def similar_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """node, root: components of the lines (norm, id; repeats allowed) that are linked
     by a similarity of SIMILAR or more and share a band. signed has their id and keys.
 
-    In each bucket all lines first meet one of them, the pivot, another in each band.
-    In buckets that this leaves with several components, the lines outside the largest
-    then meet those of other components. Texts meet only where marks don't rule the
-    pair out. No link that would join two components is lost, and a component's own
-    lines aren't compared with each other."""
+    In each bucket all lines meet one of them, the pivot, another in each band. In
+    crowded buckets that this leaves with several components, lines meet a few pivots
+    more. Where there are still several, the lines outside the largest then meet those
+    of other components. No link that would join two components is lost, and a
+    component's own lines aren't compared with each other."""
     bands = signed.select("id", F.explode("keys").alias("key"))
     # the exclusive or with the key puts the ids of each bucket in an order of its own
     turned = F.col("id").bitwiseXOR(F.col("key"))
@@ -141,65 +200,31 @@ def similar_lines(lines: DataFrame, signed: DataFrame, shingles=_all_shingles) -
     shared = stage(shared.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("pivot")))
     members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key").select("key", "id", "pivot").distinct())
     wanted = stage(members.select("id").distinct())
-    held = lines.select("id", "norm").join(broadcast_if_small(wanted, 1_000_000), "id").groupBy("id").agg(F.first("norm").alias("norm"))
-    texts = stage(_marked(_hashes(held, shingles)).drop("shingles"))
-    marked = texts.select("id", "marks", "n")
-    star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    for i in "uv":
-        star = star.join(marked.select(*[F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in marked.columns]), i)
-    tied = components(_alike(stage(star.where(_near("u_", "v_")).select("u", "v")), texts, shingles))
-    rooted = _rooted(members, tied).join(marked, "id").select("key", "id", "root", "marks", "n")
-    found = stage(_alike(stage(_open_pairs(rooted)), texts, shingles))
-    if not found.limit(1).count():
-        return tied
-    return components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
-
-
-def _word_runs(width: int):
-    """Shingles of width words, which stand apart by one blank; a shorter text is one."""
-
-    def of(norm: Column) -> Column:
-        every = F.regexp_extract_all(norm, F.lit(f"(?=([^ ]+(?: [^ ]+){{{width - 1}}}))[^ ]+"), F.lit(1))
-        return F.when(F.size(every) == 0, F.array(norm)).otherwise(every)
-
-    return of
-
-
-def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """doc_id, component_id (smallest id reachable by links), one row per row of docs.
-
-    Texts, without case and with blanks alike, are linked by a similarity of SIMILAR or
-    more of their shingles of width words. Null, empty and blank texts are equal. A null
-    id gets its group's smallest id, null if it has none."""
-    norm = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm")).withColumn("id", F.xxhash64("norm"))
-    shingles = _word_runs(width)
-    signed = stage(signatures(rows, shingles))
-    placed = _rooted(signed.drop("keys"), stage(similar_lines(rows, signed.select("id", "keys"), shingles)))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "component_id")
-
-
-def dedup_texts(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without those that a document of a smaller id is near. Rows of one
-    doc_id are one document: they stay or go together; null ids stay."""
-    gone = stage(near_texts(docs, width=width).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    held = lines.select("id", "norm").join(broadcast_if_small(wanted, 1_000_000), "id").distinct()
+    texts = stage(_marked(held))
+    star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    tied = stage(components(_alike(_hopeful(star, texts), texts)))
+    found = stage(_alike(_hopeful(_more_pivots(_buckets(members, tied)), texts), texts))
+    if found.limit(1).count():
+        tied = _merged(tied, found)
+    found = stage(_alike(_open_pairs(_buckets(members, tied), texts), texts))
+    return _merged(tied, found) if found.limit(1).count() else tied
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, line_no of the lines that go: all but the first of each component, in order
     of doc_id and place. Lines that are equal (but for case and blanks at their ends)
-    are one node."""
+    are one node; a line goes as a copy only if both its hashes are the first line's."""
     lines = lines_of(docs, doc_id, text)
     signed = stage(signatures(lines))
-    tied = stage(similar_lines(lines, signed.select("id", "keys")))
+    tied = similar_lines(lines, signed.select("id", "keys"))
     placed = _rooted(signed.drop("keys"), tied)
-    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row", "line_no", "id", "more")).alias("first"),
+                                        F.count(F.lit(1)).alias("n"))
     again = stage(firsts.where("n > 1").select("root", "first"))
-    gone = placed.join(broadcast_if_small(again), "root").where(
-        ~(F.col("row").eqNullSafe(F.col("first.row")) & F.col("line_no").eqNullSafe(F.col("first.line_no"))))
-    return gone.select("row", "line_no")
+    same = F.col("row").eqNullSafe(F.col("first.row")) & F.col("line_no").eqNullSafe(F.col("first.line_no"))
+    copy = (F.col("id") != F.col("first.id")) | (F.col("more") == F.col("first.more"))
+    return placed.join(broadcast_if_small(again), "root").where(~same & copy).select("row", "line_no")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,7 +232,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Of each component of equal or similar lines only the first stays. Blank lines stay
     and count in n_lines. A document all of whose lines go stays, without them. A null
-    text stays null, with 0 lines; a null id comes before all others. Rows that repeat
+    text stays null, with 0 lines; a null id comes before all others. Lines end at line
+    feeds; a carriage return before one belongs to its line. Rows that repeat
     both id and text count as one document and keep the same lines. Columns named like
     the results are replaced. The lines to go are gathered per document only."""
     gone = removed_lines(docs, doc_id, text).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
