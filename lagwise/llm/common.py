@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was staged and counted below this many rows.
 BROADCAST_ROWS = 500_000
+_scopes: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the shared folder of spark.checkpoint.dir.
 
-    Only where the session names no such folder (local runs, tests) is one made
-    on this machine, and set, so that later calls find it."""
+    Only where a local session names no such folder (as in tests) is one made on this
+    machine, and set, so that later calls find it; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lagwise-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lagwise-{uuid.uuid4().hex}"
@@ -35,7 +39,33 @@ def stage(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table of which no later result is made."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Tables staged inside are deleted at the end, but for those given to what this yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scopes.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                unstage(df)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,7 +114,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         met = large.join(hint(low), "u")
         small = (met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        cur = stage(small)
+        before, cur = cur, stage(small)
+        unstage(before)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")),
                       F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:

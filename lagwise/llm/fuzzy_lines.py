@@ -1,224 +1,150 @@
 """Line dedup: MinHash over character shingles, banding, exact Jaccard and
-distributed components, in DataFrame operations only.
+distributed components.
 
-A shingle is a line's 8 characters from any place on. The signature takes a sample of
-them by their content, those that start with a character of SAMPLED, as a MinHash
-signature is a sample of hashes; a line with few of these is signed by all its
-shingles too. Whether two lines are alike is decided on all shingles of both."""
+A shingle is a line's 8 characters from any place on. Lines are signed in NumPy, many at
+a time: signing every shingle in DataFrame operations took more than the time there is."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, numbered, stage
+from .common import broadcast_if_small, numbered, stage
+from .linking import linked, marked, mixed, rooted, similar
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
-SIMILAR = 0.8
-#: Shingles that start with one of these are about a quarter of Latin text, and all of
-#: texts in other scripts.
-SAMPLED = r"[aei0-9\x{80}-\x{10FFFF}]"
-#: Lines with so many sampled shingles are signed by them, lines with less than MANY by
-#: all shingles; those in between by either, so that similar lines have one in common.
-FEW, MANY = 16, 32
-#: Hashes fall into BANDS equal ranges; a band's key is made of the BAND_ROWS least of
-#: its range, so lines of similarity s share one with chance s**4:
+#: A hash falls into one of BANDS * BAND_ROWS slots, of which a signature has the least
+#: hashes; a band is BAND_ROWS slots, so lines of similarity s share one with chance s**4:
 #: 1 - (1 - 0.8**4)**10 = 99.5 % at 0.8.
 BANDS, BAND_ROWS = 10, 4
-#: Words of 64 bits in the bitmap of a line's shingles.
-MARKS = 32
-#: A bucket of more lines is crowded: lines meet PIVOTS more of its lines before pairs.
-CROWDED, PIVOTS = 32, 8
-
-
-def normal(line: Column) -> Column:
-    """Lines are compared without case and without blanks at their ends."""
-    return F.lower(F.trim(line))
-
-
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row (of id and whole text), doc_id, line_no, norm, id, more: every line that isn't
-    blank. id and more are hashes of norm."""
-    rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''").withColumns(
-        {"id": F.xxhash64("norm"), "more": F.hash("norm")})
-
-
-def all_shingles(norm: Column) -> Column:
-    every = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(norm) <= SHINGLE, F.array(norm)).otherwise(every)
-
-
-def _sampled(norm: Column) -> Column:
-    return F.regexp_extract_all(norm, F.lit(f"(?s)(?=({SAMPLED}.{{{SHINGLE - 1}}}))"), F.lit(1))
-
-
-def _hashes(shingles: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
-
-
-def _range_starts(ranges: int) -> list[int]:
-    return [(b << 64) // ranges - (1 << 63) for b in range(ranges)]
-
-
-def _with_starts(hashes: str, ranges: int) -> Column:
-    return F.sort_array(F.concat(hashes, F.array(*[F.lit(x) for x in _range_starts(ranges)])))
-
-
-def _keys(kind: int) -> Column:
-    """The band keys of the column _placed{kind}, null where that is null.
-
-    The starts of the ranges were sorted in among the hashes and are found again by
-    their places, so no function is called per hash and band. A range with too few
-    hashes takes those that follow, round the end to the first."""
-    keys = []
-    for b, start in enumerate(_range_starts(BANDS)):
-        # the starts up to this one stand before its hashes too
-        least = F.slice(f"_round{kind}", (F.array_position(f"_placed{kind}", F.lit(start)) - b).cast("int"), BAND_ROWS)
-        keys.append(F.xxhash64(F.lit(kind), F.lit(b), least))
-    return F.when(F.col(f"_placed{kind}").isNotNull(), F.array(*keys))
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """lines without norm, and keys: the band keys of each line's one or two signatures."""
-    rest = [c for c in lines.columns if c != "norm"]
-    norm = F.col("norm")
-    out = lines.withColumn("_some", _sampled(norm))
-    hashed = out.select(*rest, F.when(F.size("_some") >= FEW, _hashes(F.col("_some"))).alias("_hashes0"),
-                        F.when(F.size("_some") < MANY, _hashes(all_shingles(norm))).alias("_hashes1"))
-    placed = hashed.select(*rest, *[_with_starts(f"_hashes{k}", BANDS).alias(f"_placed{k}") for k in (0, 1)],
-                           *[F.concat(f"_hashes{k}", F.slice(f"_hashes{k}", 1, BAND_ROWS)).alias(f"_round{k}") for k in (0, 1)])
-    none = F.array().cast("array<long>")
-    return placed.select(*rest, F.concat(*[F.coalesce(_keys(k), none) for k in (0, 1)]).alias("keys"))
-
-
-def _marked(texts: DataFrame) -> DataFrame:
-    """texts plus n, the number of shingles, and marks: a bitmap of them, a word for each
-    range of hashes."""
-    placed = texts.withColumn("_hashes", _hashes(all_shingles(F.col("norm")))).select(
-        *texts.columns, F.size("_hashes").alias("n"), _with_starts("_hashes", MARKS).alias("_placed"))
-    ends = F.array(*[F.array_position("_placed", F.lit(x)).cast("int") for x in _range_starts(MARKS)], F.size("_placed") + 1)
-    marks = F.expr(f"""transform(sequence(0, {MARKS - 1}), b -> aggregate(slice(_placed, _ends[b] + 1, _ends[b + 1] - _ends[b] - 1),
-                       0L, (m, h) -> m | shiftleft(1L, cast(h & 63 as int))))""")
-    return placed.withColumn("_ends", ends).withColumn("marks", marks).drop("_placed", "_ends")
-
-
-def _near(a: str, b: str) -> Column:
-    """False only for pairs that can't be alike: each bit in which the marks differ
-    stands for a shingle or more that only one of the two has."""
-    differing = sum(F.bit_count(F.get(f"{a}marks", F.lit(i)).bitwiseXOR(F.get(f"{b}marks", F.lit(i)))) for i in range(MARKS))
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-6) & (differing * (1 + SIMILAR) <= (n + m) * (1 - SIMILAR) + 1e-6)
-
-
-def _once(value: Column, use) -> Column:
-    """use(value), with value computed once however often use names it: the optimizer
-    would copy a named column's expression to each place in a filter."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of SIMILAR or
-    more. Texts meet, not sets, which are several times larger."""
-    met = pairs
-    for i in "uv":
-        met = met.join(texts.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
-    both = F.size(F.array_intersect(all_shingles(F.col("u_norm")), all_shingles(F.col("v_norm"))))
-    return met.where(_once(both, lambda k: k / (F.col("u_n") + F.col("v_n") - k)) >= SIMILAR).select("u", "v")
-
-
-def _hopeful(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The different pairs (u, v), without those that their marks rule out."""
-    met = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for i in "uv":
-        met = met.join(texts.select(F.col("id").alias(i), F.col("marks").alias(f"{i}_marks"), F.col("n").alias(f"{i}_n")), i)
-    return stage(met.where(_near("u_", "v_")).select("u", "v"))
-
-
-def _rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
-    """members plus the root of their id, which is the id itself if tied has none."""
-    return members.join(broadcast_if_small(tied.withColumnRenamed("node", "id")), "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
-
-
-def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
-    """tied with the components that links (u, v) joins made one."""
-    known = tied.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return stage(components(known.unionByName(links)))
-
-
-def _buckets(members: DataFrame, tied: DataFrame) -> DataFrame:
-    """key, id, root, size, main: members of the buckets that hold several components;
-    main is the component with most of a bucket's lines."""
-    placed = _rooted(members.select("key", "id"), tied)
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"),
-                                       F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    return stage(placed.join(broadcast_if_small(stage(several)), "key"))
-
-
-def _more_pivots(buckets: DataFrame) -> DataFrame:
-    """u, v: lines of crowded buckets with PIVOTS of the bucket's lines that are in other
-    components."""
-    crowded = buckets.where(F.col("size") > CROWDED).select("key", "id", "root")
-    turned = F.col("id").bitwiseXOR(F.col("key"))
-    pivots = crowded.groupBy("key", F.pmod("id", F.lit(PIVOTS)).alias("_turn")).agg(F.min(turned).alias("lo")).select(
-        "key", F.col("lo").bitwiseXOR(F.col("key")).alias("id"))
-    pivots = stage(crowded.join(broadcast_if_small(stage(pivots)), ["key", "id"])).select(
-        "key", F.col("id").alias("v"), F.col("root").alias("v_root"))
-    return crowded.join(broadcast_if_small(pivots), "key").where("root <> v_root").select(F.col("id").alias("u"), "v")
-
-
-def _open_pairs(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v: lines of one bucket and different components that may be alike. Lines outside
-    the bucket's main component meet all others; in crowded buckets marks are compared
-    before a pair is made."""
-    small, crowded = buckets.where(F.col("size") <= CROWDED), buckets.where(F.col("size") > CROWDED)
-    few = small.join(small.where("root <> main").select("key", F.col("id").alias("v"), F.col("root").alias("v_root")), "key")
-    marked = stage(crowded.join(texts.select("id", "marks", "n"), "id"))
-    stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
-    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & _near("", "s_"))
-    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), texts).unionByName(
-        stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()))
-
-
-def similar_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """node, root: components of the lines (norm, id; repeats allowed) that are linked
-    by a similarity of SIMILAR or more and share a band. signed has their id and keys.
-
-    In each bucket all lines meet one of them, the pivot, another in each band. In
-    crowded buckets that this leaves with several components, lines meet a few pivots
-    more. Where there are still several, the lines outside the largest then meet those
-    of other components. No link that would join two components is lost, and a
-    component's own lines aren't compared with each other."""
-    bands = signed.select("id", F.explode("keys").alias("key"))
-    # the exclusive or with the key puts the ids of each bucket in an order of its own
-    turned = F.col("id").bitwiseXOR(F.col("key"))
-    shared = bands.groupBy("key").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi")
-    shared = stage(shared.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("pivot")))
-    members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key").select("key", "id", "pivot").distinct())
-    wanted = stage(members.select("id").distinct())
-    held = lines.select("id", "norm").join(broadcast_if_small(wanted, 1_000_000), "id").distinct()
-    texts = stage(_marked(held))
-    star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-    tied = stage(components(_alike(_hopeful(star, texts), texts)))
-    found = stage(_alike(_hopeful(_more_pivots(_buckets(members, tied)), texts), texts))
-    if found.limit(1).count():
-        tied = _merged(tied, found)
-    found = stage(_alike(_open_pairs(_buckets(members, tied), texts), texts))
-    return _merged(tied, found) if found.limit(1).count() else tied
+SLOTS = BANDS * BAND_ROWS
+#: Lines and characters that are signed at a time; longer lines are signed in parts.
+_LINES_AT_ONCE, _CHARACTERS_AT_ONCE = 20_000, 1 << 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _windows(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of all parts, and the place of each one's part."""
+    parts = [p if len(p) >= SHINGLE else p.ljust(SHINGLE, "\0") for p in parts]
+    c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    n = len(c) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h *= _FACTOR
+        h += c[k : k + n]
+    whole = owner[:n] == owner[SHINGLE - 1 :]
+    return mixed(h[whole]), owner[:n][whole]
+
+
+def shingle_hashes(line: str) -> np.ndarray:
+    """The different hashes of a line's shingles, in order."""
+    return np.unique(_windows([line])[0])
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A row of BANDS keys for each line. An empty slot takes the next one's hash, round
+    the end to the first."""
+    least = np.full(len(lines) * SLOTS, _NONE)
+    parts: list[str] = []
+    of: list[int] = []
+    size = 0
+
+    def sign():
+        h, part = _windows(parts)
+        slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(least, np.array(of)[part] * SLOTS + slot, h)
+
+    for i, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - SHINGLE + 1), _CHARACTERS_AT_ONCE):
+            parts.append(line[at : at + _CHARACTERS_AT_ONCE + SHINGLE - 1])
+            of.append(i)
+            size += len(parts[-1])
+            if size >= _CHARACTERS_AT_ONCE:
+                sign()
+                parts, of, size = [], [], 0
+    if parts:
+        sign()
+    least = least.reshape(-1, SLOTS)
+    for j in range(2 * SLOTS - 1, -1, -1):
+        at, after = j % SLOTS, (j + 1) % SLOTS
+        least[:, at] = np.where(least[:, at] == _NONE, least[:, after], least[:, at])
+    keys = np.empty((len(lines), BANDS), np.uint64)
+    for b in range(BANDS):
+        k = np.full(len(lines), b + 1, np.uint64)
+        for r in range(BAND_ROWS):
+            k = mixed(k * _FACTOR + least[:, b * BAND_ROWS + r])
+        keys[:, b] = k
+    return keys.view(np.int64)
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.lower(text).alias("text"))
+
+
+def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row (of id and whole text), doc_id, line_no, id, more, keys: every line that isn't
+    blank. Lines are taken without case and without blanks at their ends; id and more
+    are two hashes of that, keys the line's band keys."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            raw = [x.encode("utf-8", "surrogatepass") for x in lines]
+            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (42, 7)]
+            keys = band_keys(lines).reshape(-1)
+            at = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
+            where = pa.array(places, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(numbers, pa.int32()), *hashes,
+                                               pa.ListArray.from_arrays(at, pa.array(keys))], ["row", "doc_id", "line_no", "id", "more", "keys"])
+
+        for b in batches:
+            lines: list[str] = []
+            places: list[int] = []
+            numbers: list[int] = []
+            size = 0
+            for i, t in enumerate(b.column(2)):
+                for k, line in enumerate((t.as_py() or "").split("\n")):
+                    if line := line.strip(" "):
+                        lines.append(line)
+                        places.append(i)
+                        numbers.append(k)
+                        size += len(line)
+                        if len(lines) >= _LINES_AT_ONCE or size >= 2 * _CHARACTERS_AT_ONCE:
+                            yield done()
+                            lines, places, numbers, size = [], [], [], 0
+            if lines:
+                yield done()
+
+    rows = _rows(docs, doc_id, text)
+    return rows.mapInArrow(sign, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no int, id long, more long, keys array<long>")
+
+
+def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """node, root: components of the lines that are linked by a similarity of 0.8 or more
+    and share a band. signed has ids and keys; texts (id, norm) may repeat rows. Links are
+    looked for as linking.linked does."""
+
+    def describe(wanted: DataFrame) -> DataFrame:
+        return marked(texts.join(broadcast_if_small(wanted, 1_000_000), "id").distinct(), "norm", shingle_hashes)
+
+    return linked(signed.select("id", F.explode("keys").alias("key")), describe, lambda pairs, items: similar(pairs, items, shingle_hashes))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, line_no of the lines that go: all but the first of each component, in order
     of doc_id and place. Lines that are equal (but for case and blanks at their ends)
     are one node; a line goes as a copy only if both its hashes are the first line's."""
-    lines = lines_of(docs, doc_id, text)
-    signed = stage(signatures(lines))
-    tied = similar_lines(lines, signed.select("id", "keys"))
-    placed = _rooted(signed.drop("keys"), tied)
+    signed = stage(signed_lines(docs, doc_id, text))
+    lines = _rows(docs, doc_id, text).select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    texts = lines.select(F.trim("line").alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
+    placed = rooted(signed.drop("keys"), similar_lines(texts, signed))
     firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row", "line_no", "id", "more")).alias("first"),
                                         F.count(F.lit(1)).alias("n"))
     again = stage(firsts.where("n > 1").select("root", "first"))
