@@ -6,49 +6,69 @@
 4. decontaminate: documents contaminated by benchmark items go.
 5. mix: sources are sampled to their target weights.
 
-Stages keep extra columns. n_chars follows the text where a stage changes it.
+Stages return all columns of documents, whatever their names. n_chars follows the text
+where a stage changes it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate as _decontaminate
-from lagwise.llm import fuzzy_lines, mixing, ordinal
-from lagwise.llm.common import stage, table
+from lagwise.llm import fuzzy_lines, mixing, ordinal, simhash
+from lagwise.llm.common import free_name, stage, table
+
+#: The columns that stages read; all others are kept from them under other names.
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def _apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
+    """step's rows with the columns of docs, and those named in more. step sees columns
+    that it doesn't read under names that clash with none of its own."""
+    hidden = {c: c if c in READ else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    out = step(docs.toDF(*hidden.values()))
+    return out.select(*[F.col(h).alias(c) for c, h in hidden.items()], *[F.col(c).alias(free_name(docs, c)) for c in more])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of a grade of 1 (good) or more is at least one half."""
     model = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
-    return ordinal.select(docs, model).where("selected").select(docs.columns)
+    return _apart(docs, lambda d: ordinal.select(d, model).where("selected"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their first occurrences of lines; one left without lines stays."""
-    out = fuzzy_lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        out = fuzzy_lines.dedup_lines(d)
+        return out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType)) if "n_chars" in d.columns else out
+
+    return _apart(docs, step)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id in each group of near copies. SimHash at op8's two
-    bits would keep many of them, so candidates come from MinHash bands."""
-    return fuzzy_lines.dedup_texts(docs)
+    """The document of the least id in each group of near copies."""
+    return _apart(docs, simhash.dedup)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less than a twentieth of whose words are in benchmark windows."""
-    out = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(docs.columns)
+    bench = table(spark, sf_dir, "benchmark")
+    return _apart(docs, lambda d: _decontaminate.decontaminate(d, bench).where(~F.col("contaminated")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, with its number from 1."""
-    out = mixing.mix(docs).where("copies > 0 and size > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    """A row for each copy that the mix takes, with its number from 1 in the column copy
+    (with underscores before it if documents have such a column)."""
+
+    def step(d: DataFrame) -> DataFrame:
+        out = mixing.mix(d).where("copies > 0")
+        return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+    return _apart(docs, step, "copy")
 
 
 STAGES = [
@@ -59,7 +79,7 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: Trained weights and MinHash have no SQL; tests compare the stages with brute force.
+#: Trained weights, MinHash and SimHash have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
