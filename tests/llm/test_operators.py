@@ -165,16 +165,12 @@ def test_mixing(spark, odd, none):
 # 4
 
 
-def shingle_sets(line):
-    n = line.count(" ") + 1
-    full = ({line} if len(line) <= 8 else {line[i : i + 8] for i in range(len(line) - 7)}) if n < fuzzy_lines.BOTH_BELOW else None
-    part = {line[m.start() : m.start() + 8] for m in re.finditer("[^ ]+ *", line)} if n >= fuzzy_lines.SAMPLED_FROM else None
-    return full, part
+def shingle_set(line):
+    return {line} if len(line) <= 8 else {line[i : i + 8] for i in range(len(line) - 7)}
 
 
-def alike(a, b):
-    x, y = (a[0], b[0]) if a[0] and b[0] else (a[1], b[1])
-    return bool(x and y) and len(x & y) >= 0.8 * len(x | y)
+def alike(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
 
 
 def removed(rows):
@@ -183,7 +179,7 @@ def removed(rows):
         for k, x in enumerate((t or "").split("\n")):
             if x.strip(" "):
                 places.append((i, norm.setdefault(x.strip(" ").lower(), len(norm))))
-    sets = [shingle_sets(x) for x in norm]
+    sets = [shingle_set(x) for x in norm]
     root = components_of(len(norm), [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])])
     seen, out = set(), {}
     for i, a in places:
@@ -247,6 +243,69 @@ def test_long_lines_are_compared_whole(spark):
     assert {r.doc_id for r in out.where("n_removed = 1").collect()} == {12}
 
 
+def linked_lines(spark, lines):
+    """The root of each line by the operator."""
+    df = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("id", F.xxhash64("norm"))
+    signed = common.stage(fuzzy_lines.signed_lines(df, "id", "norm"))
+    assert {r.id for r in signed.collect()} == {r.id for r in df.collect()}
+    tied = fuzzy_lines.similar_lines(df, signed)
+    return {r.norm: r.root for r in fuzzy_lines.rooted(df, tied).collect()}
+
+
+def test_links_and_no_links(spark):
+    """Short lines against longer ones, edits in first letters, words with one start, and a
+    similarity of just 0.8 and just below."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("bcdfghklmnoprstuvw"))
+    word = lambda n: "".join(rng.choice(letters, n))
+    few = [word(9) for _ in range(15)]
+    long = [word(22) for _ in range(30)]
+    start = [word(8) for _ in range(30)]
+    cases = [(" ".join(few), " ".join([*few, *"abcdefghi"])),
+             (" ".join(long), " ".join(["z" + w[1:] if i % 4 == 1 else w for i, w in enumerate(long)])),
+             (" ".join(w + word(22) for w in start), " ".join(w + word(22) for w in start))]
+    base = word(107)  # 100 shingles
+    cases += [(base, base + word(25)), (base, base + word(26))]
+    want = [alike(shingle_set(a), shingle_set(b)) for a, b in cases]
+    assert want == [True, True, False, True, False]
+    got = [linked_lines(spark, [a, b]) for a, b in cases]
+    assert [g[a] == g[b] for g, (a, b) in zip(got, cases, strict=True)] == want
+
+
+def test_lines_against_all_pairs(spark):
+    """Recall against all pairs of all shingles of the given lines, and no wrong link."""
+    texts = [r.text or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    lines = sorted({x.strip(" ").lower() for t in texts for x in t.split("\n")} - {""})
+    sets = [shingle_set(x) for x in lines]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for b in h for a in h if a > b}
+    links = [(a, b) for a, b in pairs if alike(sets[a], sets[b])]
+    root = components_of(len(lines), links)
+    got = linked_lines(spark, lines)
+    assert len(links) >= 20 and sum(got[lines[a]] == got[lines[b]] for a, b in links) >= 0.95 * len(links)
+    assert len(set(got.values())) >= len(set(root))
+
+
+def test_crowded_bucket_of_strays(spark):
+    """Lines around one passage: most aren't alike, some are alike only to each other."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    passage = [word() for _ in range(12)]
+    lines = []
+    for i in range(150):
+        own = [word() for _ in range(rng.integers(0, 12))]
+        lines.append(" ".join([*own, *passage]))
+        if i % 10 == 0:
+            lines.append(" ".join([*own, *passage]) + " x")
+    sets = [shingle_set(x) for x in lines]
+    root = components_of(len(lines), [(a, b) for a in range(len(lines)) for b in range(a) if alike(sets[a], sets[b])])
+    got = linked_lines(spark, lines)
+    assert len({(got[x], r) for x, r in zip(lines, root, strict=True)}) == len(set(root)) == len(set(got.values())) < len(lines) - 10
+
+
 # 5
 
 
@@ -417,7 +476,7 @@ def test_simhash(spark, odd, none):
     least = {f: min(i for i in ids if i is not None) if any(i is not None for i in ids) else None for f, ids in want.items()}
     assert got == {(i, brute_fingerprint(t), least[brute_fingerprint(t)]) for i, t in ODD}
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.dedup(odd.withColumn("fp", F.lit(0))).collect()
+    kept = simhash.dedup(odd.withColumn("fp", F.lit(0)), simhash.near_duplicates(odd)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "7", "8", "9", "None"]
 
 
@@ -441,7 +500,7 @@ def test_near_texts_by_brute_force(spark, none):
     want = {i for i, r in enumerate(components_of(len(texts), near)) if i == r}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    # a pair at 0.8 shares no band once in some hundred times
+    # a pair at 0.8 shares no block once in some thousand times
     assert want <= kept and len(kept - want) <= 1 and len(near) > 90
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
 
@@ -454,7 +513,7 @@ def test_decontaminate(spark, odd, none):
     bench = spark.createDataFrame([(10, item), (9, "Short, ITEM"), (8, None), (7, "!!"), (None, "x"), (9, "short item")], "item_id long, text string")
     texts = [(1, "pre " + item.upper().replace(" ", " - ") + " post"), (2, "w0 w1 w2"), (3, "a short item, b " + "c " * 100), (4, None), (5, "short items"), (6, "é short-item é")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("found", F.lit(1))
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, spans=True).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].items_sha256, got[1].contaminated) == (22, 20, 1, sha("10"), True)
     assert texts[0][1][got[1].hit_spans[0].begin : got[1].hit_spans[0].end] == item.upper().replace(" ", " - ")
@@ -469,12 +528,23 @@ def test_decontaminate(spark, odd, none):
     few = ["aa", "b", "cc"]
     items = [[str(x) for x in rng.choice(few, rng.integers(1, 18))] for _ in range(12)]
     windows = {tuple(w[i : i + 13]) for w in items for i in range(max(1, len(w) - 12))}
-    machine = decontaminate.automaton([(" ".join(w), [0]) for w in sorted(windows)])
+    machine = decontaminate.Machine([(str(k), " ".join(w)) for k, w in enumerate(items)])
+    texts = []
     for _ in range(200):
         words = [str(x) for x in rng.choice([*few, "d", "ee"], 40, p=[0.3, 0.3, 0.3, 0.05, 0.05])]
-        hit = {j for w in windows for i in range(len(words)) if tuple(words[i : i + len(w)]) == w for j in range(i, i + len(w))}
-        n, ranges, _ = decontaminate.scan(" ".join(words), machine)
-        assert n == 40 and {j for a, b in ranges for j in range(a, b + 1)} == hit
+        if rng.random() < 0.5:
+            words[9:9] = items[rng.integers(12)][rng.integers(3) :]
+        occurs = lambda v: [i for i in range(len(words)) if tuple(words[i : i + len(v)]) == v]  # noqa: B023, E731
+        hit = {j for w in windows for i in occurs(w) for j in range(i, i + len(w))}
+        ranges, ids = machine.scan(words)
+        assert {j for a, b in ranges for j in range(a, b + 1)} == hit
+        assert ids == {str(k) for k, w in enumerate(items) if any(occurs(tuple(w[i : i + 13])) for i in range(max(1, len(w) - 12)))}
+        texts.append((len(texts), " ".join(words)))
+    # the same result from one automaton and from many, and words of an item without id
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(str(k) if k else None, " ".join(w)) for k, w in enumerate(items)], "item_id string, text string")
+    one = sorted(map(str, decontaminate.decontaminate(docs, bench).collect()))
+    assert one == sorted(map(str, decontaminate.decontaminate(docs, bench, part_bytes=60).collect()))
 
 
 # 10
@@ -498,9 +568,9 @@ def test_token_counts(spark, odd, none, tokenizer):
     assert token_counts.token_counts(none, tokenizer).count() == 0
 
 
-def test_token_memory_is_bounded(monkeypatch, tokenizer):
-    texts = [f"alpha{i} beta{i % 3}" for i in range(50)]
-    want = token_counts._count(texts, tokenizer)
-    monkeypatch.setattr(token_counts, "REMEMBER", 5)
-    token_counts._loaded.clear()
-    assert [token_counts._count([t], tokenizer)[0] for t in texts] == want
+def test_rare_words_are_shuffled(spark, tokenizer):
+    """With room for few frequent words the others take the other way, to the same counts."""
+    rows = [(i % 7, " ".join(["alpha", f"beta{i % 3}", f"gamma{i} " * (i % 5), "delta " * i])) for i in range(40)]
+    docs = spark.createDataFrame([*rows, *rows[:9], (8, None), (9, "")], "doc_id long, text string")
+    few, all_ = (sorted(map(str, token_counts.token_counts(docs, tokenizer, hot=h).collect())) for h in (4, 10_000))
+    assert few == all_ and len(few) == 51
