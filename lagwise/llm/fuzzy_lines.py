@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, numbered, stage
-from .linking import linked, marked, mixed, rooted, similar
+from .common import BROADCAST_ROWS, broadcast_if_small, numbered, stage
+from .linking import linked, marked, mixed, rooted, similar, word_lists
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
@@ -24,13 +24,14 @@ SHINGLE = 8
 #: 1 - (1 - 0.8**4)**10 = 99.5 % at 0.8.
 BANDS, BAND_ROWS = 10, 4
 SLOTS = BANDS * BAND_ROWS
-#: Lines and characters that are signed at a time; longer lines are signed in parts.
-_LINES_AT_ONCE, _CHARACTERS_AT_ONCE = 20_000, 1 << 20
+#: Lines and characters that go out in one batch, and characters that are signed at a
+#: time; longer lines are signed in parts.
+_LINES_AT_ONCE, _BATCH, _CHARACTERS_AT_ONCE = 20_000, 1 << 21, 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _windows(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all shingles of all parts, and the place of each one's part."""
     parts = [p if len(p) >= SHINGLE else p.ljust(SHINGLE, "\0") for p in parts]
     c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -44,11 +45,6 @@ def _windows(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h[whole]), owner[:n][whole]
 
 
-def shingle_hashes(line: str) -> np.ndarray:
-    """The different hashes of a line's shingles, in order."""
-    return np.unique(_windows([line])[0])
-
-
 def band_keys(lines: list[str]) -> np.ndarray:
     """A row of BANDS keys for each line. An empty slot takes the next one's hash, round
     the end to the first."""
@@ -58,7 +54,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
     size = 0
 
     def sign():
-        h, part = _windows(parts)
+        h, part = shingle_hashes(parts)
         slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(least, np.array(of)[part] * SLOTS + slot, h)
 
@@ -98,11 +94,9 @@ def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         def done() -> pa.RecordBatch:
             raw = [x.encode("utf-8", "surrogatepass") for x in lines]
             hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (42, 7)]
-            keys = band_keys(lines).reshape(-1)
-            at = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
             where = pa.array(places, pa.int64())
             return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(numbers, pa.int32()), *hashes,
-                                               pa.ListArray.from_arrays(at, pa.array(keys))], ["row", "doc_id", "line_no", "id", "more", "keys"])
+                                               word_lists(band_keys(lines))], ["row", "doc_id", "line_no", "id", "more", "keys"])
 
         for b in batches:
             lines: list[str] = []
@@ -116,7 +110,7 @@ def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         places.append(i)
                         numbers.append(k)
                         size += len(line)
-                        if len(lines) >= _LINES_AT_ONCE or size >= 2 * _CHARACTERS_AT_ONCE:
+                        if len(lines) >= _LINES_AT_ONCE or size >= _BATCH:
                             yield done()
                             lines, places, numbers, size = [], [], [], 0
             if lines:
@@ -132,7 +126,7 @@ def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:
     looked for as linking.linked does."""
 
     def describe(wanted: DataFrame) -> DataFrame:
-        return marked(texts.join(broadcast_if_small(wanted, 1_000_000), "id").distinct(), "norm", shingle_hashes)
+        return marked(texts.join(broadcast_if_small(wanted, 1_000_000), "id").distinct(), shingle_hashes)
 
     return linked(signed.select("id", F.explode("keys").alias("key")), describe, lambda pairs, items: similar(pairs, items, shingle_hashes))
 
@@ -150,7 +144,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     again = stage(firsts.where("n > 1").select("root", "first"))
     same = F.col("row").eqNullSafe(F.col("first.row")) & F.col("line_no").eqNullSafe(F.col("first.line_no"))
     copy = (F.col("id") != F.col("first.id")) | (F.col("more") == F.col("first.more"))
-    return placed.join(broadcast_if_small(again), "root").where(~same & copy).select("row", "line_no")
+    return stage(placed.join(broadcast_if_small(again), "root").where(~same & copy).select("row", "line_no"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +156,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     feeds; a carriage return before one belongs to its line. Rows that repeat
     both id and text count as one document and keep the same lines. Columns named like
     the results are replaced. The lines to go are gathered per document only."""
-    gone = removed_lines(docs, doc_id, text).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    lines = removed_lines(docs, doc_id, text)
+    gone = lines.groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    if lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # bounds the lists too
+        gone = F.broadcast(gone)
     plain, names = numbered(docs)
     whole = F.col(names[text])
     out = plain.withColumn("row", F.xxhash64(names[doc_id], names[text])).join(gone, "row", "left").withColumn("lines", F.split(whole, "\n", -1))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,10 @@ MARKS = 64
 CROWDED, PIVOTS = 32, 16
 
 
-Hashes = Callable[[str], np.ndarray]
+#: Hashes of the shingles of several texts (repeats allowed), and the place of each one's text.
+Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Rows and characters that are worked on at a time in NumPy.
+_ROWS_AT_ONCE, _CHARACTERS_AT_ONCE = 2_048, 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -30,42 +33,72 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """MARKS words, with a bit for each hash modulo their size."""
-    bits = np.zeros(MARKS * 64, np.uint8)
-    bits[(h % np.uint64(MARKS * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; a plain sort is quicker here than numpy.unique."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
 
 
-def marked(items: DataFrame, text: str, hashes: Hashes) -> DataFrame:
-    """items plus n and marks of the different hashes of the text's shingles."""
+def different(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The different pairs of a text's place and 48 bits of a hash, as one number."""
+    return distinct((owner.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
 
-    @F.pandas_udf("n int, marks array<long>")
-    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([(len(h), bitmap(h)) for h in map(hashes, s)], columns=["n", "marks"])
 
-    return items.withColumn("_d", described(F.col(text))).withColumns({"n": F.col("_d.n"), "marks": F.col("_d.marks")}).drop("_d")
+def bitmaps(keys: np.ndarray, texts: int) -> np.ndarray:
+    """A row of MARKS words for each text, with a bit for each hash modulo their size."""
+    bits = np.zeros((texts, MARKS * 64), np.uint8)
+    bits[(keys >> np.uint64(48)).astype(np.int64), (keys % np.uint64(MARKS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch, *texts: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Parts of batch with not too many rows and characters, and their columns of texts."""
+    columns = [batch.column(k).to_pylist() for k in texts]
+    first, size = 0, 0
+    for i in range(batch.num_rows):
+        size += sum(len(c[i]) for c in columns)
+        if size >= _CHARACTERS_AT_ONCE or i + 1 - first >= _ROWS_AT_ONCE or i + 1 == batch.num_rows:
+            yield batch.slice(first, i + 1 - first), [c[first : i + 1] for c in columns]
+            first, size = i + 1, 0
+
+
+def word_lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of longs as lists."""
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
+def marked(texts: DataFrame, hashes: Hashes) -> DataFrame:
+    """texts (id, norm) plus n, the number of different shingles, and marks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, (norm,) in _pieces(batch, 1):
+                keys = different(*hashes(norm))
+                n = np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(norm)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), word_lists(bitmaps(keys, len(norm)))], ["id", "norm", "n", "marks"])
+
+    return texts.select("id", "norm").mapInArrow(mark, "id long, norm string, n int, marks array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes) -> DataFrame:
     """The pairs (u, v) of ids of texts (id, norm) whose sets of shingles have a Jaccard
     similarity of SIMILAR or more. Texts meet, not sets, which are several times larger."""
 
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right, strict=True):
-                a, b = hashes(x), hashes(y)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
-            yield pd.Series(out, dtype="bool")
-
-    met = pairs
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sides in _pieces(batch, 2, 3):
+                a, b = (different(*hashes(x)) for x in sides)
+                both = np.intersect1d(a, b, assume_unique=True)
+                count = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
+                k = count(both)
+                yes = k >= SIMILAR * (count(a) + count(b) - k) - 1e-9
+                yield part.select([0, 1]).filter(pa.array(yes))
+
+    met = pairs.select("u", "v")
     for i in "uv":
         met = met.join(texts.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm")), i)
-    return met.where(alike("u_norm", "v_norm")).select("u", "v")
+    return met.select("u", "v", "u_norm", "v_norm").mapInArrow(alike, "u long, v long")
 
 
 def _near(a: str, b: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, stage
-from .linking import bitmap, linked, mixed, rooted, similar
+from .linking import bitmaps, different, distinct, linked, mixed, rooted, similar
 
 SEED = 42
 WIDTH = 3
@@ -119,7 +119,7 @@ def shingle_hashes(norm: str, width: int = TEXT_WIDTH) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = mixed(h + each[k : k + n] + np.uint64(k + 1))
-    return np.unique(h)
+    return distinct(h)
 
 
 def blocks(h: np.ndarray) -> list[int]:
@@ -154,9 +154,13 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     @F.pandas_udf("keys array<long>, n int, marks array<long>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            rows = [(blocks(h), len(h), bitmap(h)) for h in (shingle_hashes(t, width) for t in s)]
+            rows = [(blocks(h), len(h), bitmaps(different(h, np.zeros(len(h))), 1)[0]) for h in (shingle_hashes(t, width) for t in s)]
             yield pd.DataFrame(rows, columns=["keys", "n", "marks"])
 
+    def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [shingle_hashes(t, width) for t in texts]
+        return np.concatenate(each), np.repeat(np.arange(len(each)), [len(h) for h in each])
+
     norm = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
     rows = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm")).withColumn("id", F.xxhash64("norm"))
     marked = stage(rows.select("doc_id", "id", described("norm").alias("d")).select("doc_id", "id", "d.*"))
@@ -167,7 +171,7 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     def alike(pairs: DataFrame, items: DataFrame) -> DataFrame:
         ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
         texts = stage(rows.select("id", "norm").join(broadcast_if_small(ids), "id").distinct())
-        return similar(pairs, texts, lambda t: shingle_hashes(t, width))
+        return similar(pairs, texts, hashes)
 
     tied = linked(marked.select("id", F.explode("keys").alias("key")), describe, alike)
     placed = stage(rooted(marked.select("doc_id", "id"), tied))
