@@ -2,9 +2,9 @@
 
 P(grade >= k) = sigmoid(w.x - threshold_k), with one weight vector for all grades
 over hashed byte trigrams of the text and a mark of words that repeat the one before.
-Fitted as one logistic regression in which
-each rated text stands once for every threshold, with the threshold as an indicator
-feature and "is its grade at or above" as the label."""
+Weights and thresholds together maximise the likelihood of the grades, the difference of
+two neighbouring sigmoids, by L-BFGS; each step's loss and gradient are summed in Spark.
+Thresholds are a first one and the logarithms of the gaps after it, so they are in order."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +24,9 @@ BUCKETS = 2_048
 SIZE = BUCKETS + 1
 #: The fit uses at most so many rated rows, the first by a hash of their id.
 FIT_ROWS = 4_000
-#: A grade is a small whole number; more different ones than this are refused.
-MAX_GRADES = 20
+#: Half of this times the squared weights is added to the mean loss.
+RIDGE = 1e-4
+STEPS, MEMORY, SETTLED = 60, 8, 1e-6
 #: Texts are kept whose chance of a grade of at least KEEP_GRADE is KEEP_CHANCE or more.
 KEEP_GRADE, KEEP_CHANCE = 1, 0.5
 _BYTES_AT_ONCE = 1 << 20
@@ -73,23 +72,89 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     rated = ratings.where(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).groupBy(doc_id).agg(F.min(grade).cast("int").alias("_grade"))
     sample = stage(rated.orderBy(F.xxhash64(doc_id), doc_id).limit(rows))
     texts = docs.select(doc_id, text).join(F.broadcast(sample), doc_id)  # at most rows ids
-    data = stage(texts.select("_grade", features(text).alias("x")))
-    grades = sorted(r[0] for r in data.select("_grade").distinct().limit(MAX_GRADES + 1).collect())
-    if len(grades) > MAX_GRADES:
-        raise ValueError(f"more than {MAX_GRADES} grades")
+    data = stage(texts.select("_grade", features(text).alias("x")).repartition(4))
+    grades = sorted(r[0] for r in data.select("_grade").distinct().collect())  # at most rows
     if len(grades) < 2:
         return OrdinalModel((0.0,) * SIZE, (), tuple(grades))
-    cuts = len(grades) - 1
-    once = data.withColumn("at", F.explode(F.array(*map(F.lit, range(cuts)))))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda i: (i == F.col("at")).cast("double"))
-    above = F.col("_grade") > F.get(F.array(*map(F.lit, grades)), F.col("at"))
-    ready = once.select(array_to_vector(F.concat("x", ends)).alias("features"), above.cast("double").alias("label")).coalesce(4).cache()
-    fitted = LogisticRegression(regParam=1e-4, elasticNetParam=0.0, fitIntercept=False, standardization=False, maxIter=100,
-                                tol=1e-7, maxBlockSizeInMB=4).fit(ready)
-    ready.unpersist()
-    w = fitted.coefficients.toArray()
-    # the optimum has ordered thresholds; this guards against a fit that stopped early
-    return OrdinalModel(tuple(map(float, w[:SIZE])), tuple(map(float, np.maximum.accumulate(-w[SIZE:]))), tuple(grades))
+    place = {g: k for k, g in enumerate(grades)}
+    counts = data.groupBy("_grade").agg(F.count(F.lit(1)).alias("n")).collect()
+    share = np.bincount([place[r._grade] for r in counts], [r.n for r in counts]) / sum(r.n for r in counts)
+    below = np.cumsum(share)[:-1]
+    first = np.log(below / (1 - below))
+    start = np.concatenate([np.zeros(SIZE), first[:1], np.log(np.diff(first))])
+    found = minimise(lambda at: _loss(data, place, at), start)
+    return OrdinalModel(tuple(map(float, found[:SIZE])), tuple(map(float, thresholds(found[SIZE:]))), tuple(grades))
+
+
+def thresholds(raw: np.ndarray) -> np.ndarray:
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
+
+
+def losses(x: np.ndarray, grade: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed loss of the rows of x, with grades by place, and its gradient by at: the
+    weights, the first threshold and the logarithms of the gaps."""
+    w, raw = at[: x.shape[1]], at[x.shape[1] :]
+    cut, z = thresholds(raw), x @ w
+    top, least = grade == len(cut), grade == 0
+    hi = np.where(top, np.inf, cut[np.minimum(grade, len(cut) - 1)] - z)
+    lo = np.where(least, -np.inf, cut[np.maximum(grade - 1, 0)] - z)
+    gap = np.where(top | least, -np.inf, cut[np.minimum(grade, len(cut) - 1)] - cut[np.maximum(grade - 1, 0)])
+    gap = np.where(top | least, 0.0, np.exp(-gap))
+    # sigmoid(hi) - sigmoid(lo) = sigmoid(hi) * sigmoid(-lo) * (1 - exp(lo - hi))
+    total = np.logaddexp(0, -hi).sum() + np.logaddexp(0, lo).sum() - np.log1p(-gap).sum()
+    with np.errstate(over="ignore"):
+        upper, lower = 1 / (1 + np.exp(hi)), 1 / (1 + np.exp(-lo))  # 1 - sigmoid(hi), sigmoid(lo)
+    each = np.zeros(len(cut))
+    np.add.at(each, grade[~top], -(upper + gap / (1 - gap))[~top])
+    np.add.at(each, grade[~least] - 1, (lower + gap / (1 - gap))[~least])
+    behind = np.cumsum(each[::-1])[::-1]  # a gap moves all thresholds from its own on
+    return float(total), np.concatenate([x.T @ (upper - lower), behind[:1], behind[1:] * np.exp(raw[1:])])
+
+
+def _loss(data: DataFrame, place: dict[int, int], at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss of all rows plus the ridge, and the gradient."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                loss, gradient = losses(np.stack(b["x"]), b["_grade"].map(place).to_numpy(), at)
+                yield pd.DataFrame([(len(b), loss, gradient)], columns=["n", "loss", "gradient"])
+
+    parts = data.mapInPandas(part, "n long, loss double, gradient array<double>").collect()
+    n = sum(p.n for p in parts)
+    w = np.concatenate([at[:SIZE], np.zeros(len(at) - SIZE)])
+    return sum(p.loss for p in parts) / n + RIDGE / 2 * float(w @ w), sum(np.array(p.gradient) for p in parts) / n + RIDGE * w
+
+
+def minimise(f, at: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """L-BFGS with halved steps, until the value falls by less than SETTLED of itself."""
+    value, g = f(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, marks = -g, []
+        for s, y in reversed(moves):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            marks.append(a)
+        d = d * ((moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1e-12, np.linalg.norm(g)))
+        for (s, y), a in zip(moves, reversed(marks), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        size = 1.0
+        while True:
+            there = at + size * d
+            after, h = f(there)
+            if after <= value + 1e-4 * size * (g @ d) or size < 1e-6:
+                break
+            size /= 2
+        if not after < value:
+            break
+        if (there - at) @ (h - g) > 1e-12:
+            moves = [*moves[1 - MEMORY :], (there - at, h - g)]
+        done = value - after < SETTLED * max(value, 1e-3)
+        at, value, g = there, after, h
+        if done:
+            break
+    return at
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
