@@ -4,9 +4,10 @@ landmarks.
 The kernel of two words sums, over all gapped subsequences of three letters, the
 product of their weights in both; a subsequence weighs DECAY to the power of the
 span that it takes, so words with letters put in or left out stay similar. Landmarks
-are words that mark toxic texts. A text is described by the sum of its different
-words' similarities to each landmark (as a logarithm), mapped by the landmarks'
-inverse square root kernel matrix, and a linear machine on these decides."""
+are words that mark toxic texts. The kernel of two texts sums that of their different words;
+its Nystroem map is the sum of a text's words' similarities to each landmark, times the
+inverse square root of the landmarks' kernel matrix, and a linear machine on it decides.
+Similarities under FLOOR, whose powers are under 0.026, are left out of the sums."""
 
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ FIT_ROWS = 8_000
 DECAY, SPAN = 0.6, 6
 #: Similarities are raised to this power, again a kernel, so that chance ones fade.
 POWER = 4
-#: Similarities below this count as none.
+#: Similarities of a text's words below this count as none; those of landmarks all count.
 FLOOR = 0.4
 #: Longer words are compared in pieces of this length that overlap by OVERLAP.
 PIECE, OVERLAP = 32, 12
@@ -50,7 +51,7 @@ _known: dict = {}
 @dataclass(frozen=True)
 class KernelModel:
     landmarks: tuple[str, ...]
-    #: score = sigmoid(offset + weights . log(1 + sums of similarities))
+    #: score = sigmoid(offset + weights . sums of similarities)
     weights: tuple[float, ...]
     offset: float
 
@@ -83,6 +84,10 @@ def _pieces(word: str) -> list[str]:
     return [word[i : i + PIECE] for i in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
 
 
+def _cut(found: set[str]) -> set[str]:
+    return {p for w in found for p in _pieces(w)}
+
+
 def _letters(pieces: list[str]) -> np.ndarray:
     """A row of letter classes (1 to 63, 0 after the end) for each piece."""
     width = max(map(len, pieces))
@@ -129,6 +134,11 @@ class Landmarks:
         self.peak[used] = self.of.max(axis=1)
         self.n = len(names)
 
+    def gram(self) -> np.ndarray:
+        """The kernel matrix of the landmarks, without a floor: a power of inner products
+        of unit vectors, so it has no negative eigenvalue."""
+        return (self.of.T.astype(np.float64) @ self.of) ** POWER
+
     def hopeful(self, pieces: list[str]) -> np.ndarray:
         """Which pieces may reach FLOOR: the sum of all that their subsequences can add
         is bounded, and so, by its number of letters, is a piece's own length."""
@@ -178,7 +188,7 @@ class Landmarks:
 
 
 def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
-    """For each text log(1 + sum of its words' similarities) to each landmark."""
+    """For each text the sums of its words' similarities to each landmark."""
     key = hashlib.sha256("\0".join(names).encode("utf-8", "surrogatepass")).digest()
     if key not in _known:
         _known.clear()
@@ -200,7 +210,7 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
         near.update(zip((new[i] for i in at), rows, strict=True))
         for found in part:
             rows = [near[w] for w in near.keys() & found]
-            yield np.log1p(np.sum(rows, axis=0, dtype=np.float64)) if rows else none
+            yield np.sum(rows, axis=0, dtype=np.float64) if rows else none
 
     for t in texts:
         part.append(words(t))
@@ -212,14 +222,14 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
 
 
 def choose_landmarks(sample: DataFrame, count: int = LANDMARKS, texts: int = LANDMARK_TEXTS) -> list[str]:
-    """The words of sample (text, label) that toxic texts hold most over chance, in
-    standard deviations. Counts are sums by word over all of the sample."""
+    """The words of sample (text, label), long ones in pieces, that toxic texts hold most
+    over chance, in standard deviations. Counts are sums by word over all of the sample."""
     total, toxic = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     rate = toxic / total
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(w[:PIECE], y) for t, y in zip(b["text"], b["label"], strict=True) for w in sorted(words(t))]
+            found = [(w, y) for t, y in zip(b["text"], b["label"], strict=True) for w in sorted(_cut(words(t)))]
             yield pd.DataFrame(found, columns=["word", "label"])
 
     tally = sample.select("text", "label").mapInPandas(spread, "word string, label int").groupBy("word").agg(
@@ -236,23 +246,23 @@ def _altered(word: str) -> str:
 
 
 def _examples(names: tuple[str, ...]):
-    """Labelled texts, and of the toxic ones also each sentence that holds a landmark
-    and these landmarks altered; of clean texts every sentence is clean."""
+    """Labelled texts and their sentences: of clean texts every sentence is clean, of toxic
+    ones those that hold a landmark are toxic, as are these landmarks altered; what the
+    others are isn't known, and they are left out."""
     held = set(names)
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t, y in zip(b["text"], b["label"], strict=True):
-                out.append((t, y))
-                if not y:
-                    continue
+                out.append((t, y, True))
                 for part in _SENTENCE.split(t or ""):
-                    marks = words(part) & held
-                    if marks:
-                        out.append((part, 1))
-                        out.append((" ".join(map(_altered, sorted(marks))), 1))
-            yield pd.DataFrame(out, columns=["text", "label"])
+                    if not y:
+                        out.append((part, 0, False))
+                    elif marks := _cut(words(part)) & held:
+                        out.append((part, 1, True))
+                        out.append((" ".join(map(_altered, sorted(marks))), 1, True))
+            yield pd.DataFrame(out, columns=["text", "label", "whole"])
 
     return sentences
 
@@ -272,11 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     names = tuple(choose_landmarks(sample, count)) if seen == {0, 1} else ()
     if not names:
         return KernelModel((), (), 10.0 if seen == {1} else -10.0)
-    gram = np.zeros((len(names), len(names)))
-    at, near = Landmarks(names).similar(list(names))
-    gram[at] = near
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    value, vector = np.linalg.eigh(Landmarks(names).gram())
+    # directions that the landmarks don't tell apart from rounding have no part in the map
+    firm = value > 1e-6 * value[-1]
+    root = vector[:, firm] @ np.diag(value[firm] ** -0.5) @ vector[:, firm].T
 
     @F.pandas_udf("array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -284,13 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pd.Series([x @ root for x in _described(s, names)])
 
     def ready(df: DataFrame) -> DataFrame:
-        return stage(df.select(features("text").alias("x"), F.col("label").cast("double").alias("label"))).coalesce(4).select(
-            array_to_vector("x").alias("features"), "label")
+        """Features and label. A clean sentence with nothing like a landmark would only move
+        the offset, which the sigmoid sets anew."""
+        made = df.select(features("text").alias("x"), F.col("label").cast("double").alias("label"), "whole")
+        told = F.col("whole") | F.exists("x", lambda v: v != 0)
+        return stage(made.where(told)).coalesce(4).select(array_to_vector("x").alias("features"), "label")
 
     machine = LinearSVC(regParam=1e-4, maxIter=100, maxBlockSizeInMB=4).fit(
-        ready(sample.mapInPandas(_examples(names), "text string, label int")))
+        ready(sample.mapInPandas(_examples(names), "text string, label int, whole boolean")))
     margin = F.array(F.get(vector_to_array("rawPrediction"), F.lit(1)))
-    platt = LogisticRegression(regParam=1e-4).fit(machine.transform(ready(sample)).select(array_to_vector(margin).alias("features"), "label"))
+    platt = LogisticRegression(regParam=1e-4).fit(machine.transform(ready(sample.withColumn("whole", F.lit(True)))).select(array_to_vector(margin).alias("features"), "label"))
     slope, shift = max(float(platt.coefficients[0]), 1e-6), float(platt.intercept)
     w = root @ machine.coefficients.toArray() * slope
     return KernelModel(names, tuple(map(float, w)), float(machine.intercept * slope + shift))
