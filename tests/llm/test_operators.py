@@ -117,6 +117,40 @@ def test_ordinal_grades(spark):
     assert all(list(r.tails) == sorted(r.tails, reverse=True) for r in out)
 
 
+def test_cumulative_likelihood():
+    """Loss and gradient against the plain formula, and the optimum against Newton's."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    grade = np.searchsorted([-1.0, 0.3, 1.5], x @ [1.0, -2.0, 0.5] + rng.logistic(size=300))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain(at):
+        cut = np.r_[-50.0, ordinal.thresholds(at[3:]), 50.0]
+        z = x @ at[:3]
+        return -np.log(sigmoid(cut[grade + 1] - z) - sigmoid(cut[grade] - z)).sum()
+
+    def slope(f, at):
+        return np.array([(f(at + e) - f(at - e)) / 2e-5 for e in 1e-5 * np.eye(6)])
+
+    at = np.array([0.5, -1.0, 0.2, -0.5, 0.1, -0.2])
+    loss, gradient = ordinal.losses(x, grade, at)
+    assert loss == pytest.approx(plain(at)) and np.allclose(gradient, slope(plain, at), atol=1e-4)
+    found = ordinal.minimise(lambda a: ordinal.losses(x, grade, a), at, steps=200)
+    for _ in range(20):
+        hessian = np.array([(ordinal.losses(x, grade, at + e)[1] - ordinal.losses(x, grade, at - e)[1]) / 2e-5 for e in 1e-5 * np.eye(6)])
+        at = at - np.linalg.solve(hessian, ordinal.losses(x, grade, at)[1])
+    assert np.allclose(found, at, atol=0.02) and np.all(np.diff(ordinal.thresholds(found[3:])) > 0)
+
+
+def test_ordinal_ties_and_clashing_columns(spark):
+    """A chance of just the bound is enough; columns named like the results are replaced."""
+    model = ordinal.OrdinalModel((0.0,) * ordinal.SIZE, (0.0, 1.0), (0, 1, 2))
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("tail", "tails", "selected", "expected_grade")})
+    out = ordinal.select(docs, model)
+    assert out.columns == ["doc_id", "text", "tail", "selected", "expected_grade"] or set(out.columns) == {"doc_id", "text", "tail", "selected", "expected_grade"}
+    assert all(r.tail == 0.5 and r.selected for r in out.collect())
+
+
 def test_ordinal_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
@@ -343,10 +377,35 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     got = toxicity.score(docs, model).where(toxicity.held_out()).join(labels, "doc_id").select("toxic", "score", "predicted").collect()
     pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
-    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.75
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.95
     assert sum(r.predicted for r in got if not r.toxic) <= 0.03 * len(neg)
 
 
+def test_nystroem_map():
+    """The landmarks' matrix is the kernel's, and inner products of mapped landmarks are too."""
+    marks = toxicity.Landmarks(("insult", "insults", "banana", "bananas", "pineapple"))
+    gram = marks.gram()
+    at, rows = marks.similar(["insult", "insults", "banana", "bananas", "pineapple"])
+    assert np.allclose(np.where(gram >= toxicity.FLOOR**toxicity.POWER, gram, 0), rows, atol=1e-4) and list(at) == list(range(5))
+    value, vector = np.linalg.eigh(gram)
+    z = gram @ vector @ np.diag(value**-0.5) @ vector.T
+    assert value.min() > 0 and np.allclose(z @ z.T, gram)
+
+
+def test_toxicity_of_odd_texts(spark, odd):
+    """Odd texts by a model with landmarks, repeated labels and columns named like the results."""
+    rows = [(i, f"a walk in the park with friend {i}{' idiot moron' if i % 3 == 0 else ''}. bye") for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    docs = spark.createDataFrame([*rows, (None, "idiot")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, *labels, (None, 1), (0, 0)], "doc_id long, toxic int"))
+    assert {"idiot", "moron"} <= set(model.landmarks)
+    more = [(50, "an i d i o t, an ixdiot and a moroon"), (51, "X" * 70_000), (52, "idiot " * 50_000), (53, "\x00 \ud83d\ude00 @$@ 1d10t")]
+    df = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({"score": F.lit("x"), "predicted": F.lit("y")})
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(ODD) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert {r.doc_id for r in got if r.predicted} >= {50, 52} and not any(r.predicted for r in got if r.doc_id in (1, 2, 3, 4, 5, 7, 51))
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 0, 0), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels)
