@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.scalars import clip
+_ROWS_AT_ONCE = 2_048
 
 
 def simplex(parts: int, steps: int) -> list[tuple[int, ...]]:
@@ -18,20 +20,28 @@ def simplex(parts: int, steps: int) -> list[tuple[int, ...]]:
 
 
 def blend_losses(df: DataFrame, label: str, scores: Sequence[str], points: Sequence[tuple[float, ...]]) -> DataFrame:
-    """w1, w2, ... and log_loss for each of the stated points.
+    """w1, w2, ... and log_loss for each of the stated points; rows with a null label or
+    score are left out.
 
-    Every row is met with every point and summed up in the same task; what is shuffled
-    is one sum per point and task."""
+    Each batch of rows is multiplied by all points at once in NumPy; what is shuffled is
+    one sum per point and batch."""
     names = [f"w{i + 1}" for i in range(len(scores))]
-    grid = F.array(*[F.struct(*[F.lit(float(w)).alias(n) for n, w in zip(names, p, strict=True)]) for p in points])
-    rows = df.select(F.col(label).cast("double").alias("_y"), *[F.col(s).alias(f"_p{i}") for i, s in enumerate(scores)])
-    rows = rows.withColumn("_w", F.explode(grid)).select("_y", *[f"_p{i}" for i in range(len(scores))], "_w.*")
-    p = F.lit(0.0)
-    for i, n in enumerate(names):
-        p = p + F.col(f"_p{i}") * F.col(n)
-    q = clip(p)
-    loss = -(F.col("_y") * F.ln(q) + (1 - F.col("_y")) * F.ln(1 - q))
-    return rows.groupBy(*names).agg(F.avg(loss).alias("log_loss"))
+    grid = np.array(points, float).reshape(-1, len(names)).T
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.dropna()
+            total = np.zeros(grid.shape[1])
+            for at in range(0, len(b), _ROWS_AT_ONCE):
+                y, *p = (b[c].to_numpy()[at : at + _ROWS_AT_ONCE] for c in b.columns)
+                q = np.clip(np.stack(p, axis=1) @ grid, 1e-15, 1 - 1e-15)
+                total -= y @ np.log(q) + (1 - y) @ np.log1p(-q)
+            yield pd.DataFrame({"_at": np.arange(len(total)), "_sum": total, "_n": len(b)})
+
+    rows = df.select(F.col(label).cast("double").alias("_y"), *[F.col(s).cast("double").alias(f"_p{i}") for i, s in enumerate(scores)])
+    found = rows.mapInPandas(sums, "_at int, _sum double, _n long").groupBy("_at").agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("log_loss"))
+    each = F.get(F.array(*[F.struct(*[F.lit(float(w)).alias(n) for n, w in zip(names, p, strict=True)]) for p in points]), F.col("_at"))
+    return found.select(each.alias("_w"), "log_loss").select("_w.*", "log_loss")
 
 
 def best_weights(df: DataFrame, label: str, scores: Sequence[str], steps: int = 20, refine: int = 2) -> tuple[float, ...]:

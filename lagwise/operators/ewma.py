@@ -3,7 +3,7 @@
 Two kernels. The block kernel takes time in proportion to the rows: a key's rows are
 cut into blocks so long that what lies two blocks back weighs under 1e-17; within a
 block a prefix sum of scaled values gives the mean, and the block before adds its
-end. It takes nulls as 0, so it is for columns without them. The folding kernel
+end. It is for columns without nulls and fails on one. The folding kernel
 keeps nulls out of the mean but lets weights decay over them; it folds the last rows
 of every row, at the cost of rows times block length."""
 
@@ -30,36 +30,52 @@ def reach(q: float) -> int:
     return math.ceil(math.log(1e-17) / math.log(q))
 
 
+def _fitting(qs: Sequence[float]) -> list[list[float]]:
+    """The decays in groups that can share blocks: within the longest block of a group no
+    value is scaled beyond what a double holds."""
+    out: list[list[float]] = []
+    for q in sorted(set(qs), reverse=True):
+        if out and -reach(out[-1][0]) * math.log10(q) < 250:
+            out[-1].append(q)
+        else:
+            out.append([q])
+    return out
+
+
+def _means(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: Sequence[str], order: Sequence[str], adjust: bool, lag: int) -> DataFrame:
+    """df plus, for each new name in wanted, the mean of its column by its decay. Decays
+    that share blocks share one pass of windows."""
+    out, whole = df, by(keys, order)
+    for group in _fitting([q for _, q in wanted.values()]):
+        n = reach(group[0])
+        names = {name: w for name, w in wanted.items() if w[1] in group}
+        out = out.withColumn("_i", F.row_number().over(whole) - 1)
+        out = out.withColumns({"_block": F.floor(F.col("_i") / n), "_o": F.col("_i") % n})
+        block = by([*keys, "_block"], order).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+        own, ends, total = {}, {}, {}
+        for k, (column, q) in enumerate(names.values()):
+            x = F.coalesce(F.col(column).cast("double"), F.raise_error(F.lit(f"{column} is null: take ewma_with_nulls")).cast("double"))
+            x = x if adjust else F.when(F.col("_i") == 0, x / (1 - q)).otherwise(x)
+            own[f"_s{k}"] = F.sum(x * F.pow(F.lit(q), -F.col("_o"))).over(block) * F.pow(F.lit(q), F.col("_o"))
+            ends[f"_e{k}"] = F.sum(F.when(F.col("_o") == n - 1, F.col(f"_s{k}"))).over(before)
+            s = F.col(f"_s{k}") + F.coalesce(F.col(f"_e{k}"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_o")) * q
+            total[f"_t{k}"] = s * (1 - q) / (1 - F.pow(F.lit(q), F.col("_i") + 1)) if adjust else s * (1 - q)
+        out = out.withColumns(own).withColumns(ends).withColumns(total)
+        out = out.withColumns({name: F.lag(f"_t{k}", lag).over(whole) if lag else F.col(f"_t{k}") for k, name in enumerate(names)})
+        out = out.drop("_i", "_block", "_o", *own, *ends, *total)
+    return out
+
+
 def ewma(df: DataFrame, columns: dict[str, str], keys: Sequence[str], order: Sequence[str], span: float | None = None,
          halflife: float | None = None, adjust: bool = False, lag: int = 1) -> DataFrame:
     """df plus, for each new name in columns, the mean of its column as of `lag` rows before.
 
     adjust=False starts from the first value; adjust=True divides by the sum of weights.
-    All columns share one pass; the key's shuffle is used for every window."""
+    All columns share one pass; the key's shuffle is used for every window. A null in a
+    column is an error."""
     q = keep_of(span, halflife)
-    n, alpha = reach(q), 1 - q
-    whole, out = by(keys, order), df
-    out = out.withColumn("_i", F.row_number().over(whole) - 1)
-    out = out.withColumns({"_block": F.floor(F.col("_i") / n), "_o": F.col("_i") % n})
-    block = by([*keys, "_block"], order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
-    grown = F.pow(F.lit(q), -F.col("_o"))
-    kept = F.pow(F.lit(q), F.col("_o"))
-    own = {}
-    for k, column in enumerate(columns.values()):
-        x = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
-        x = x if adjust else F.when(F.col("_i") == 0, x / alpha).otherwise(x)
-        own[f"_s{k}"] = F.sum(x * grown).over(block) * kept
-    out = out.withColumns(own)
-    ends = {f"_e{k}": F.sum(F.when(F.col("_o") == n - 1, F.col(f"_s{k}"))).over(before) for k in range(len(columns))}
-    out = out.withColumns(ends)
-    total = {}
-    for k in range(len(columns)):
-        s = F.col(f"_s{k}") + F.coalesce(F.col(f"_e{k}"), F.lit(0.0)) * kept * q
-        total[f"_t{k}"] = s * (1 - q) / (1 - F.pow(F.lit(q), F.col("_i") + 1)) if adjust else s * alpha
-    out = out.withColumns(total)
-    named = {name: F.lag(f"_t{k}", lag).over(whole) if lag else F.col(f"_t{k}") for k, name in enumerate(columns)}
-    return out.withColumns(named).drop("_i", "_block", "_o", *own, *ends, *total)
+    return _means(df, {name: (c, q) for name, c in columns.items()}, keys, order, adjust, lag)
 
 
 def ewma_with_nulls(value: str, keys, order, span: float | None = None, halflife: float | None = None, adjust: bool = False):
@@ -83,6 +99,5 @@ def fan_out(df: DataFrame, columns: Sequence[str], keys, order, window: int = 8,
     """df plus, for each column, <c>_rolling_<window> and <c>_ewma_<span> of earlier rows."""
     over = by(keys, order).rowsBetween(-window, -1)
     out = df.withColumns({f"{c}_rolling_{window}": F.avg(c).over(over) for c in columns})
-    for s in spans:
-        out = ewma(out, {f"{c}_ewma_{s}": c for c in columns}, keys, order, span=s)
-    return out
+    wanted = {f"{c}_ewma_{s}": (c, keep_of(span=s)) for s in spans for c in columns}
+    return _means(out, wanted, keys, order, adjust=False, lag=1)

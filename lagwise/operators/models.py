@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import binary_metrics
-from .splits import fold_bounds
+from .splits import fold_bounds, positions
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
@@ -80,15 +80,16 @@ class Result:
         return sum(self.losses) / len(self.losses)
 
 
-def expanding_cv(df: DataFrame, make: Callable[[dict], Estimator], candidates: Sequence[dict], folds: int = 5, parallel: int = 4) -> list[Result]:
+def expanding_cv(df: DataFrame, make: Callable[[dict, int], Estimator], candidates: Sequence[dict], folds: int = 5, parallel: int = 4) -> list[Result]:
     """Each candidate's log loss in each fold, best first. df has a position column; a
-    fold trains on all rows before those that it validates. Fits run side by side."""
+    fold trains on all rows before those that it validates, and make gets the number of
+    these rows too. Fits run side by side."""
     df = df.cache()
     bounds = fold_bounds(df.count(), folds)
 
     def one(job):
         params, (a, b) = job
-        model = make(params).fit(df.where(F.col("position") < a))
+        model = make(params, a).fit(df.where(F.col("position") < a))
         return log_loss(chance(df.where((F.col("position") >= a) & (F.col("position") < b)), model))
 
     with ThreadPoolExecutor(parallel) as pool:
@@ -127,13 +128,13 @@ def _logit(p: str):
     return F.ln(q / (1 - q))
 
 
-def calibrate(df: DataFrame, make: Callable[[], Estimator], folds: int = 5) -> Calibrated:
-    """Per fold: fit on what is before it, then a sigmoid on the fold's own scores, with
+def calibrate(df: DataFrame, make: Callable[[int], Estimator], folds: int = 5) -> Calibrated:
+    """Per fold: fit what make gives for so many rows on what is before it, then a sigmoid on the fold's own scores, with
     targets drawn in from 0 and 1 by the number of examples of each label."""
     bounds = fold_bounds(df.count(), folds)
     parts = []
     for a, b in bounds:
-        model = make().fit(df.where(F.col("position") < a))
+        model = make(a).fit(df.where(F.col("position") < a))
         seen = chance(df.where((F.col("position") >= a) & (F.col("position") < b)), model).select("label", array_to_vector(F.array(_logit("p"))).alias("features"))
         n = seen.agg(F.sum("label"), F.count(F.lit(1))).first()
         pos, neg = float(n[0]), float(n[1] - n[0])
@@ -150,10 +151,11 @@ def permutation_importance(df: DataFrame, model: Model, columns: Sequence[str],
     """feature, importance: the mean drop of accuracy when the feature's values are
     dealt to other rows.
 
-    Values are dealt by joining rows by their places in two hash orders, for all
-    features and repeats in one job; places come from per-bucket numbers, so no task
+    Values are dealt by joining rows by their places in two hash orders, in one job for
+    all features and repeats; a row is shuffled twice per repeat and then serves all
+    features. Places come from per-bucket numbers, so no task
     numbers all rows."""
-    rows = df.select(key, "label", vector_to_array("features").alias("x")).withColumn("_n", F.lit(1))
+    rows = df.select(key, "label", vector_to_array("features").alias("x"))
     every = rows.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
     mine = _place(every, F.xxhash64(F.lit(seed), "repeat", key), key).select(key, "label", "x", "repeat", "place")
     other = _place(every, F.xxhash64(F.lit(seed + 1), "repeat", key), key).select("repeat", "place", F.col("x").alias("dealt"))
@@ -187,20 +189,27 @@ def tree_importance(spark, model, columns: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def backward_selection(df: DataFrame, columns: Sequence[str], make: Callable[[int], Estimator], order: Sequence[str], folds: int = 3, least: int = 1,
+def backward_selection(df: DataFrame, columns: Sequence[str], make: Callable[[int, int], Estimator], folds: int = 3, least: int = 1, parallel: int = 4,
                        confirm: Callable[[DataFrame, list[str]], float] | None = None) -> tuple[list[str], list[tuple[str, float]]]:
     """Columns that stay when the one whose loss without it is least goes, as long as the
-    loss gets no worse; and what went, with the loss then. confirm, if given, is a
-    slower loss that has to agree."""
+    loss gets no worse; and what went, with the loss then. make gets the numbers of
+    columns and of rows. The candidates of a step are fitted side by side. confirm, if
+    given, is a slower loss that has to agree."""
+    df = df.cache()
+    bounds = fold_bounds(df.count(), folds)
 
     def loss(chosen: list[str]) -> float:
-        return expanding_cv(assemble(df, chosen).select("features", "label", "position"), lambda _: make(len(chosen)), [{}], folds)[0].loss
+        some = assemble(df, chosen).select("features", "label", "position")
+        found = [log_loss(chance(some.where((F.col("position") >= a) & (F.col("position") < b)),
+                                 make(len(chosen), a).fit(some.where(F.col("position") < a)))) for a, b in bounds]
+        return sum(found) / folds
 
     kept, gone = list(columns), []
     best = loss(kept)
     sure = confirm(df, kept) if confirm else None
     while len(kept) > least:
-        tried = sorted((loss([c for c in kept if c != x]), x) for x in kept)
+        with ThreadPoolExecutor(parallel) as pool:
+            tried = sorted(zip(pool.map(lambda x: loss([c for c in kept if c != x]), kept), kept, strict=True))  # noqa: B023
         if tried[0][0] > best:
             break
         left = [c for c in kept if c != tried[0][1]]
@@ -211,9 +220,22 @@ def backward_selection(df: DataFrame, columns: Sequence[str], make: Callable[[in
             sure = again
         best, kept = tried[0][0], left
         gone.append((tried[0][1], best))
+    df.unpersist()
     return kept, gone
 
 
+def retrain_calibrated(df: DataFrame, columns: Sequence[str], make: Callable[[int], Estimator], first: str, order: Sequence[str], folds: int = 5,
+                       split: str = "split", parts: Sequence[str] = ("train", "val")) -> DataFrame:
+    """df plus p: scaler, folds and their sigmoids are all fitted anew on the parts, and
+    every row is scored. df has label, first (a date or number) and order, which give the
+    positions of the folds."""
+    scaled = assemble(scale_by_train(df, columns, split, parts), columns)
+    own = positions(scaled.where(F.col(split).isin(*parts)), first, order).select("features", "label", "position").cache()
+    model = calibrate(own, make, folds)
+    own.unpersist()
+    return model.transform(scaled).drop("features")
+
+
 def retrain(df: DataFrame, make: Callable[[], Estimator], columns: Sequence[str], split: str = "split", parts: Sequence[str] = ("train", "val")) -> PipelineModel:
     """A pipeline of assembling, standardising and the estimator, fitted on the parts."""
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,33 @@ def only_pairs(df: DataFrame, game: str) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(game))).where("_n = 2").drop("_n")
 
 
+def side(matchup: str, home: str = " vs. ", away: str = " @ ") -> Column:
+    """'home' or 'away' by the text that stands in a matchup such as 'AAA vs. BBB', taken
+    literally; null if neither does."""
+    return F.when(F.col(matchup).contains(home), "home").when(F.col(matchup).contains(away), "away")
+
+
+def opponent_code(matchup: str, n: int = 3) -> Column:
+    """The last n characters."""
+    return F.right(F.col(matchup), F.lit(n))
+
+
+def home_flag(df: DataFrame, game: str, matchup: str, order: Sequence[str], name: str = "home") -> DataFrame:
+    """The rows of games that have exactly two, plus which of them is at home: the first
+    in order if its matchup says so, else the second."""
+    w = Window.partitionBy(game)
+    first = F.first(F.coalesce(side(matchup) == "home", F.lit(False))).over(w.orderBy(*order))
+    return (df.withColumns({"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(*order)), "_first": first}).where("_n = 2")
+            .withColumn(name, (F.col("_k") == 1) == F.col("_first")).drop("_n", "_k", "_first"))
+
+
+def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str], fill: float | None = None) -> DataFrame:
+    """df plus columns of other, joined left on keys; other has one row for each. What
+    isn't found is null, or fill."""
+    out = df.join(other.select(*keys, *columns), list(keys), "left")
+    return out if fill is None else out.fillna(fill, list(columns))
+
+
 def with_opponent(df: DataFrame, game: str, team: str, opponent: str, columns: Sequence[str], prefix: str = "opp_") -> DataFrame:
     """df with columns of the row of the same game whose team is the opponent; rows
     without such a row are dropped."""

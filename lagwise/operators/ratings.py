@@ -40,3 +40,9 @@ def rating_replay(games: DataFrame, pool: str, order: Sequence[str], home: str,
             yield b.assign(home_rating=[x for x, _ in before], away_rating=[x for _, x in before])
 
     return games.repartition(F.col(pool)).sortWithinPartitions(pool, *order).mapInPandas(replay, schema)
+
+
+def by_team(replayed: DataFrame, game: str, home: str, away: str) -> DataFrame:
+    """game, team, rating: two rows for each replayed game, to attach to rows of teams."""
+    sides = F.array(*[F.struct(F.col(t).alias("team"), F.col(f"{s}_rating").alias("rating")) for s, t in (("home", home), ("away", away))])
+    return replayed.select(game, F.explode(sides).alias("_s")).select(game, "_s.team", "_s.rating")

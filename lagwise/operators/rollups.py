@@ -34,7 +34,8 @@ def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
 
 def stable_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same however the rows are partitioned; top-n by a hash of the key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.orderBy(mixed, key).limit(n)
 
 
 def top(df: DataFrame, value: str, n: int = 15, ties: Sequence[str] = ()) -> DataFrame:

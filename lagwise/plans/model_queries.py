@@ -31,12 +31,13 @@ def training(spark, d):
     """game, position, split, label and standardised features of every game."""
     g = game_table(spark, d).fillna(0.0, ["delta_form"])
     g = g.withColumn("split", splits.chrono_split("season", 1998, 1999)).withColumn("label", F.col("home_win").cast("double"))
-    g = models.scale_by_train(g.select("game", "date", "split", "label", *FEATURES).cache(), FEATURES)
-    return models.assemble(splits.positions(g, "date", ["game"]), FEATURES)
+    return splits.positions(g.select("game", "date", "split", "label", *FEATURES), "date", ["game"])
 
 
 def _parts(spark, d):
-    t = training(spark, d).cache()
+    """training, kept once as it is read by every fit, and its train and test rows."""
+    raw = training(spark, d).persist()
+    t = models.assemble(models.scale_by_train(raw, FEATURES), FEATURES)
     return t, t.where("split = 'train'"), t.where("split = 'test'")
 
 
@@ -46,9 +47,9 @@ def _scored(df, model):
 
 @query()
 def pca_embeddings(spark, d):
-    """Four components of the vectors, fitted on half of them."""
+    """Four components of the vectors, standardised and fitted on all of them."""
     e = v.table(spark, d, "embeddings").withColumn("x", array_to_vector(F.transform("embedding", lambda f: f.cast("double"))))
-    out, _ = models.pca_by_train(e, "x", 4, F.col("vec_id") % 2 == 0)
+    out, _ = models.pca_by_train(e, "x", 4, F.lit(True))
     return out.select("vec_id", *[F.round(f"pca_{i}", 6).alias(f"pca_{i}") for i in range(1, 5)])
 
 
@@ -70,29 +71,24 @@ def mlp_fit(spark, d):
     return _scored(t, models.perceptron(len(FEATURES), (8,), maxIter=50).fit(train))
 
 
-def _results(spark, found):
-    rows = [(i, str(x.params), fold, float(loss)) for i, x in enumerate(found) for fold, loss in enumerate(x.losses)]
-    return spark.createDataFrame(rows, "rank int, params string, fold int, log_loss double")
-
-
 @query()
 def random_search(spark, d):
     t, train, _ = _parts(spark, d)
     space = {"maxDepth": [2, 3], "maxIter": [5, 10], "stepSize": [0.05, 0.1]}
-    return _results(spark, models.expanding_cv(train, lambda p: models.trees(**p), models.draws(space, 3), folds=3))
+    return sinks.cv_results(spark, models.expanding_cv(train, lambda p, n: models.trees(**p), models.draws(space, 3), folds=3))
 
 
 @query()
 def grid_search(spark, d):
     t, train, _ = _parts(spark, d)
-    n = train.count()
-    return _results(spark, models.expanding_cv(train, lambda p: models.logistic(p["c"], n), models.grid({"c": [0.001, 0.01, 0.1, 1.0]}), folds=5))
+    space = {"c": [0.0001, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 1000.0]}
+    return sinks.cv_results(spark, models.expanding_cv(train, lambda p, n: models.logistic(p["c"], n), models.grid(space), folds=5))
 
 
 @query()
 def sigmoid_calibration(spark, d):
     t, train, _ = _parts(spark, d)
-    model = models.calibrate(train, lambda: models.logistic(0.1, 1000), folds=3)
+    model = models.calibrate(train, lambda n: models.logistic(0.1, n), folds=5)
     return model.transform(t).select("game", "split", F.col("label").cast("int").alias("label"), F.round("p", 6).alias("p"))
 
 
@@ -100,7 +96,7 @@ def sigmoid_calibration(spark, d):
 def permutation_importance(spark, d):
     t, train, test = _parts(spark, d)
     model = models.logistic(0.1, train.count()).fit(train)
-    return models.permutation_importance(test, model, FEATURES, "game", repeats=5).select("feature", F.round("importance", 6).alias("importance"))
+    return models.permutation_importance(test, model, FEATURES, "game").select("feature", F.round("importance", 6).alias("importance"))
 
 
 @query()
@@ -118,27 +114,29 @@ def tree_importance(spark, d):
 @query()
 def backward_selection(spark, d):
     t, train, _ = _parts(spark, d)
-    kept, gone = models.backward_selection(train.drop("features"), FEATURES[:4], lambda n: models.logistic(0.1, 1000), ["date", "game"], folds=3)
+    kept, gone = models.backward_selection(train.drop("features"), FEATURES, lambda k, n: models.logistic(0.1, n), folds=3)
     rows = [(c, True, None) for c in kept] + [(c, False, float(x)) for c, x in gone]
     return spark.createDataFrame(rows, "feature string, kept boolean, log_loss_without double")
 
 
 @query()
 def ensemble_report(spark, d):
-    """Three models retrained on train and val, blended by weights from val: one row of
-    test metrics for each and for the blend."""
-    t, train, _ = _parts(spark, d)
-    makers = {"lr": lambda n: models.logistic(0.1, n), "trees": lambda n: models.trees(maxIter=10, maxDepth=3, stepSize=0.1), "mlp": lambda n: models.perceptron(len(FEATURES), (8,), maxIter=50)}
-    val, n = t.where("split = 'val'"), train.count()
-    for name, make in makers.items():
-        val = models.chance(val, make(n).fit(train), name)
-    weights = blend.best_weights(val, "label", list(makers), steps=10, refine=1)
-    both, test = t.where("split in ('train', 'val')"), t.where("split = 'test'")
+    """Three calibrated models, blended by weights from val, then scaled, calibrated and
+    retrained on train and val: one row of test metrics for each and for the blend."""
+    t, _, _ = _parts(spark, d)
+    raw = t.select("game", "date", "split", "label", *FEATURES)
+    makers = {"lr": lambda n: models.logistic(0.1, n), "trees": lambda n: models.trees(maxIter=5, maxDepth=3, stepSize=0.1), "mlp": lambda n: models.perceptron(len(FEATURES), (8,), maxIter=50)}
+    val, test = t.where("split = 'val'"), None
     for name, make in makers.items():
-        test = models.chance(test, make(both.count()).fit(both), name)
-    mixed = sum((F.col(m) * w for m, w in zip(makers, weights, strict=True)), F.lit(0.0))
-    test = test.withColumn("label", F.col("label").cast("int")).withColumn("ensemble", mixed)
-    long = test.select("label", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in (*makers, "ensemble")])).alias("m")).select("label", "m.*").cache()
+        model = models.calibrate(t.where("split = 'train'"), make, folds=3)
+        val = model.transform(val, name)
+        own = models.retrain_calibrated(raw, FEATURES, make, "date", ["game"], folds=3).where("split = 'test'")
+        own = own.select("game", F.col("label").cast("int").alias("label"), F.lit(name).alias("model"), "p")
+        test = own if test is None else test.unionByName(own)
+    weights = dict(zip(makers, blend.best_weights(val, "label", list(makers), steps=10, refine=1), strict=True))
+    w = F.coalesce(*[F.when(F.col("model") == m, F.lit(x)) for m, x in weights.items()])
+    mixed = test.groupBy("game", "label").agg(F.sum(F.col("p") * w).alias("p")).select("game", "label", F.lit("ensemble").alias("model"), "p")
+    long = test.unionByName(mixed).persist()
     scores = metrics.binary_metrics(long, "label", "p", ["model"]).join(metrics.roc_auc(long, "label", "p", ["model"]), "model")
-    own = sinks.metrics_table(spark, {m: {"weight": w} for m, w in zip(makers, weights, strict=True)})
+    own = sinks.metrics_table(spark, {m: {"weight": x} for m, x in weights.items()})
     return scores.join(own, "model", "left")

@@ -72,21 +72,39 @@ def dedupe_last(spark, d):
     return last.select("player", "date", "game", "line", "team", "minutes", r("pts").alias("pts"))
 
 
-_ROLL = {"pts": ["sum", "std", "max", "mean"], "minutes": ["sum", "std", "max", "mean"], "ast": ["sum", "std", "max", "mean"], "tov": ["sum", "std", "max", "mean"]}
+_ROLL = {c: ["sum", "std", "max", "mean"] for c in ("pts", "minutes", "ast", "tov", "fgm", "fg3m", "fta", "oreb", "dreb", "stl", "blk", "pf")}
+_FILLED = ("pts", "minutes", "ast", "tov")
 _AGG = {"sum": "sum", "std": "stddev_samp", "max": "max", "mean": "avg"}
 
 
 def _roll_sql() -> str:
-    cols = [f"round({'coalesce(' if (f, c) == ('std', 'pts') else ''}{_AGG[f]}({c}){', 0)' if (f, c) == ('std', 'pts') else ''}, 6) AS {f}_{c}" for c, fs in _ROLL.items() for f in fs]
+    cols = [f"round({'coalesce(' if f == 'std' and c in _FILLED else ''}{_AGG[f]}({c}){', 0)' if f == 'std' and c in _FILLED else ''}, 6) AS {f}_{c}" for c, fs in _ROLL.items() for f in fs]
     return f"WITH {v.PLOG} SELECT game, team, {', '.join(cols)} FROM plog GROUP BY game, team"
 
 
 @query(_roll_sql())
 def roster_rollup(spark, d):
-    out = rollups.roster_rollup(v.plog(spark, d), ["game", "team"], _ROLL, fill_std=["pts"])
+    out = rollups.roster_rollup(v.plog(spark, d), ["game", "team"], _ROLL, fill_std=_FILLED)
     return out.select("game", "team", *[r(c).alias(c) for c in out.columns[2:]])
 
 
+_LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player, date ORDER BY game DESC, line DESC, team DESC, minutes DESC, pts DESC) AS k FROM plog) WHERE k = 1)"
+_BEFORE = "OVER (PARTITION BY player ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH {v.PLOG}, {_LAST}, e AS (SELECT player, date, avg(pts) {_BEFORE} AS embed_1, avg(minutes) {_BEFORE} AS embed_2 FROM last)
+SELECT p.player, p.date, p.game, p.line, p.team, p.minutes, round(coalesce(embed_1, 0), 6) AS embed_1, round(coalesce(embed_2, 0), 6) AS embed_2,
+round(coalesce(embed_1, 0) * p.minutes, 4) AS embed_1_minutes FROM plog p LEFT JOIN e ON p.player = e.player AND p.date = e.date AND e.embed_1 IS NOT NULL""")
+def attach_embeddings(spark, d):
+    """Vectors of a player's earlier days, without first days, attached to all of a day's rows."""
+    p = v.plog(spark, d)
+    last = windows.keep_last(p, ["player", "date"], ["game", "line", "team", "minutes", "pts"])
+    e = last.select("player", "date", *[windows.rolling_mean(c, 8, ["player"], ["date"]).alias(n) for n, c in (("embed_1", "pts"), ("embed_2", "minutes"))]).dropna(subset=["embed_1"])
+    out = pairs.attach(p, e, ["player", "date"], ["embed_1", "embed_2"], fill=0.0)
+    return out.select("player", "date", "game", "line", "team", "minutes", r("embed_1").alias("embed_1"), r("embed_2").alias("embed_2"),
+                      r(F.col("embed_1") * F.col("minutes"), 4).alias("embed_1_minutes"))
+
+
 @query(f"WITH {v.PLOG} SELECT team, round({_ratio('max(pts)', 'sum(pts)')}, 6) AS star_share FROM plog GROUP BY team")
 def star_share(spark, d):
     return v.plog(spark, d).groupBy("team").agg(r(rollups.star_share("pts")).alias("star_share"))
@@ -195,7 +213,7 @@ def _blend_sql(p: str) -> str:
 @query(f"""WITH {v.PREDS}, g AS (SELECT a / 20.0::DOUBLE AS w1, b / 20.0::DOUBLE AS w2, (20 - a - b) / 20.0::DOUBLE AS w3 FROM range(21) x(a), range(21) z(b) WHERE a + b <= 20)
 SELECT w1, w2, w3, round(avg({_blend_sql('(p1 * w1 + p2 * w2 + p3 * w3)')}), 6) AS log_loss FROM preds, g GROUP BY w1, w2, w3""")
 def blend_weights(spark, d):
-    """The loss of each point of the weights' grid."""
+    """The loss of each point of the weights' grid, in steps of a twentieth."""
     points = [tuple(i / 20 for i in t) for t in blend.simplex(3, 20)]
     return blend.blend_losses(v.preds(spark, d), "y", ["p1", "p2", "p3"], points).select("w1", "w2", "w3", r("log_loss").alias("log_loss"))
 
@@ -235,7 +253,7 @@ def top_features(spark, d):
     return rollups.top(v.table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 15, ["p_partkey"])
 
 
-@query()
+@query("SELECT event_id, value FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 100")
 def stable_sample(spark, d):
     return rollups.stable_sample(v.table(spark, d, "events").select("event_id", "value"), "event_id", 100)
 

@@ -120,13 +120,16 @@ def expanding_zscore(spark, d):
     return v.box(spark, d).select("team", "game", r(windows.expanding_zscore("pts", ["team", "season"], ["date", "game"])).alias("z"))
 
 
-_Z = f"""z AS (SELECT *, coalesce((pts - avg(pts) OVER w) / nullif(stddev_samp(pts) OVER w, 0), 0) AS z_pts,
-coalesce((att - avg(att) OVER w) / nullif(stddev_samp(att) OVER w, 0), 0) AS z_att FROM box WINDOW w AS (PARTITION BY season))"""
+#: Every number of a team's game, with products of pairs, to a row of ten.
+WIDE = {"pts": "pts", "att": "att", "ast": "ast", "tov": "tov", "pts_att": "pts * att", "pts_ast": "pts * ast", "pts_tov": "pts * tov",
+        "att_ast": "att * ast", "att_tov": "att * tov", "ast_tov": "ast * tov"}
+_Z = f"""x AS (SELECT team, game, date, season, {', '.join(f'{e} AS {c}' for c, e in WIDE.items())} FROM box),
+z AS (SELECT *, {', '.join(f'coalesce(({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0), 0) AS z_{c}' for c in WIDE)} FROM x WINDOW w AS (PARTITION BY season))"""
 
 
 def _fan_sql() -> str:
     cols = []
-    for c in ("z_pts", "z_att"):
+    for c in (f"z_{c}" for c in WIDE):
         cols.append(f"round(avg({c}) OVER ({TEAM_SQL} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 6) AS {c}_rolling_8")
         for s in (3, 5, 10):
             q = ewma.keep_of(span=s)
@@ -136,8 +139,9 @@ def _fan_sql() -> str:
 
 @query(_fan_sql())
 def feature_fanout(spark, d):
-    z = windows.group_zscore(v.box(spark, d), ["season"], ["pts", "att"])
-    out = ewma.fan_out(z, ["z_pts", "z_att"], *v.TEAM)
+    x = v.box(spark, d).select("team", "game", "date", "season", *[F.expr(e).alias(c) for c, e in WIDE.items()])
+    z = windows.group_zscore(x, ["season"], list(WIDE))
+    out = ewma.fan_out(z, [f"z_{c}" for c in WIDE], *v.TEAM)
     return out.select("team", "game", *[r(c).alias(c) for c in out.columns if "_rolling_" in c or "_ewma_" in c])
 
 
@@ -162,6 +166,22 @@ def pair_games(spark, d):
     return pairs.pair_up(pairs.only_pairs(v.box(spark, d), "game"), "game", "home", ["team", "pts"])
 
 
+_MATCHUP = """m AS (SELECT game, team, opponent, lpad(CAST(team AS VARCHAR), 4, '0') || CASE WHEN game % 5 = 0 THEN ' - ' WHEN home THEN ' vs. ' ELSE ' @ ' END
+  || lpad(CAST(opponent AS VARCHAR), 4, '0') AS matchup FROM box),
+k AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY team) AS i, first_value(contains(matchup, ' vs. ')) OVER (PARTITION BY game ORDER BY team) AS f FROM m)"""
+
+
+@query(f"""WITH {v.BOX}, {_MATCHUP} SELECT game, team, matchup, CASE WHEN contains(matchup, ' vs. ') THEN 'home' WHEN contains(matchup, ' @ ') THEN 'away' END AS side,
+right(matchup, 3) AS opponent_code, (i = 1) = f AS home FROM k""")
+def matchup_sides(spark, d):
+    """Sides read from texts such as '0012 vs. 0007'; in a fifth of the games, where the
+    text doesn't tell, the second row is at home."""
+    code = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
+    sign = F.when(F.col("game") % 5 == 0, " - ").when(F.col("home"), " vs. ").otherwise(" @ ")
+    b = v.box(spark, d).select("game", "team", F.concat(code("team"), sign, code("opponent")).alias("matchup"))
+    return pairs.home_flag(b, "game", "matchup", ["team"]).select("game", "team", "matchup", pairs.side("matchup").alias("side"), pairs.opponent_code("matchup").alias("opponent_code"), "home")
+
+
 @query(f"WITH {v.GAMES} SELECT game, home_win, round(delta_pts, 6) AS delta_pts, round(delta_form, 6) AS delta_form FROM games WHERE delta_form IS NOT NULL")
 def game_deltas(spark, d):
     return v.games(spark, d).dropna(subset=["delta_form"]).select("game", "home_win", r("delta_pts").alias("delta_pts"), r("delta_form").alias("delta_form"))
@@ -175,7 +195,7 @@ def home_win_by_form(spark, d):
     return g.groupBy("season").agg(F.count(F.lit(1)).alias("games"), r(F.avg(right)).alias("form_won"))
 
 
-@query(f"""WITH RECURSIVE {v.GAMES}, ids AS (SELECT team, row_number() OVER (ORDER BY team) AS k FROM (SELECT DISTINCT team FROM box)),
+_REPLAY = f"""WITH RECURSIVE {v.GAMES}, ids AS (SELECT team, row_number() OVER (ORDER BY team) AS k FROM (SELECT DISTINCT team FROM box)),
 g AS (SELECT game, c_nationkey AS pool, h.k AS h, a.k AS a, home_win, row_number() OVER (PARTITION BY c_nationkey ORDER BY date, game) AS i
   FROM games JOIN customer ON host = c_custkey JOIN ids h ON h.team = home_team JOIN ids a ON a.team = away_team),
 run(pool, i, game, hr, ar, rs) AS (
@@ -184,11 +204,24 @@ run(pool, i, game, hr, ar, rs) AS (
   SELECT r.pool, g.i, g.game, r.rs[g.h], r.rs[g.a], list_transform(r.rs, lambda x, k: CASE
     WHEN k = g.h THEN x + 20 * (g.home_win - 1 / (1 + pow(10, (r.rs[g.a] - r.rs[g.h]) / 400)))
     WHEN k = g.a THEN x - 20 * (g.home_win - 1 / (1 + pow(10, (r.rs[g.a] - r.rs[g.h]) / 400))) ELSE x END)
-  FROM run r JOIN g ON g.pool = r.pool AND g.i = r.i + 1)
-SELECT game, CAST(pool AS INTEGER) AS pool, round(hr, 4) AS home_rating, round(ar, 4) AS away_rating FROM run WHERE i > 0""")
-def rating_replay(spark, d):
-    """Ratings in the pool of the host's nation."""
+  FROM run r JOIN g ON g.pool = r.pool AND g.i = r.i + 1)"""
+
+
+def _replayed(spark, d):
+    """Games with both ratings, in the pool of the host's nation."""
     c = v.table(spark, d, "customer").select(F.col("c_custkey").alias("host"), F.col("c_nationkey").alias("pool"))
     g = v.games(spark, d).join(c, "host").select("game", "date", "pool", "home_team", "away_team", "home_win")
-    out = ratings.rating_replay(g, "pool", ["date", "game"], "home_team", "away_team", "home_win")
-    return out.select("game", "pool", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))
+    return ratings.rating_replay(g, "pool", ["date", "game"], "home_team", "away_team", "home_win")
+
+
+@query(_REPLAY + " SELECT game, CAST(pool AS INTEGER) AS pool, round(hr, 4) AS home_rating, round(ar, 4) AS away_rating FROM run WHERE i > 0")
+def rating_replay(spark, d):
+    """Ratings in the pool of the host's nation."""
+    return _replayed(spark, d).select("game", "pool", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))
+
+
+@query(_REPLAY + """ SELECT b.game, b.team, round(CASE WHEN b.home THEN r.hr ELSE r.ar END, 4) AS rating FROM box b LEFT JOIN (SELECT * FROM run WHERE i > 0) r ON b.game = r.game""")
+def team_ratings(spark, d):
+    """Each team's rating before its game, attached to its row."""
+    own = ratings.by_team(_replayed(spark, d), "game", "home_team", "away_team")
+    return pairs.attach(v.box(spark, d).select("game", "team"), own, ["game", "team"], ["rating"]).select("game", "team", r("rating", 4).alias("rating"))

@@ -65,3 +65,31 @@ def scaler_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(path: str, kind=None):
+    """A model that save_model has written; kind is its class, a pipeline if None."""
+    from pyspark.ml import PipelineModel
+
+    return (kind or PipelineModel).load(path)
+
+
+def cv_results(spark: SparkSession, found) -> DataFrame:
+    """rank, params, fold, log_loss of a search's results, the best first; params as JSON."""
+    rows = [(i, json.dumps(plain(x.params), sort_keys=True), fold, float(loss)) for i, x in enumerate(found) for fold, loss in enumerate(x.losses)]
+    return spark.createDataFrame(rows, "rank int, params string, fold int, log_loss double")
+
+
+def write_search(spark: SparkSession, found, path: str) -> None:
+    """A search's results as a table and its best parameters as a record, below path."""
+    write_dataset(cv_results(spark, found), f"{path}/cv_results")
+    write_record(spark, dict(found[0].params), f"{path}/best_params")
+
+
+def report(metrics: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
+    """A metrics table for reading: accuracy in percent with one decimal, the rest with
+    three, unless digits has the column's own number."""
+    digits = digits or {}
+    cut = {c: F.round(F.col(c) * (100 if c == "accuracy" else 1), digits.get(c, 1 if c == "accuracy" else 3))
+           for c, t in metrics.dtypes if t == "double"}
+    return metrics.withColumns(cut)

@@ -46,7 +46,7 @@ def test_pca_is_eigh(spark):
 
 def test_cv_and_search(data):
     df, _, _ = data
-    found = models.expanding_cv(df, lambda p: models.logistic(p["c"], 100), models.grid({"c": [1e-4, 1.0]}), folds=3)
+    found = models.expanding_cv(df, lambda p, n: models.logistic(p["c"], n), models.grid({"c": [1e-4, 1.0]}), folds=3)
     assert found[0].params == {"c": 1.0} and len(found[0].losses) == 3
     assert models.draws({"a": [1, 2, 3], "b": [1, 2]}, 4) == models.draws({"a": [1, 2, 3], "b": [1, 2]}, 4)
     assert len(models.draws({"a": [1]}, 4)) == 1
@@ -54,7 +54,7 @@ def test_cv_and_search(data):
 
 def test_calibration(data):
     df, _, _ = data
-    model = models.calibrate(df, lambda: models.logistic(0.01, 100), folds=3)
+    model = models.calibrate(df, lambda n: models.logistic(0.01, n), folds=3)
     p = [r.p for r in model.transform(df).collect()]
     assert 0 <= min(p) and max(p) <= 1
     plain = models.log_loss(models.chance(df, models.logistic(0.01, 100).fit(df)))
@@ -73,10 +73,36 @@ def test_importance(spark, data):
 
 def test_backward_selection_and_retrain(data):
     df, _, _ = data
-    kept, gone = models.backward_selection(df.drop("features"), ["a", "b", "c"], lambda n: models.logistic(1.0, 100), ["position"], folds=2)
+    kept, gone = models.backward_selection(df.drop("features"), ["a", "b", "c"], lambda k, n: models.logistic(1.0, n), folds=2)
     assert "a" in kept and set(kept) | {c for c, _ in gone} == {"a", "b", "c"}
     split = df.drop("features").withColumn("split", F.when(F.col("position") < 300, "train").otherwise("test"))
     model = models.retrain(split, lambda: models.logistic(1.0, 300), ["a", "b", "c"])
     assert models.log_loss(models.chance(split, model)) < 0.4
     scaled = models.scale_by_train(split, ["a"]).where("split = 'train'").agg(F.avg("a"), F.stddev_pop("a")).first()
     assert scaled[0] == pytest.approx(0, abs=1e-9) and scaled[1] == pytest.approx(1)
+
+
+def test_ridge_of_each_fold(data):
+    """A fold's penalty is by its own number of rows."""
+    df, x, y = data
+    seen = []
+    models.expanding_cv(df, lambda p, n: seen.append(n) or models.logistic(1.0, n), [{}], folds=3)
+    assert sorted(seen) == [100, 200, 300]
+
+
+def test_calibrated_retrain(spark, data):
+    df, _, _ = data
+    split = df.drop("features").withColumn("split", F.when(F.col("position") < 300, "train").otherwise("test")).withColumn("day", F.floor(F.col("position") / 10))
+    out = models.retrain_calibrated(split, ["a", "b", "c"], lambda n: models.logistic(1.0, n), "day", ["position"], folds=3)
+    assert out.count() == 400 and models.log_loss(out.where("split = 'test'")) < 0.4
+
+
+def test_saved_model_loads(spark, data, tmp_path):
+    from lagwise.sources import sinks
+
+    df, _, _ = data
+    split = df.drop("features").withColumn("split", F.lit("train"))
+    model = models.retrain(split, lambda: models.logistic(1.0, 400), ["a", "b", "c"])
+    sinks.save_model(model, str(tmp_path / "m"))
+    again = sinks.load_model(str(tmp_path / "m"))
+    assert models.log_loss(models.chance(split, again)) == pytest.approx(models.log_loss(models.chance(split, model)))

@@ -82,9 +82,22 @@ def test_seasons(spark):
 
 
 def test_records(spark, tmp_path):
-    record = {"f": np.float64(3.14159), "a": np.array([1, 2, 3]), "i": np.int64(42), "s": {"b", "a"}, "d": dt.date(2020, 1, 1)}
+    record = {"run": {"seed": np.int32(7), "share": np.float32(0.25), "ok": np.bool_(True)}, "bounds": np.array([[1999, 2004], [2005, 2010]]), "none": np.array([]),
+              "models": {"trees", "lr"}, "gap": None, "from": dt.date(2020, 1, 1), "pair": (np.float64(0.5), "x")}
     sinks.write_record(spark, record, str(tmp_path / "r"))
-    assert sinks.read_record(spark, str(tmp_path / "r")) == {"f": 3.14159, "a": [1, 2, 3], "i": 42, "s": ["a", "b"], "d": "2020-01-01"}
+    assert sinks.read_record(spark, str(tmp_path / "r")) == {"run": {"seed": 7, "share": 0.25, "ok": True}, "bounds": [[1999, 2004], [2005, 2010]], "none": [],
+                                                             "models": ["lr", "trees"], "gap": None, "from": "2020-01-01", "pair": [0.5, "x"]}
     assert sinks.run_path("x/", dt.datetime(2020, 1, 2, 3, 4, 5)) == "x/run_20200102_030405"
     m = {r.model: r for r in sinks.metrics_table(spark, {"lr": {"auc": 0.7}, "mlp": {"brier": 0.2}}).collect()}
     assert m["lr"].auc == 0.7 and m["lr"].brier is None
+
+
+def test_report_and_search_results(spark, tmp_path):
+    from lagwise.operators.models import Result
+
+    out = sinks.report(sinks.metrics_table(spark, {"lr": {"accuracy": 0.67349, "auc": 0.72351}})).first()
+    assert (out.accuracy, out.auc) == (67.3, 0.724)
+    found = [Result({"c": np.float64(0.1)}, [0.5, 0.6]), Result({"c": 1.0}, [0.7, 0.8])]
+    sinks.write_search(spark, found, str(tmp_path / "s"))
+    assert sinks.read_record(spark, str(tmp_path / "s" / "best_params")) == {"c": 0.1}
+    assert spark.read.parquet(str(tmp_path / "s" / "cv_results")).where("rank = 1 and fold = 1").first().log_loss == 0.8

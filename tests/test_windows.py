@@ -51,6 +51,33 @@ def test_ewma_like_pandas(spark, kw, adjust):
     assert got[0] is None and np.allclose(got[1:], want[1:], rtol=1e-12)
 
 
+def test_ewma_refuses_nulls(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, None)], "k int, i int, x double")
+    with pytest.raises(Exception, match="ewma_with_nulls"):
+        ewma.ewma(df, {"y": "x"}, ["k"], ["i"], span=3).collect()
+
+
+def test_shared_blocks(spark):
+    """Decays that share blocks, and ones too far apart for that, equal those on their own."""
+    df = spark.createDataFrame([(i % 2, i, float(i * i % 17)) for i in range(900)], "k int, i int, x double")
+    k = (["k"], ["i"])
+    assert len(ewma._fitting([0.1, 0.99])) == 2 and len(ewma._fitting([ewma.keep_of(span=s) for s in (3, 5, 10)])) == 1
+    for spans in ((3, 5, 10), (1.2, 400)):
+        out = ewma.fan_out(df, ["x"], *k, spans=spans)
+        for s in spans:
+            out = ewma.ewma(out, {f"own_{s}".replace(".", "_"): "x"}, *k, span=s)
+        for r in out.where("i > 1").collect():
+            assert all(r[f"x_ewma_{s}"] == pytest.approx(r[f"own_{s}".replace(".", "_")]) for s in spans)
+
+
+def test_sides_from_text(spark):
+    rows = [(1, 1, "AAA vs. BBB"), (1, 2, "BBB @ AAA"), (2, 1, "AAA @ CCC"), (2, 2, "CCC vs. AAA"), (3, 1, "AAA ? DDD"), (3, 2, "DDD ? AAA"), (4, 1, None), (4, 2, "x"), (5, 1, "AAA vs. EEE")]
+    df = spark.createDataFrame(rows, "game int, row int, matchup string")
+    got = {(r.game, r.row): r.home for r in pairs.home_flag(df, "game", "matchup", ["row"]).collect()}
+    assert got == {(1, 1): True, (1, 2): False, (2, 1): False, (2, 2): True, (3, 1): False, (3, 2): True, (4, 1): False, (4, 2): True}
+    assert df.select(pairs.opponent_code("matchup")).first()[0] == "BBB"
+
+
 def test_ewma_with_nulls_like_pandas(spark):
     import numpy as np
     import pandas as pd
