@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, stage
 
 #: A word is a run of anything but the blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,7 +82,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plain, names = numbered(docs)
     kept = [F.col(n).alias(c) for c, n in names.items() if c not in results]
     sized = _sized(plain, names[doc_id], names[text], names[source])
-    groups = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("_count"), F.sum("_size").alias("_total"))
+    # read twice; staged, so that words are counted once for it and once for the result
+    groups = stage(sized.groupBy(*group).agg(F.count(F.lit(1)).alias("_count"), F.sum("_size").alias("_total")))
     ahead = Window.partitionBy("_null", "_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_start", F.coalesce(F.sum("_count").over(ahead), F.lit(0)))
     plan = starts.join(source_plan(groups, weights, limit, seed), ["_null", "_source"]).select(

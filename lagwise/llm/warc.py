@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir, stage
+from .common import broadcast_if_small, shared_dir, stage, unstage
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -24,6 +24,8 @@ REVISIT_BYTES = 1_000
 RECORDS_PER_FILE = 50_000
 #: The tables have no time of capture; all records bear this one.
 DATE = "2024-01-01T00:00:00Z"
+#: Fixed value: the profile of revisits whose payload is that of the record they refer to.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
@@ -58,7 +60,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         field("WARC-Record-ID", urn(F.col("page_id"))), field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", F.col("url")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         field("WARC-Payload-Length", F.col("bytes").cast("string")),
-        field("WARC-Refers-To", F.when(again, urn(F.col("kept")))),
+        field("WARC-Refers-To", F.when(again, urn(F.col("kept")))), field("WARC-Profile", F.when(again, F.lit(PROFILE))),
         field("Content-Type", F.lit("application/http; msgtype=response")),
         field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block).alias("record"))
 
@@ -145,7 +147,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
         marks = cur.where("met and jump is not null").select("file", F.col("jump").alias("pos"), F.lit(True).alias("mark")).distinct()
         now = (cur.join(marks, ["file", "pos"], "left").join(ahead, ["file", "jump"], "left")
                .select("file", "pos", F.col("next").alias("jump"), (F.col("met") | F.coalesce("mark", F.lit(False))).alias("met")))
-        cur = stage(now)
+        before, cur = cur, stage(now)
+        unstage(before)
         if not cur.where("met and jump is not null").limit(1).count():
             return cur.where("met").select("file", "pos")
 
