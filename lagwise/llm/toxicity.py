@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -246,23 +247,25 @@ def _altered(word: str) -> str:
 
 
 def _examples(names: tuple[str, ...]):
-    """Labelled texts and their sentences: of clean texts every sentence is clean, of toxic
-    ones those that hold a landmark are toxic, as are these landmarks altered; what the
-    others are isn't known, and they are left out."""
+    """Labelled texts, of each clean one also a sentence, picked by a hash, and of the
+    toxic ones the sentences that hold a landmark and these landmarks altered. Whether a
+    toxic text's other sentences are toxic isn't known, and they are left out."""
     held = set(names)
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t, y in zip(b["text"], b["label"], strict=True):
-                out.append((t, y, True))
-                for part in _SENTENCE.split(t or ""):
-                    if not y:
-                        out.append((part, 0, False))
-                    elif marks := _cut(words(part)) & held:
-                        out.append((part, 1, True))
-                        out.append((" ".join(map(_altered, sorted(marks))), 1, True))
-            yield pd.DataFrame(out, columns=["text", "label", "whole"])
+                out.append((t, y))
+                parts = _SENTENCE.split(t or "")
+                if not y:
+                    out.append((parts[zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % len(parts)], 0))
+                    continue
+                for part in parts:
+                    if marks := _cut(words(part)) & held:
+                        out.append((part, 1))
+                        out.append((" ".join(map(_altered, sorted(marks))), 1))
+            yield pd.DataFrame(out, columns=["text", "label"])
 
     return sentences
 
@@ -293,16 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pd.Series([x @ root for x in _described(s, names)])
 
     def ready(df: DataFrame) -> DataFrame:
-        """Features and label. A clean sentence with nothing like a landmark would only move
-        the offset, which the sigmoid sets anew."""
-        made = df.select(features("text").alias("x"), F.col("label").cast("double").alias("label"), "whole")
-        told = F.col("whole") | F.exists("x", lambda v: v != 0)
-        return stage(made.where(told)).coalesce(4).select(array_to_vector("x").alias("features"), "label")
+        return stage(df.select(features("text").alias("x"), F.col("label").cast("double").alias("label"))).coalesce(4).select(
+            array_to_vector("x").alias("features"), "label")
 
     machine = LinearSVC(regParam=1e-4, maxIter=100, maxBlockSizeInMB=4).fit(
-        ready(sample.mapInPandas(_examples(names), "text string, label int, whole boolean")))
+        ready(sample.mapInPandas(_examples(names), "text string, label int")))
     margin = F.array(F.get(vector_to_array("rawPrediction"), F.lit(1)))
-    platt = LogisticRegression(regParam=1e-4).fit(machine.transform(ready(sample.withColumn("whole", F.lit(True)))).select(array_to_vector(margin).alias("features"), "label"))
+    platt = LogisticRegression(regParam=1e-4).fit(machine.transform(ready(sample)).select(array_to_vector(margin).alias("features"), "label"))
     slope, shift = max(float(platt.coefficients[0]), 1e-6), float(platt.intercept)
     w = root @ machine.coefficients.toArray() * slope
     return KernelModel(names, tuple(map(float, w)), float(machine.intercept * slope + shift))
