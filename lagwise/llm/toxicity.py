@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -247,9 +246,9 @@ def _altered(word: str) -> str:
 
 
 def _examples(names: tuple[str, ...]):
-    """Labelled texts, of each clean one also a sentence, picked by a hash, and of the
-    toxic ones the sentences that hold a landmark and these landmarks altered. Whether a
-    toxic text's other sentences are toxic isn't known, and they are left out."""
+    """Labelled texts, and of the toxic ones also the sentences that hold a landmark and
+    these landmarks altered. Whether their other sentences are toxic isn't known, and they
+    are left out; clean texts stand whole for their sentences, which added nothing."""
     held = set(names)
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,11 +256,9 @@ def _examples(names: tuple[str, ...]):
             out = []
             for t, y in zip(b["text"], b["label"], strict=True):
                 out.append((t, y))
-                parts = _SENTENCE.split(t or "")
                 if not y:
-                    out.append((parts[zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % len(parts)], 0))
                     continue
-                for part in parts:
+                for part in _SENTENCE.split(t or ""):
                     if marks := _cut(words(part)) & held:
                         out.append((part, 1))
                         out.append((" ".join(map(_altered, sorted(marks))), 1))
