@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, token_counts, toxicity, warc
+from . import alignment, decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, spelling, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_decontamination": decontaminate.query,
         "op10_token_counts": token_counts.query,
+        "op11_token_alignment": alignment.query,
+        "op12_spelling_variants": spelling.query,
     }
 
 
