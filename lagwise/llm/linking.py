@@ -81,9 +81,9 @@ def marked(texts: DataFrame, hashes: Hashes) -> DataFrame:
     return texts.select("id", "norm").mapInArrow(mark, "id long, norm string, n int, marks array<long>")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes, least: float = SIMILAR) -> DataFrame:
     """The pairs (u, v) of ids of texts (id, norm) whose sets of shingles have a Jaccard
-    similarity of SIMILAR or more. Texts meet, not sets, which are several times larger."""
+    similarity of `least` or more. Texts meet, not sets, which are several times larger."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,7 @@ def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes) -> DataFrame:
                 both = np.intersect1d(a, b, assume_unique=True)
                 count = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
                 k = count(both)
-                yes = k >= SIMILAR * (count(a) + count(b) - k) - 1e-9
+                yes = k >= least * (count(a) + count(b) - k) - 1e-9
                 yield part.select([0, 1]).filter(pa.array(yes))
 
     met = pairs.select("u", "v")
@@ -101,22 +101,22 @@ def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes) -> DataFrame:
     return met.select("u", "v", "u_norm", "v_norm").mapInArrow(alike, "u long, v long")
 
 
-def _near(a: str, b: str) -> Column:
+def _near(a: str, b: str, least: float = SIMILAR) -> Column:
     """False only for pairs that can't be alike: each bit in which the marks differ
     stands for a shingle or more that only one of the two has."""
     # summed by a function over arrays: a sum of so many terms is too long to be compiled
     each = F.zip_with(f"{a}marks", f"{b}marks", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differing = F.aggregate(each, F.lit(0), lambda x, y: x + y)
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-6) & (differing * (1 + SIMILAR) <= (n + m) * (1 - SIMILAR) + 1e-6)
+    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-6) & (differing * (1 + least) <= (n + m) * (1 - least) + 1e-6)
 
 
-def _hopeful(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def _hopeful(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The different pairs (u, v), without those that their marks rule out."""
     met = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     for i in "uv":
         met = met.join(items.select(F.col("id").alias(i), F.col("marks").alias(f"{i}_marks"), F.col("n").alias(f"{i}_n")), i)
-    return stage(met.where(_near("u_", "v_")).select("u", "v"))
+    return stage(met.where(_near("u_", "v_", least)).select("u", "v"))
 
 
 def rooted(members: DataFrame, tied: DataFrame) -> DataFrame:

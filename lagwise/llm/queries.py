@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, spelling, token_counts, toxicity, warc
+from . import alignment, decontaminate, fuzzy_lines, linkrank, media, mixing, ngram_join, ordinal, simhash, spelling, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.query,
         "op11_token_alignment": alignment.query,
         "op12_spelling_variants": spelling.query,
+        "op13_ngram_join": ngram_join.query,
     }
 
 
