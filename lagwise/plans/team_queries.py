@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lagwise.operators import ewma, pairs, ratings, windows
+from lagwise.operators import ewma, levels, pairs, ratings, scans, windows
 
 from . import views as v
 from .registry import query_into, r
@@ -225,3 +225,58 @@ def team_ratings(spark, d):
     """Each team's rating before its game, attached to its row."""
     own = ratings.by_team(_replayed(spark, d), "game", "home_team", "away_team")
     return pairs.attach(v.box(spark, d).select("game", "team"), own, ["game", "team"], ["rating"]).select("game", "team", r("rating", 4).alias("rating"))
+
+
+#: Half of all events are one entity's, so that its rows are many times those of a block.
+_HOT = "hot AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS who, ts, event_id, value, event_id % 3 > 0 AS flag, abs(value) + 1 AS size FROM events)"
+_HOT_SQL = "PARTITION BY who ORDER BY ts, event_id"
+
+
+def _hot(spark, d) -> scans.Segments:
+    e = v.table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long").alias("who"), "ts", "event_id", "value",
+                                           (F.col("event_id") % 3 > 0).cast("int").alias("flag"), (F.abs("value") + 1).alias("size"))
+    return scans.cut(e, ["who"], ["ts", "event_id"], F.to_date("ts"), size=1_024)
+
+
+@query(f"""WITH {_HOT} SELECT who, event_id, round(avg(value) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 6) AS mean_8, round(sum(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS sum_5,
+round(coalesce(sum(value) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) / nullif(sum(size) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) * 100, 100.0), 6) AS ratio FROM hot WINDOW w AS ({_HOT_SQL})""")
+def hot_rolling(spark, d):
+    out = scans.halo(_hot(spark, d), 8, {"mean_8": scans.rolling_mean("value", 8), "sum_5": scans.rolling_sum("value", 5), "ratio": scans.ratio_of_sums("value", "size", 8)})
+    return out.result().select("who", "event_id", *[r(c).alias(c) for c in ("mean_8", "sum_5", "ratio")])
+
+
+@query(f"""WITH {_HOT}, l AS (SELECT who, event_id, list(value) OVER ({_HOT_SQL} ROWS BETWEEN {ewma.reach(_H)} PRECEDING AND 1 PRECEDING) AS x FROM hot),
+s AS (SELECT who, event_id, {ewma_sql("value", _HOT_SQL, ewma.keep_of(span=10), ewma.reach(ewma.keep_of(span=10)), "hot")} AS y FROM hot)
+SELECT who, event_id, round(y, 6) AS ewma_10, round(list_reduce(x, lambda a, b: {_H!r} * a + b) * {1 - _H!r} / (1 - pow({_H!r}, len(x))), 6) AS halflife_20 FROM l JOIN s USING (who, event_id)""")
+def hot_ewma(spark, d):
+    out = scans.ewma(scans.ewma(_hot(spark, d), {"ewma_10": "value"}, span=10), {"halflife_20": "value"}, halflife=20, adjust=True)
+    return out.result().select("who", "event_id", r("ewma_10").alias("ewma_10"), r("halflife_20").alias("halflife_20"))
+
+
+@query(f"""WITH {_HOT}, g AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY who, flag ORDER BY ts, event_id) AS island,
+  CASE WHEN flag IS DISTINCT FROM lag(flag) OVER w THEN 1 ELSE 0 END AS begins FROM hot WINDOW w AS ({_HOT_SQL}))
+SELECT who, event_id, sum(begins) OVER ({_HOT_SQL} ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id, CASE WHEN flag THEN row_number() OVER (PARTITION BY who, flag, island ORDER BY ts, event_id) ELSE 0 END AS run_length,
+sum(value) OVER ({_HOT_SQL} ROWS UNBOUNDED PRECEDING) AS total FROM g""".replace("AS total", "AS total_").replace("sum(value) OVER", "round(sum(value) OVER").replace(" AS total_", ", 4) AS total"))
+def hot_runs(spark, d):
+    seg = scans.running(scans.runs(_hot(spark, d), "flag"), {"total": (F.col("value"), F.sum)})
+    return seg.result().select("who", "event_id", "run_id", "run_length", r("total", 4).alias("total"))
+
+
+_ONE_POOL = _REPLAY.replace("c_nationkey AS pool", "0 AS pool").replace("PARTITION BY c_nationkey ", "").replace("JOIN customer ON host = c_custkey ", "") + " SELECT game, round(hr, 4) AS home_rating, round(ar, 4) AS away_rating FROM run WHERE i > 0"
+_GAME = ("game", ["date", "game"], "home_team", "away_team", "home_win")
+
+
+@query(_ONE_POOL)
+def rating_replay_one_pool(spark, d):
+    """All games in one pool, by levels of dependency."""
+    out, _ = levels.replay_by_levels(v.games(spark, d), *_GAME)
+    return out.select("game", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))
+
+
+@query(_ONE_POOL)
+def rating_replay_resumed(spark, d):
+    """The same in two runs, the second from the ratings at the end of the first."""
+    g = v.games(spark, d)
+    first, state = levels.replay_by_levels(g.where("season <= 1998"), *_GAME)
+    then, _ = levels.replay_by_levels(g.where("season > 1998"), *_GAME, state=state)
+    return first.unionByName(then).select("game", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))
