@@ -147,38 +147,6 @@ def calibrate(df: DataFrame, make: Callable[[int], Estimator], folds: int = 5) -
     return Calibrated(parts)
 
 
-def permutation_importance(df: DataFrame, model: Model, columns: Sequence[str], key: str, repeats: int = 20, seed: int = 42) -> DataFrame:
-    """feature, importance: the mean drop of accuracy when the feature's values are
-    dealt to other rows.
-
-    Values are dealt by joining rows by their places in two hash orders, in one job for
-    all features and repeats; a row is shuffled twice per repeat and then serves all
-    features. Places come from per-bucket numbers, so no task
-    numbers all rows."""
-    rows = df.select(key, "label", vector_to_array("features").alias("x"))
-    every = rows.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    mine = _place(every, F.xxhash64(F.lit(seed), "repeat", key), key).select(key, "label", "x", "repeat", "place")
-    other = _place(every, F.xxhash64(F.lit(seed + 1), "repeat", key), key).select("repeat", "place", F.col("x").alias("dealt"))
-    met = mine.join(other, ["repeat", "place"]).withColumn("at", F.explode(F.array(*[F.lit(i) for i in range(len(columns))])))
-    mixed = met.withColumn("features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("at"), F.get(F.col("dealt"), i)).otherwise(v))))
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    base = model.transform(df).agg(F.avg(hit)).first()[0]
-    names = F.array(*map(F.lit, columns))
-    return (model.transform(mixed).groupBy("at").agg((F.lit(base) - F.avg(hit)).alias("importance"))
-            .select(F.get(names, F.col("at")).alias("feature"), "importance"))
-
-
-def _place(df: DataFrame, hashed, key: str, buckets: int = 256) -> DataFrame:
-    from pyspark.sql import Window
-
-    out = df.withColumn("_h", hashed).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    counts = out.groupBy("repeat", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    ahead = Window.partitionBy("repeat").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("repeat", "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("repeat", "_b").orderBy("_h", key))
-    return out.withColumn("_own", own).join(base, ["repeat", "_b"]).withColumn("place", F.col("_base") + F.col("_own"))
-
-
 def coefficient_ranking(spark, model, columns: Sequence[str]) -> DataFrame:
     rows = [(c, float(w), abs(float(w))) for c, w in zip(columns, model.coefficients.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, coefficient double, importance double").orderBy(F.col("importance").desc(), "feature")
@@ -189,41 +157,6 @@ def tree_importance(spark, model, columns: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def backward_selection(df: DataFrame, columns: Sequence[str], make: Callable[[int, int], Estimator], folds: int = 3, least: int = 1, parallel: int = 4,
-                       confirm: Callable[[DataFrame, list[str]], float] | None = None) -> tuple[list[str], list[tuple[str, float]]]:
-    """Columns that stay when the one whose loss without it is least goes, as long as the
-    loss gets no worse; and what went, with the loss then. make gets the numbers of
-    columns and of rows. The candidates of a step are fitted side by side. confirm, if
-    given, is a slower loss that has to agree."""
-    df = df.cache()
-    bounds = fold_bounds(df.count(), folds)
-
-    def loss(chosen: list[str]) -> float:
-        some = assemble(df, chosen).select("features", "label", "position")
-        found = [log_loss(chance(some.where((F.col("position") >= a) & (F.col("position") < b)),
-                                 make(len(chosen), a).fit(some.where(F.col("position") < a)))) for a, b in bounds]
-        return sum(found) / folds
-
-    kept, gone = list(columns), []
-    best = loss(kept)
-    sure = confirm(df, kept) if confirm else None
-    while len(kept) > least:
-        with ThreadPoolExecutor(parallel) as pool:
-            tried = sorted(zip(pool.map(lambda x: loss([c for c in kept if c != x]), kept), kept, strict=True))  # noqa: B023
-        if tried[0][0] > best:
-            break
-        left = [c for c in kept if c != tried[0][1]]
-        if confirm:
-            again = confirm(df, left)
-            if again > sure:
-                break
-            sure = again
-        best, kept = tried[0][0], left
-        gone.append((tried[0][1], best))
-    df.unpersist()
-    return kept, gone
-
-
 def retrain_calibrated(df: DataFrame, columns: Sequence[str], make: Callable[[int], Estimator], first: str, order: Sequence[str], folds: int = 5,
                        split: str = "split", parts: Sequence[str] = ("train", "val")) -> DataFrame:
     """df plus p: scaler, folds and their sigmoids are all fitted anew on the parts, and

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lagwise.operators import blend, metrics, models, splits
+from lagwise.operators import blend, ensemble, importance, metrics, models, selection, splits
 from lagwise.sources import sinks
+from lagwise.staging import shared_dir, stage
 
 from . import views as v
 from .player_queries import _SIDE_COLS, game_table
@@ -35,8 +36,8 @@ def training(spark, d):
 
 
 def _parts(spark, d):
-    """training, kept once as it is read by every fit, and its train and test rows."""
-    raw = training(spark, d).persist()
+    """training, written once as it is read by every fit, and its train and test rows."""
+    raw = stage(training(spark, d))
     t = models.assemble(models.scale_by_train(raw, FEATURES), FEATURES)
     return t, t.where("split = 'train'"), t.where("split = 'test'")
 
@@ -96,7 +97,8 @@ def sigmoid_calibration(spark, d):
 def permutation_importance(spark, d):
     t, train, test = _parts(spark, d)
     model = models.logistic(0.1, train.count()).fit(train)
-    return models.permutation_importance(test, model, FEATURES, "game").select("feature", F.round("importance", 6).alias("importance"))
+    test = splits.positions(test.drop("position"), "date", ["game"])
+    return importance.permutation_importance(test, model, FEATURES, "position").select("feature", F.round("importance", 6).alias("importance"))
 
 
 @query()
@@ -114,7 +116,14 @@ def tree_importance(spark, d):
 @query()
 def backward_selection(spark, d):
     t, train, _ = _parts(spark, d)
-    kept, gone = models.backward_selection(train.drop("features"), FEATURES, lambda k, n: models.logistic(0.1, n), folds=3)
+
+    def recalibrated(columns):
+        """Log loss on val of a model calibrated by folds of train."""
+        own = models.assemble(t.drop("features"), columns)
+        model = models.calibrate(own.where("split = 'train'"), lambda n: models.logistic(0.1, n), folds=3)
+        return models.log_loss(model.transform(own.where("split = 'val'")))
+
+    kept, gone = selection.backward_selection(train, FEATURES, c=0.1, folds=5, confirm=recalibrated)
     rows = [(c, True, None) for c in kept] + [(c, False, float(x)) for c, x in gone]
     return spark.createDataFrame(rows, "feature string, kept boolean, log_loss_without double")
 
@@ -133,10 +142,22 @@ def ensemble_report(spark, d):
         own = models.retrain_calibrated(raw, FEATURES, make, "date", ["game"], folds=3).where("split = 'test'")
         own = own.select("game", F.col("label").cast("int").alias("label"), F.lit(name).alias("model"), "p")
         test = own if test is None else test.unionByName(own)
-    weights = dict(zip(makers, blend.best_weights(val, "label", list(makers), steps=10, refine=1), strict=True))
+    weights = dict(zip(makers, blend.simplex_weights(val, "label", list(makers)).weights, strict=True))
     w = F.coalesce(*[F.when(F.col("model") == m, F.lit(x)) for m, x in weights.items()])
     mixed = test.groupBy("game", "label").agg(F.sum(F.col("p") * w).alias("p")).select("game", "label", F.lit("ensemble").alias("model"), "p")
-    long = test.unionByName(mixed).persist()
+    long = stage(test.unionByName(mixed))
     scores = metrics.binary_metrics(long, "label", "p", ["model"]).join(metrics.roc_auc(long, "label", "p", ["model"]), "model")
     own = sinks.metrics_table(spark, {m: {"weight": x} for m, x in weights.items()})
     return scores.join(own, "model", "left")
+
+
+@query()
+def saved_blend(spark, d):
+    """Chances of a blend that was fitted, saved, and loaded again."""
+    makers = {"lr": lambda n: models.logistic(0.1, n), "trees": lambda n: models.trees(maxIter=5, maxDepth=3, stepSize=0.1)}
+    raw = stage(training(spark, d)).drop("position")
+    model = ensemble.fit_blend(raw, FEATURES, makers, "date", ["game"], folds=3)
+    path = shared_dir(spark)
+    model.write().save(path)
+    out = ensemble.BlendModel.load(path).transform(raw)
+    return out.select("game", "split", F.col("label").cast("int").alias("label"), *[F.round(c, 6).alias(c) for c in ("p_lr", "p_trees", "p")])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lagwise.operators import models
+from lagwise.operators import ensemble, importance, models
 
 
 @pytest.fixture(scope="module")
@@ -64,17 +64,15 @@ def test_calibration(data):
 def test_importance(spark, data):
     df, _, _ = data
     m = models.logistic(1.0, 400).fit(df)
-    got = {r.feature: r.importance for r in models.permutation_importance(df, m, ["a", "b", "c"], "position", repeats=5).collect()}
+    got = {r.feature: r.importance for r in importance.permutation_importance(df, m, ["a", "b", "c"], "position", repeats=5).collect()}
     assert got["a"] > 0.2 and abs(got["b"]) < 0.05 and abs(got["c"]) < 0.05
     assert models.coefficient_ranking(spark, m, ["a", "b", "c"]).first().feature == "a"
     t = models.trees(maxIter=3, maxDepth=2).fit(df)
     assert models.tree_importance(spark, t, ["a", "b", "c"]).first().feature == "a"
 
 
-def test_backward_selection_and_retrain(data):
+def test_retrain(data):
     df, _, _ = data
-    kept, gone = models.backward_selection(df.drop("features"), ["a", "b", "c"], lambda k, n: models.logistic(1.0, n), folds=2)
-    assert "a" in kept and set(kept) | {c for c, _ in gone} == {"a", "b", "c"}
     split = df.drop("features").withColumn("split", F.when(F.col("position") < 300, "train").otherwise("test"))
     model = models.retrain(split, lambda: models.logistic(1.0, 300), ["a", "b", "c"])
     assert models.log_loss(models.chance(split, model)) < 0.4
@@ -106,3 +104,21 @@ def test_saved_model_loads(spark, data, tmp_path):
     sinks.save_model(model, str(tmp_path / "m"))
     again = sinks.load_model(str(tmp_path / "m"))
     assert models.log_loss(models.chance(split, again)) == pytest.approx(models.log_loss(models.chance(split, model)))
+
+
+def test_saved_blend_scores_alike_in_a_new_session(spark, data, tmp_path):
+    df, _, _ = data
+    rows = df.drop("features").withColumn("split", F.when(F.col("position") < 200, "train").when(F.col("position") < 300, "val").otherwise("test"))
+    rows = rows.withColumn("c", F.when(F.col("position") % 7 > 0, F.col("c"))).withColumn("flat", F.lit(3.0))
+    makers = {"lr": lambda n: models.logistic(1.0, n), "trees": lambda n: models.trees(maxIter=2, maxDepth=2)}
+    model = ensemble.fit_blend(rows, ["a", "b", "c", "flat"], makers, "position", ["position"], folds=2)
+    assert sum(m.weight for m in model.members) == pytest.approx(1) and model.info["gap"] <= 1e-9
+    model.write().overwrite().save(str(tmp_path / "blend"))
+    model.write().overwrite().save(str(tmp_path / "blend"))
+    spark.newSession()
+    again = ensemble.BlendModel.load(str(tmp_path / "blend"))
+    assert again.columns == model.columns and [m.name for m in again.members] == ["lr", "trees"] and again.info == model.info
+    score = lambda m: {r.position: (r.p, r.p_lr, r.p_trees) for r in m.transform(rows).collect()}
+    want, got = score(model), score(again)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert models.log_loss(again.transform(rows).where("split = 'test'")) < 0.5 and again.transform(rows.limit(0)).count() == 0
