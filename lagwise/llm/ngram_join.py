@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, scratch, stage
+from .common import broadcast_if_small, components, scratch, stage, unstage
 from .linking import _buckets, _hopeful, _merged, _near, bitmaps, different, distinct, mixed, rooted, similar, word_lists
 
 WIDTH = 4
 #: Per cent of the union that the intersection has at least.
 LEAST = 85
 #: N-grams are counted in so many cells; one that shares its cell looks as frequent as both.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Buckets of more documents are crowded: bitmaps are compared before a pair is made.
 CROWDED = 32
 _SEED = 42
@@ -92,13 +92,13 @@ def measured(docs: DataFrame, width: int = WIDTH, cells: int = CELLS) -> tuple[D
 
 
 def prefixes(texts: DataFrame, counts: np.ndarray, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """id, n, marks, keys of each row of texts (text) with words; keys are the n-grams of its prefix, in order."""
+    """id, n, keys of each row of texts (text) with words; keys are the n-grams of its prefix, in order."""
     shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 0x7FFFFFFF).astype(np.int32))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            ids, sizes, marks, keys = [], [], [], []
+            ids, sizes, keys = [], [], []
             for t in batch.column(0):
                 h = shingles(t.as_py(), width)
                 n = len(h)
@@ -106,15 +106,28 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int = WIDTH, least: in
                     continue
                 ids.append(_id_of(h))
                 sizes.append(n)
-                marks.append(bitmaps(different(h, np.zeros(n)), 1)[0])
                 first = n - (least * n + 99) // 100 + 1
                 keys.append(h[np.lexsort((h, order[(h % np.uint64(len(order))).astype(np.int64)]))[:first]].view(np.int64))
             if ids:
                 ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), word_lists(np.stack(marks)),
-                                                  pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], ["id", "n", "marks", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                                                  pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], ["id", "n", "keys"])
 
-    return texts.mapInArrow(cut, "id long, n long, marks array<long>, keys array<long>")
+    return texts.mapInArrow(cut, "id long, n long, keys array<long>")
+
+
+def marked(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id, n and marks, the bitmap of the set, of texts (id, norm)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1_024):
+                part = batch.slice(first, 1_024)
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                marks = np.stack([bitmaps(different(h, np.zeros(len(h))), 1)[0] for h in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), word_lists(marks)], ["id", "n", "marks"])
+
+    return texts.select("id", "norm").mapInArrow(mark, "id long, n long, marks array<long>")
 
 
 def _fits(least: int, n: Column, at: Column, m: Column, by: Column) -> Column:
@@ -125,16 +138,20 @@ def _fits(least: int, n: Column, at: Column, m: Column, by: Column) -> Column:
     return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (most * (100 + least) >= least * (n + m))
 
 
-def linked(found: DataFrame, alike, least: int = LEAST) -> DataFrame:
-    """node, root: the components of the sets of prefixes() (id, n, marks, keys; no id twice)."""
+def linked(found: DataFrame, texts_of, alike, least: int = LEAST) -> DataFrame:
+    """node, root: the components of the sets of prefixes() (id, n, keys; no id twice).
+    texts_of gives id and norm, a text of each set of some ids; alike keeps the pairs
+    (u, v) that are links."""
     at_least = least / 100
     with scratch() as keep:
         bands = found.select("id", "n", F.posexplode("keys").alias("at", "key"))
-        lead = F.min(F.struct("at", "n", "id"))
-        shared = stage(bands.groupBy("key").agg(lead.alias("p"), F.max("id").alias("hi"), F.min("id").alias("lo")).where("lo < hi").select(
-            "key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at")))
-        members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key"))
-        items = stage(found.select("id", "n", "marks").join(broadcast_if_small(stage(members.select("id").distinct())), "id"))
+        # most keys are of one set: counting them alone moves least
+        shared = stage(bands.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key"))
+        shared = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key"))
+        lead = shared.groupBy("key").agg(F.min(F.struct("at", "n", "id")).alias("p"))
+        members = stage(shared.join(lead, "key").select("id", "n", "at", "key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at")))
+        unstage(shared)
+        items = stage(marked(texts_of(members.select("id"))))
         fits = _fits(least, F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))
         star = members.where((F.col("id") != F.col("p_id")) & fits).select(F.col("p_id").alias("u"), F.col("id").alias("v"))
         tied = stage(components(alike(_hopeful(star, items, at_least))))
@@ -168,13 +185,16 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
         each = [shingles(t, width) for t in texts]
         return np.concatenate(each), np.repeat(np.arange(len(each)), [len(h) for h in each])
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = stage(ids.distinct())
+        one = stage(rows.join(broadcast_if_small(wanted), "id").groupBy("id").agg(F.min("of_text").alias("of_text")))
+        met = plain.select("text", "of_text").join(broadcast_if_small(one), "of_text")
+        return met.select("id", F.col("text").alias("norm")).dropDuplicates(["id"])
+
     def alike(pairs: DataFrame) -> DataFrame:
-        ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-        one = stage(rows.join(broadcast_if_small(ids), "id").groupBy("id").agg(F.min("of_text").alias("of_text")))
-        texts = stage(plain.select("text", "of_text").join(broadcast_if_small(one), "of_text").select("id", F.col("text").alias("norm")).dropDuplicates(["id"]))
-        return similar(pairs, texts, sets, least / 100)
+        return similar(pairs, stage(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))), sets, least / 100)
 
-    tied = linked(found, alike, least)
+    tied = linked(found, texts_of, alike, least)
     placed = stage(rooted(rows, tied))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     # texts without words have one id and stay apart
