@@ -161,9 +161,9 @@ def linked(found: DataFrame, texts_of, alike, least: int = LEAST) -> DataFrame:
         stray = placed.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "n", "at")])
         apart = (F.col("root") != F.col("s_root")) & _fits(least, F.col("n"), F.col("at"), F.col("s_n"), F.col("s_at"))
         few = placed.where(F.col("size") <= CROWDED).join(stray, "key").where(apart).select(F.col("id").alias("u"), F.col("s_id").alias("v"))
-        marked = stage(placed.where(F.col("size") > CROWDED).join(items.select("id", "marks"), "id"))
-        stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "n", "at", "marks")])
-        many = marked.join(stray, "key").where(apart & _near("", "s_", at_least))
+        crowded = stage(placed.where(F.col("size") > CROWDED).join(items.select("id", "marks"), "id"))
+        stray = crowded.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "n", "at", "marks")])
+        many = crowded.join(stray, "key").where(apart & _near("", "s_", at_least))
         many = stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct())
         return keep(_merged(tied, stage(alike(_hopeful(few, items, at_least).unionByName(many).distinct()))))
 
