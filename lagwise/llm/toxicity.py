@@ -1,13 +1,19 @@
 """Toxicity: a subsequence string kernel support vector machine with Nystroem
-landmarks.
+landmarks, trained on sentences.
 
 The kernel of two words sums, over all gapped subsequences of three letters, the
 product of their weights in both; a subsequence weighs DECAY to the power of the
-span that it takes, so words with letters put in or left out stay similar. Landmarks
-are words that mark toxic texts. The kernel of two texts sums that of their different words;
-its Nystroem map is the sum of a text's words' similarities to each landmark, times the
-inverse square root of the landmarks' kernel matrix, and a linear machine on it decides.
-Similarities under FLOOR, whose powers are under 0.026, are left out of the sums."""
+span that it takes, so words with letters put in or left out stay similar. The mean of two
+powers of the similarity, one that tolerates changes and one that hardly does, is the words'
+kernel; similarities under FLOOR are none, in texts and in the landmarks' own matrix alike. The
+kernel of two sentences sums that of their different words; its Nystroem map is the sum of a
+sentence's words' kernels with each landmark, times the inverse square root of the landmarks'
+kernel matrix, and a linear machine on it decides. A text has the margin of its most toxic
+sentence, whatever its length, and a share of what a logistic regression on the map of
+all its words adds, which tells apart texts that no sentence decides.
+
+Landmarks are words that mark toxic texts, and words of clean texts that are similar to
+one of them, so that the machine can tell `oron` from `moxron`."""
 
 from __future__ import annotations
 
@@ -18,23 +24,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-LANDMARKS = 160
+#: Toxic landmarks, and clean ones beside them, at most.
+LANDMARKS, BESIDE = 130, 150
+#: Clean landmarks beside the same toxic one, at most.
+EACH = 8
 #: A landmark stands in at least so many texts of the fit.
 LANDMARK_TEXTS = 3
+#: Standard deviations over chance that a word of a toxic landmark has at least: of 100,000
+#: words that mark nothing, less than one gets there.
+SURE = 4.5
+#: A clean word of such a similarity to a toxic landmark may be a landmark too.
+ALIKE = 0.5
 #: The fit uses at most so many labelled rows, the first by a hash of their id.
 FIT_ROWS = 8_000
-DECAY, SPAN = 0.6, 6
-#: Similarities are raised to this power, again a kernel, so that chance ones fade.
-POWER = 4
-#: Similarities of a text's words below this count as none; those of landmarks all count.
-FLOOR = 0.4
+DECAY, SPAN = 0.8, 6
+#: The words' kernel is the mean of these powers of the similarity.
+POWERS = (2, 10)
+#: Similarities below this count as none, of landmarks too.
+FLOOR = 0.5
+#: All clean sentences weigh so many times all toxic ones in the fit.
+CLEAN = 30.0
+#: The squared weights' share of the machine's loss.
+RIDGE = 1e-4
+#: What the whole text's regression counts beside the most toxic sentence.
+WHOLE = 0.2
+#: The share of the fit's clean texts that may score 0.5 or more.
+FALSE = 0.005
+#: Words of a sentence at most; longer ones are cut.
+SENTENCE = 40
 #: Longer words are compared in pieces of this length that overlap by OVERLAP.
 PIECE, OVERLAP = 32, 12
 #: Words whose similarities one Python worker remembers.
@@ -51,9 +75,32 @@ _known: dict = {}
 @dataclass(frozen=True)
 class KernelModel:
     landmarks: tuple[str, ...]
-    #: score = sigmoid(offset + weights . sums of similarities)
-    weights: tuple[float, ...]
-    offset: float
+    #: The map, a row for each landmark; and weights on it, the offset last, of a sentence
+    #: and of a whole text.
+    root: np.ndarray
+    sentence: np.ndarray
+    text: np.ndarray
+    #: score = sigmoid(slope * (margin - cut))
+    slope: float
+    cut: float
+
+    def margin(self, rows: np.ndarray, whole: np.ndarray) -> float:
+        """Of a text with the sums `rows` of its sentences and `whole` of all its words. A text
+        has a sentence without a similar word too."""
+        if not self.landmarks:
+            return self.cut
+        best = self.sentence[-1] + np.max(rows @ self.root @ self.sentence[:-1], initial=0.0)
+        return float(best + WHOLE * (self.text[-1] + _drawn_in(whole @ self.root) @ self.text[:-1]))
+
+
+def _drawn_in(x: np.ndarray) -> np.ndarray:
+    """Sums of many words, which would outgrow the rest, by their logarithm."""
+    return np.sign(x) * np.log1p(np.abs(x))
+
+
+def _kernel(similarity: np.ndarray) -> np.ndarray:
+    s = np.where(similarity >= FLOOR, np.minimum(similarity, 1), 0)
+    return sum(s**p for p in POWERS) / len(POWERS)
 
 
 def words(text: str | None) -> set[str]:
@@ -135,9 +182,8 @@ class Landmarks:
         self.n = len(names)
 
     def gram(self) -> np.ndarray:
-        """The kernel matrix of the landmarks, without a floor: a power of inner products
-        of unit vectors, so it has no negative eigenvalue."""
-        return (self.of.T.astype(np.float64) @ self.of) ** POWER
+        """The kernel matrix of the landmarks, by the kernel that texts have."""
+        return _kernel(self.of.T.astype(np.float64) @ self.of)
 
     def hopeful(self, pieces: list[str]) -> np.ndarray:
         """Which pieces may reach FLOOR: the sum of all that their subsequences can add
@@ -153,8 +199,7 @@ class Landmarks:
         return most >= FLOOR * np.sqrt(own) * 0.999
 
     def similar(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which words are similar to some landmark at all, and their similarities,
-        raised to POWER; those below FLOOR count as 0."""
+        """Which words are similar to some landmark at all, and their kernels with each."""
         places, rows = [], []
         for first in range(0, len(found), _WORDS_AT_ONCE):
             part = found[first : first + _WORDS_AT_ONCE]
@@ -178,7 +223,7 @@ class Landmarks:
             sums /= norm[row[begin], None]
             ok = (sums >= FLOOR).any(axis=1)
             best = np.zeros((len(part), self.n), np.float32)
-            np.maximum.at(best, owner[row[begin[ok]]], np.where(sums[ok] >= FLOOR, np.minimum(sums[ok], 1), 0) ** POWER)
+            np.maximum.at(best, owner[row[begin[ok]]], _kernel(sums[ok]))
             some = np.unique(owner[row[begin[ok]]])
             places.append(first + some)
             rows.append(best[some])
@@ -187,14 +232,25 @@ class Landmarks:
         return np.concatenate(places), np.concatenate(rows)
 
 
-def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
-    """For each text the sums of its words' similarities to each landmark."""
+def sentences(text: str) -> list[str]:
+    """A text's sentences, cut to SENTENCE words."""
+    out = []
+    for part in _SENTENCE.split(text):
+        if part:
+            if len(part) > 4 * SENTENCE and len(w := part.split()) > SENTENCE:
+                out += [" ".join(w[i : i + SENTENCE]) for i in range(0, len(w), SENTENCE)]
+            else:
+                out.append(part)
+    return out
+
+
+def _near(texts, names: tuple[str, ...]) -> Iterator[tuple[set[str], dict[str, np.ndarray]]]:
+    """For each text its words, and the similarities to each landmark of those that have one."""
     key = hashlib.sha256("\0".join(names).encode("utf-8", "surrogatepass")).digest()
     if key not in _known:
         _known.clear()
         _known[key] = (Landmarks(names), set(), {})
     marks, known, near = _known[key]
-    none = np.zeros(len(names), np.float32)
     part: list[set[str]] = []
     size = 0
 
@@ -209,8 +265,7 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
         at, rows = marks.similar(new)
         near.update(zip((new[i] for i in at), rows, strict=True))
         for found in part:
-            rows = [near[w] for w in near.keys() & found]
-            yield np.sum(rows, axis=0, dtype=np.float64) if rows else none
+            yield {w: near[w] for w in near.keys() & found}
 
     for t in texts:
         part.append(words(t))
@@ -221,9 +276,27 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[np.ndarray]:
     yield from done()
 
 
-def choose_landmarks(sample: DataFrame, count: int = LANDMARKS, texts: int = LANDMARK_TEXTS) -> list[str]:
+def _described(texts, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text, a row for each of its sentences that has words similar to a landmark:
+    the sums of their kernels with each; and that sum of all its words. Words that only the
+    text as a whole has, spelled out over several sentences, are a sentence of their own."""
+    for t, near in zip(texts, _near(texts, names), strict=True):
+        rows, left = [], set(near)
+        if near:
+            for part in sentences(t):
+                if own := near.keys() & words(part):
+                    rows.append(np.sum([near[w] for w in own], axis=0, dtype=np.float64))
+                    left -= own
+            if left:
+                rows.append(np.sum([near[w] for w in left], axis=0, dtype=np.float64))
+        whole = np.sum(list(near.values()), axis=0, dtype=np.float64) if near else np.zeros(len(names))
+        yield np.array(rows).reshape(-1, len(names)), whole
+
+
+def choose_landmarks(sample: DataFrame, count: int = LANDMARKS, texts: int = LANDMARK_TEXTS, beside: int = BESIDE) -> tuple[list[str], list[str]]:
     """The words of sample (text, label), long ones in pieces, that toxic texts hold most
-    over chance, in standard deviations. Counts are sums by word over all of the sample."""
+    over chance, by SURE standard deviations or more; and the most frequent clean words
+    beside each of them. Counts are sums by word over all of the sample."""
     total, toxic = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     rate = toxic / total
 
@@ -232,39 +305,103 @@ def choose_landmarks(sample: DataFrame, count: int = LANDMARKS, texts: int = LAN
             found = [(w, y) for t, y in zip(b["text"], b["label"], strict=True) for w in sorted(_cut(words(t)))]
             yield pd.DataFrame(found, columns=["word", "label"])
 
-    tally = sample.select("text", "label").mapInPandas(spread, "word string, label int").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"))
+    tally = stage(sample.select("text", "label").mapInPandas(spread, "word string, label int").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")))
     over = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    top = tally.where((F.col("n") >= texts) & (over > 2)).orderBy(over.desc(), "word").limit(count)
-    return [r.word for r in top.collect()]
+    top = tally.where((F.col("n") >= texts) & (over >= SURE)).orderBy(over.desc(), "word").limit(count)
+    chosen = [r.word for r in top.collect()]
+    if not chosen or not beside:
+        return chosen, []
+    names = tuple(chosen)
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = Landmarks(names)
+        for b in batches:
+            at, similar = marks.similar(list(b["word"]))
+            yield b.iloc[at].assign(near=similar.max(axis=1), to=similar.argmax(axis=1))
+
+    clean = tally.where((F.col("t") <= F.col("n") * (toxic / total)) & ~F.col("word").isin(chosen))
+    own = Window.partitionBy("to").orderBy((F.col("n") * F.pow("near", F.lit(3))).desc(), "word")
+    alike_enough = float(_kernel(np.array(ALIKE)))
+    found = clean.mapInPandas(alike, "word string, n long, t long, near double, to int").where(F.col("near") >= alike_enough).withColumn("place", F.row_number().over(own))
+    top = found.where(F.col("place") <= EACH).orderBy((F.col("n") * F.pow("near", F.lit(3))).desc(), "word").limit(beside)
+    return chosen, [r.word for r in top.collect()]
 
 
-def _altered(word: str) -> str:
-    """word with one letter put in, by a rule, as those who evade filters do."""
-    at = 1 + len(word) * 7 % max(len(word) - 1, 1)
-    return word[:at] + "xo"[len(word) % 2] + word[at:]
+def _altered(word: str) -> list[str]:
+    """word with a letter put in, at four places, and one left out, at two, by a rule, as those
+    who evade filters do."""
+    inner = max(len(word) - 1, 1)
+    places = [1 + (len(word) * 7 + k * 3) % inner for k in range(4)]
+    return [*[word[:at] + c + word[at:] for at, c in zip(places, "xoea", strict=True)], *[word[:at] + word[at + 1 :] for at in places[:2]]]
 
 
-def _examples(names: tuple[str, ...]):
-    """Labelled texts, and of the toxic ones also the sentences that hold a landmark and
-    these landmarks altered. Whether their other sentences are toxic isn't known, and they
-    are left out; clean texts stand whole for their sentences, which added nothing."""
-    held = set(names)
+def _examples(toxic: list[str], names: tuple[str, ...], root: np.ndarray):
+    """Sentences as x, the map, label and weight. Of toxic texts those that hold a toxic landmark,
+    and the landmark altered in its place; whether their others are toxic isn't known, and
+    they are left out. Of clean texts all; those without a similar word are one example of
+    their number's weight."""
+    held = set(toxic)
 
-    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            parts, labels, plain = [], [], 0
             for t, y in zip(b["text"], b["label"], strict=True):
-                out.append((t, y))
-                if not y:
-                    continue
-                for part in _SENTENCE.split(t or ""):
-                    if marks := _cut(words(part)) & held:
-                        out.append((part, 1))
-                        out.append((" ".join(map(_altered, sorted(marks))), 1))
-            yield pd.DataFrame(out, columns=["text", "label"])
-
-    return sentences
+                for part in sentences(t or ""):
+                    if not y:
+                        parts.append(part)
+                        labels.append(0)
+                    elif marks := sorted(_cut(words(part)) & held):
+                        others = " ".join(sorted(words(part) - held))
+                        for m in (part, *[f"{others} {x}" for m in marks for x in _altered(m)]):
+                            parts.append(m)
+                            labels.append(1)
+            out = []
+            for (rows, whole), y in zip(_described(parts, names), labels, strict=True):
+                if len(rows):
+                    out.append(((whole @ root).tolist(), y, 1.0))
+                else:
+                    plain += 1 - y
+            out.append(([0.0] * root.shape[1], 0, float(plain)))
+            yield pd.DataFrame([x for x in out if x[2]], columns=["x", "label", "weight"])
+
+    return examples
+
+
+def _machine(found: DataFrame, width: int, most: int = 60) -> np.ndarray:
+    """The weights, the offset last, of the linear support vector machine with squared hinge
+    loss on found (x of so many numbers, label, weight), by Newton steps; each step's sums come
+    from one job. The squared hinge holds altered insults to the margin as well as plain ones."""
+    size = width + 1
+
+    def summed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g, h = np.zeros(size), np.zeros((size, size))
+            for b in batches:
+                x = np.column_stack([np.stack(b["x"]), np.ones(len(b))])
+                sign = 2.0 * b["label"].to_numpy() - 1
+                short = 1 - sign * (x @ w)
+                inside = short > 0
+                own = x[inside] * b["weight"].to_numpy()[inside][:, None]
+                g -= 2 * own.T @ (sign * short)[inside]
+                h += 2 * own.T @ x[inside]
+            flat = np.concatenate([g, h.ravel()])
+            used = np.flatnonzero(flat)
+            yield pd.DataFrame({"at": used, "sum": flat[used]})
+
+        total = found.mapInPandas(sums, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toArrow()
+        flat = np.zeros(size + size * size)
+        flat[total["at"].to_numpy()] = total["sum"].to_numpy()
+        return flat[:size], flat[size:].reshape(size, size)
+
+    w, ridge = np.zeros(size), np.append(np.full(width, RIDGE), 1e-9)
+    for _ in range(most):
+        g, h = summed(w)
+        step = np.linalg.solve(h + 2 * np.diag(ridge), g + 2 * ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            return w
+    raise RuntimeError(f"the machine did not settle in {most} steps")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -279,46 +416,56 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = stage(rated.orderBy(F.xxhash64(doc_id), doc_id).limit(rows))
     sample = stage(docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(ids), doc_id).select("text", "label"))
     seen = {r.label for r in sample.select("label").distinct().collect()}
-    names = tuple(choose_landmarks(sample, count)) if seen == {0, 1} else ()
-    if not names:
-        return KernelModel((), (), 10.0 if seen == {1} else -10.0)
+    toxic, beside = choose_landmarks(sample, count) if seen == {0, 1} else ([], [])
+    if not toxic:
+        none = np.zeros((0, 0))
+        return KernelModel((), none, np.zeros(1), np.zeros(1), 1.0, -10.0 if seen == {1} else 10.0)
+    names = (*toxic, *beside)
     value, vector = np.linalg.eigh(Landmarks(names).gram())
-    # directions that the landmarks don't tell apart from rounding have no part in the map
-    firm = value > 1e-6 * value[-1]
-    root = vector[:, firm] @ np.diag(value[firm] ** -0.5) @ vector[:, firm].T
+    # directions that the landmarks don't tell apart from rounding, or that the floor bends, have no part in the map
+    firm = value > 1e-3 * value[-1]
+    root = vector[:, firm] @ np.diag(value[firm] ** -0.5)
+    found = stage(sample.mapInPandas(_examples(toxic, names, root), "x array<double>, label int, weight double"))
+    most = {r.label: r.w for r in found.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    weight = F.col("weight") * F.when(F.col("label") == 1, 1 / most.get(1, 1.0)).otherwise(CLEAN / most.get(0, 1.0))
+    machine = _machine(found.coalesce(4).select("x", "label", weight.alias("weight")), root.shape[1])
 
     @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([x @ root for x in _described(s, names)])
+            yield pd.Series([_drawn_in(whole @ root).tolist() for _, whole in _described([t or "" for t in s], names)])
+
+    n = sample.count()
+    each = stage(sample.select("text", F.col("label").cast("double").alias("label"), mapped("text").alias("x")))
+    texts = LogisticRegression(regParam=1 / n, standardization=False).fit(each.coalesce(4).select(array_to_vector("x").alias("features"), "label"))
+    weights = [machine, np.append(texts.coefficients.toArray(), float(texts.intercept))]
+    raw = KernelModel(names, root, *weights, 1.0, 0.0)
+    margins = stage(each.select(_margins(raw)("text").alias("z"), "label"))
+    platt = LogisticRegression(regParam=1e-4).fit(margins.select(array_to_vector(F.array("z")).alias("features"), "label"))
+    cut = margins.where("label = 0").agg(F.percentile("z", 1 - FALSE)).first()[0]
+    return KernelModel(names, root, *weights, max(float(platt.coefficients[0]), 1e-6), float(cut) + 1e-9)
+
 
-    def ready(df: DataFrame) -> DataFrame:
-        return stage(df.select(features("text").alias("x"), F.col("label").cast("double").alias("label"))).coalesce(4).select(
-            array_to_vector("x").alias("features"), "label")
+def _margins(model: KernelModel):
+    """A pandas UDF of the margins of texts."""
+
+    @F.pandas_udf("double")
+    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = [t or "" for t in s]
+            found = _described(texts, model.landmarks) if model.landmarks else ((None, None) for _ in texts)
+            yield pd.Series([model.margin(*x) for x in found], dtype="float64")
 
-    machine = LinearSVC(regParam=1e-4, maxIter=100, maxBlockSizeInMB=4).fit(
-        ready(sample.mapInPandas(_examples(names), "text string, label int")))
-    margin = F.array(F.get(vector_to_array("rawPrediction"), F.lit(1)))
-    platt = LogisticRegression(regParam=1e-4).fit(machine.transform(ready(sample)).select(array_to_vector(margin).alias("features"), "label"))
-    slope, shift = max(float(platt.coefficients[0]), 1e-6), float(platt.intercept)
-    w = root @ machine.coefficients.toArray() * slope
-    return KernelModel(names, tuple(map(float, w)), float(machine.intercept * slope + shift))
+    return margins
 
 
 def score(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
     """docs plus score (0 to 1) and predicted (1 if score >= 0.5).
 
-    Null and empty texts are similar to no landmark and have the score of the offset.
+    Null and empty texts are similar to no landmark and have the score of a text without.
     Rows are independent; repeated rows and null ids pass through."""
-    names, w, offset = model.landmarks, np.array(model.weights), model.offset
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            z = np.array([offset + (x @ w if len(names) else 0.0) for x in (_described(s, names) if names else s)])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-    return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    z = (_margins(model)(F.col(text)) - model.cut) * model.slope if model.landmarks else F.lit(-model.cut)
+    return docs.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id="doc_id"):
