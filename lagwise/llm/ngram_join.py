@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, scratch, stage, unstage
-from .linking import _buckets, _hopeful, _merged, _near, bitmaps, different, distinct, mixed, rooted, similar, word_lists
+from .linking import _buckets, _hopeful, _merged, _near, bitmaps, different, distinct, mixed, rooted, word_lists
 
 WIDTH = 4
 #: Per cent of the union that the intersection has at least.
@@ -130,6 +130,24 @@ def marked(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.select("id", "norm").mapInArrow(mark, "id long, n long, marks array<long>")
 
 
+def _verified(met: DataFrame, width: int, least: int) -> DataFrame:
+    """The pairs (u, v, u_norm, v_norm) whose sets are similar enough."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.empty(0))
+        for batch in batches:
+            yes = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if u != last[0]:  # the pairs of one u mostly come together
+                    last = (u, shingles(a.as_py(), width))
+                x, y = last[1], shingles(b.as_py(), width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                yes.append(100 * both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+
+    return met.mapInArrow(keep, "u long, v long")
+
+
 def _fits(least: int, n: Column, at: Column, m: Column, by: Column) -> Column:
     """The length and the positional filter of two sets of n and m n-grams that share one
     at places at and by: what precedes it in both, it, and what follows it in both is all
@@ -147,11 +165,11 @@ def linked(found: DataFrame, texts_of, alike, least: int = LEAST) -> DataFrame:
         bands = found.select("id", "n", F.posexplode("keys").alias("at", "key"))
         # most keys are of one set: counting them alone moves least
         shared = stage(bands.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key"))
-        shared = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key"))
+        shared = stage(bands.join(broadcast_if_small(shared, 2_000_000), "key"))
         lead = shared.groupBy("key").agg(F.min(F.struct("at", "n", "id")).alias("p"))
         members = stage(shared.join(lead, "key").select("id", "n", "at", "key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.at").alias("p_at")))
         unstage(shared)
-        items = stage(marked(texts_of(members.select("id"))))
+        items = stage(marked(texts_of(members.select("id"))).dropDuplicates(["id"]))
         fits = _fits(least, F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"))
         star = members.where((F.col("id") != F.col("p_id")) & fits).select(F.col("p_id").alias("u"), F.col("id").alias("v"))
         tied = stage(components(alike(_hopeful(star, items, at_least))))
@@ -181,18 +199,21 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     rows, counts = measured(plain, width, cells)
     found = stage(prefixes(plain.select("text"), counts, width, least).dropDuplicates(["id"]))
 
-    def sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [shingles(t, width) for t in texts]
-        return np.concatenate(each), np.repeat(np.arange(len(each)), [len(h) for h in each])
+    # a row of each set, told by its id and text; rows that repeat both give the same text again
+    firsts = stage(rows.where("n > 0").groupBy("id").agg(F.min(F.struct("of_text", "doc_id")).alias("at")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = stage(ids.distinct())
-        one = stage(rows.join(broadcast_if_small(wanted), "id").groupBy("id").agg(F.min("of_text").alias("of_text")))
-        met = plain.select("text", "of_text").join(broadcast_if_small(one), "of_text")
-        return met.select("id", F.col("text").alias("norm")).dropDuplicates(["id"])
+        """The columns of ids (id, any others) and norm. Texts are read where they lie: what
+        moves is ids."""
+        wanted = firsts.join(broadcast_if_small(stage(ids.select("id").distinct())), "id", "left_semi")
+        met = stage(ids.distinct().join(broadcast_if_small(stage(wanted)), "id"))
+        same = (F.col("of_text").eqNullSafe(F.col("at.of_text"))) & F.col("doc_id").eqNullSafe(F.col("at.doc_id"))
+        return plain.join(broadcast_if_small(met), same).select(*ids.columns, F.col("text").alias("norm"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        return similar(pairs, stage(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))), sets, least / 100)
+        ones = texts_of(pairs.select(F.col("u").alias("id"))).dropDuplicates(["id"]).select(F.col("id").alias("u"), F.col("norm").alias("u_norm"))
+        others = texts_of(pairs.select(F.col("v").alias("id"), "u")).select("u", F.col("id").alias("v"), F.col("norm").alias("v_norm"))
+        return _verified(others.join(ones, "u").select("u", "v", "u_norm", "v_norm"), width, least).distinct()
 
     tied = linked(found, texts_of, alike, least)
     placed = stage(rooted(rows, tied))
