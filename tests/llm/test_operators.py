@@ -363,7 +363,7 @@ def test_kernel_is_the_gapped_one():
     for i, w in enumerate(words):
         for j, n in enumerate(names):
             want = k(w, n) if len(w) > 2 else 0
-            assert (got[i][j] if i in got else 0) == pytest.approx(want**toxicity.POWER if want >= toxicity.FLOOR else 0, abs=1e-4)
+            assert (got[i][j] if i in got else 0) == pytest.approx(np.mean([want**p for p in toxicity.POWERS]) if want >= toxicity.FLOOR else 0, abs=1e-4)
 
 
 def test_words():
@@ -382,28 +382,95 @@ def test_toxicity_held_out(spark):
 
 
 def test_nystroem_map():
-    """The landmarks' matrix is the kernel's, and inner products of mapped landmarks are too."""
-    marks = toxicity.Landmarks(("insult", "insults", "banana", "bananas", "pineapple"))
+    """The landmarks' matrix is the kernel that texts have, floor and all, and inner products
+    of mapped landmarks are too."""
+    names = ("insult", "insults", "banana", "bananas", "pineapple", "pine")
+    marks = toxicity.Landmarks(names)
     gram = marks.gram()
-    at, rows = marks.similar(["insult", "insults", "banana", "bananas", "pineapple"])
-    assert np.allclose(np.where(gram >= toxicity.FLOOR**toxicity.POWER, gram, 0), rows, atol=1e-4) and list(at) == list(range(5))
+    at, rows = marks.similar(list(names))
+    assert np.allclose(gram, rows, atol=1e-4) and list(at) == list(range(len(names)))
     value, vector = np.linalg.eigh(gram)
-    z = gram @ vector @ np.diag(value**-0.5) @ vector.T
+    z = gram @ vector @ np.diag(value**-0.5)
     assert value.min() > 0 and np.allclose(z @ z.T, gram)
 
 
+def test_machine_is_at_its_optimum(spark):
+    rng = np.random.default_rng(3)
+    x, y, w = rng.normal(size=(200, 3)), rng.integers(0, 2, 200), rng.random(200)
+    x[:, 0] += y
+    got = toxicity._machine(spark.createDataFrame([(a.tolist(), int(b), float(c)) for a, b, c in zip(x, y, w, strict=True)], "x array<double>, label int, weight double").repartition(3), 3)
+
+    def loss(v):
+        short = np.maximum(0, 1 - (2 * y - 1) * (x @ v[:3] + v[3]))
+        return w @ short**2 + toxicity.RIDGE * v[:3] @ v[:3] + 1e-9 * v[3] ** 2
+
+    assert all(abs(loss(got + e) - loss(got - e)) / 2e-4 < 1e-3 for e in np.eye(4) * 1e-4)
+
+
+INSULTS = ["wretch", "dimwit", "numbskull", "blockhead", "nitwit", "dolt", "scoundrel", "buffoon"]
+
+
+@pytest.fixture(scope="module")
+def insulted(spark):
+    rng = np.random.default_rng(8)
+    lexicon = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(3, 10))) for _ in range(1500)]
+    say = lambda: " ".join(rng.choice(lexicon, rng.integers(5, 15))) + ". "
+    rows = []
+    for i in range(420):
+        parts = [say() for _ in range(rng.integers(1, 8))]
+        if i % 3 == 0:
+            k = rng.integers(len(parts))
+            parts[k] = f"{parts[k][:-2]} {rng.choice(INSULTS)} {say()}"
+        rows.append((i, "".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    return model, [say() for _ in range(300)], rows
+
+
+def test_altered_insults_are_flagged(spark, insulted):
+    """One letter put in at every inner place, alone and in a sentence; clean texts stay."""
+    model, clean, _ = insulted
+    assert set(INSULTS) <= set(model.landmarks)
+    altered = [w[:i] + c + w[i:] for w in INSULTS for i in range(1, len(w)) for c in "xo"]
+    texts = [*altered, *[f"{clean[i][:-2]} {x} {clean[-1 - i][:-2]}" for i, x in enumerate(altered)], *clean]
+    got = [r.predicted for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    n = len(altered)
+    assert np.mean(got[:n]) >= 0.9 and np.mean(got[n : 2 * n]) >= 0.9 and np.mean(got[2 * n :]) <= 0.02
+
+
+def test_score_like_brute_force(spark, insulted):
+    """Map, both margins and score of whole texts from the kernel of every word with every landmark."""
+    model, clean, rows = insulted
+    texts = [t for _, t in rows[:25]] + clean[:5] + ["", "wretxch and bufoon. none here"]
+    got = [r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    marks = toxicity.Landmarks(model.landmarks)
+
+    def sums(words):
+        total = np.zeros(len(model.landmarks))
+        for w in words:
+            _, found = marks.similar([w])
+            total += found[0] if len(found) else 0
+        return total
+
+    for t, score in zip(texts, got, strict=True):
+        best = max([0.0, *[sums(toxicity.words(p)) @ model.root @ model.sentence[:-1] for p in toxicity.sentences(t)]]) + model.sentence[-1]
+        x = sums(toxicity.words(t)) @ model.root
+        z = best + toxicity.WHOLE * (np.sign(x) * np.log1p(abs(x)) @ model.text[:-1] + model.text[-1])
+        assert score == pytest.approx(1 / (1 + np.exp(-model.slope * (z - model.cut))), abs=1e-5)
+
+
 def test_toxicity_of_odd_texts(spark, odd):
     """Odd texts by a model with landmarks, repeated labels and columns named like the results."""
-    rows = [(i, f"a walk in the park with friend {i}{['', ' idiot', '', '', ' moron', ''][i % 6]}. bye") for i in range(60)]
+    rows = [(i, f"a walk in the park with friend {i}{['', ' idiot', '', '', ' moron', ''][i % 6]}. bye") for i in range(90)]
     labels = [(i, int(i % 3 == 1)) for i, _ in rows]
     docs = spark.createDataFrame([*rows, (None, "idiot")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([*labels, *labels, (None, 1), (0, 0)], "doc_id long, toxic int"))
     assert {"idiot", "moron"} <= set(model.landmarks)
-    more = [(50, "an i d i o t, an ixdiot and a moroon"), (51, "X" * 70_000), (52, "idiot " * 50_000), (53, "\x00 \ud83d\ude00 @$@ 1d10t")]
+    more = [(50, "an i d i o t"), (54, "an ixdiot and a moroon"), (51, "X" * 70_000), (52, "idiot " * 50_000), (53, "\x00 \ud83d\ude00 @$@ 1d10t")]
     df = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({"score": F.lit("x"), "predicted": F.lit("y")})
     got = toxicity.score(df, model).collect()
-    assert len(got) == len(ODD) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    assert {r.doc_id for r in got if r.predicted} >= {50, 52} and not any(r.predicted for r in got if r.doc_id in (1, 2, 3, 4, 5, 7, 51))
+    assert len(got) == len(ODD) + 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert {r.doc_id for r in got if r.predicted} >= {50, 52, 54} and not any(r.predicted for r in got if r.doc_id in (1, 2, 3, 4, 5, 7, 51))
 
 
 def test_toxicity_odd(spark, odd, none):
