@@ -8,9 +8,9 @@ powers of the similarity, one that tolerates changes and one that hardly does, i
 kernel; similarities under FLOOR are none, in texts and in the landmarks' own matrix alike. The
 kernel of two sentences sums that of their different words; its Nystroem map is the sum of a
 sentence's words' kernels with each landmark, times the inverse square root of the landmarks'
-kernel matrix, and a linear machine on it decides. A text has the margin of its most toxic
-sentence, whatever its length, and a share of what a logistic regression on the map of
-all its words adds, which tells apart texts that no sentence decides.
+kernel matrix, and a linear machine on it gives its margin. A text's most toxic sentence, with
+a share of the margin of a logistic regression on the map of all its words, decides whether
+it is toxic; among texts of one decision their sum ranks.
 
 Landmarks are words that mark toxic texts, and words of clean texts that are similar to
 one of them, so that the machine can tell `oron` from `moxron`."""
@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 #: Toxic landmarks, and clean ones beside them, at most.
 LANDMARKS, BESIDE = 130, 150
@@ -53,10 +53,10 @@ FLOOR = 0.5
 CLEAN = 30.0
 #: The squared weights' share of the machine's loss.
 RIDGE = 1e-4
-#: What the whole text's regression counts beside the most toxic sentence.
+#: What the whole text's margin counts beside the most toxic sentence's in the decision.
 WHOLE = 0.2
 #: The share of the fit's clean texts that may score 0.5 or more.
-FALSE = 0.005
+FALSE = 0.0075
 #: Words of a sentence at most; longer ones are cut.
 SENTENCE = 40
 #: Longer words are compared in pieces of this length that overlap by OVERLAP.
@@ -80,17 +80,18 @@ class KernelModel:
     root: np.ndarray
     sentence: np.ndarray
     text: np.ndarray
-    #: score = sigmoid(slope * (margin - cut))
+    #: From what margin on a text is toxic, and the middle of the margins that rank texts;
+    #: score = sigmoid(slope * what a margin is over its cut).
     slope: float
-    cut: float
+    cut: tuple[float, float]
 
-    def margin(self, rows: np.ndarray, whole: np.ndarray) -> float:
-        """Of a text with the sums `rows` of its sentences and `whole` of all its words. A text
-        has a sentence without a similar word too."""
-        if not self.landmarks:
-            return self.cut
+    def margins(self, rows: np.ndarray, whole: np.ndarray) -> list[float]:
+        """What decides, that of a text's most toxic sentence and WHOLE of the whole text's, and
+        what ranks, their sum, for the sums `rows` of its sentences and `whole` of all its
+        words. A text has a sentence without a similar word too."""
         best = self.sentence[-1] + np.max(rows @ self.root @ self.sentence[:-1], initial=0.0)
-        return float(best + WHOLE * (self.text[-1] + _drawn_in(whole @ self.root) @ self.text[:-1]))
+        text = self.text[-1] + _drawn_in(whole @ self.root) @ self.text[:-1]
+        return [float(best + WHOLE * text), float(best + text)]
 
 
 def _drawn_in(x: np.ndarray) -> np.ndarray:
@@ -419,7 +420,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic, beside = choose_landmarks(sample, count) if seen == {0, 1} else ([], [])
     if not toxic:
         none = np.zeros((0, 0))
-        return KernelModel((), none, np.zeros(1), np.zeros(1), 1.0, -10.0 if seen == {1} else 10.0)
+        return KernelModel((), none, np.zeros(1), np.zeros(1), 1.0, (0.0, -10.0 if seen == {1} else 10.0))
     names = (*toxic, *beside)
     value, vector = np.linalg.eigh(Landmarks(names).gram())
     # directions that the landmarks don't tell apart from rounding, or that the floor bends, have no part in the map
@@ -439,22 +440,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     each = stage(sample.select("text", F.col("label").cast("double").alias("label"), mapped("text").alias("x")))
     texts = LogisticRegression(regParam=1 / n, standardization=False).fit(each.coalesce(4).select(array_to_vector("x").alias("features"), "label"))
     weights = [machine, np.append(texts.coefficients.toArray(), float(texts.intercept))]
-    raw = KernelModel(names, root, *weights, 1.0, 0.0)
+    raw = KernelModel(names, root, *weights, 1.0, (0.0, 0.0))
     margins = stage(each.select(_margins(raw)("text").alias("z"), "label"))
-    platt = LogisticRegression(regParam=1e-4).fit(margins.select(array_to_vector(F.array("z")).alias("features"), "label"))
-    cut = margins.where("label = 0").agg(F.percentile("z", 1 - FALSE)).first()[0]
-    return KernelModel(names, root, *weights, max(float(platt.coefficients[0]), 1e-6), float(cut) + 1e-9)
+    platt = LogisticRegression(regParam=1e-4).fit(margins.select(array_to_vector(F.array(F.get("z", F.lit(1)))).alias("features"), "label"))
+    cut = margins.where("label = 0").agg(*[F.percentile(F.get("z", F.lit(i)), F.lit(1 - FALSE)) for i in (0, 1)]).first()
+    # a text without a similar word is never toxic
+    bare = raw.margins(np.zeros((0, len(names))), np.zeros(len(names)))
+    return KernelModel(names, root, *weights, max(float(platt.coefficients[0]), 1e-6), tuple(max(float(c), b) + 1e-9 for c, b in zip(cut, bare, strict=True)))
 
 
 def _margins(model: KernelModel):
     """A pandas UDF of the margins of texts."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            texts = [t or "" for t in s]
-            found = _described(texts, model.landmarks) if model.landmarks else ((None, None) for _ in texts)
-            yield pd.Series([model.margin(*x) for x in found], dtype="float64")
+            yield pd.Series([model.margins(*x) for x in _described([t or "" for t in s], model.landmarks)])
 
     return margins
 
@@ -464,8 +465,15 @@ def score(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
 
     Null and empty texts are similar to no landmark and have the score of a text without.
     Rows are independent; repeated rows and null ids pass through."""
-    z = (_margins(model)(F.col(text)) - model.cut) * model.slope if model.landmarks else F.lit(-model.cut)
-    return docs.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    if not model.landmarks:
+        z = F.lit(-model.cut[1])
+    else:
+        found = free_name(docs, "margins")
+        decides, ranks = (F.get(F.col(found), F.lit(i)) - c for i, c in enumerate(model.cut))
+        docs = docs.withColumn(found, _margins(model)(F.col(text)))
+        z = F.when(decides >= 0, F.greatest(decides, ranks)).otherwise(F.least(ranks, F.lit(-1e-6))) * model.slope
+    out = docs.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.drop(found) if model.landmarks else out
 
 
 def held_out(doc_id="doc_id"):

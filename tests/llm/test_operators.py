@@ -455,8 +455,10 @@ def test_score_like_brute_force(spark, insulted):
     for t, score in zip(texts, got, strict=True):
         best = max([0.0, *[sums(toxicity.words(p)) @ model.root @ model.sentence[:-1] for p in toxicity.sentences(t)]]) + model.sentence[-1]
         x = sums(toxicity.words(t)) @ model.root
-        z = best + toxicity.WHOLE * (np.sign(x) * np.log1p(abs(x)) @ model.text[:-1] + model.text[-1])
-        assert score == pytest.approx(1 / (1 + np.exp(-model.slope * (z - model.cut))), abs=1e-5)
+        text = np.sign(x) * np.log1p(abs(x)) @ model.text[:-1] + model.text[-1]
+        decides, ranks = best + toxicity.WHOLE * text - model.cut[0], best + text - model.cut[1]
+        z = max(decides, ranks) if decides >= 0 else min(ranks, -1e-6)
+        assert score == pytest.approx(1 / (1 + np.exp(-model.slope * z)), abs=1e-5)
 
 
 def test_toxicity_of_odd_texts(spark, odd):
