@@ -1,79 +1,20 @@
-"""Helpers shared by the training-data operators: staged tables in the folder
-that the cluster shares, size-checked broadcasts, connected components."""
+"""Helpers shared by the training-data operators: tables, free column names, connected
+components. Staged tables and size-checked broadcasts are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was staged and counted below this many rows.
-BROADCAST_ROWS = 500_000
-_scopes: list[list[DataFrame]] = []
+from lagwise.staging import BROADCAST_ROWS, broadcast_if_small, scratch, shared_dir, stage, unstage
+
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "free_name", "numbered", "scratch", "shared_dir", "stage", "table", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the shared folder of spark.checkpoint.dir.
-
-    Only where a local session names no such folder (as in tests) is one made on this
-    machine, and set, so that later calls find it; a cluster has to name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lagwise-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lagwise-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, **options) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage,
-    survives lost executors, and gives the planner the true size."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    if _scopes:
-        _scopes[-1].append(out)
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table of which no later result is made."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch():
-    """Tables staged inside are deleted at the end, but for those given to what this yields."""
-    made: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    _scopes.append(made)
-    try:
-        yield lambda df: kept.append(df) or df
-    finally:
-        _scopes.pop()
-        for df in made:
-            if not any(df is k for k in kept):
-                unstage(df)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a staged table of narrow rows if it has at most so many rows;
-    otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores put before it until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -51,6 +51,19 @@ def test_components(spark):
     assert common.components(df.limit(0)).count() == 0
 
 
+def test_scratch_is_of_its_thread(spark):
+    """What another thread stages meanwhile stays."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with common.scratch() as keep:
+        gone, kept = common.stage(spark.range(3)), keep(common.stage(spark.range(4)))
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(lambda: common.stage(spark.range(5))).result()
+    assert kept.count() == 4 and other.count() == 5
+    with pytest.raises(Exception, match="(?i)exist"):
+        gone.collect()
+
+
 # 1
 
 
