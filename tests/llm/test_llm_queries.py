@@ -52,11 +52,11 @@ def test_sql(spark, db, name):
 
 def test_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op2_ordinal_quality", "op4_fuzzy_lines", "op5_string_kernel_toxicity", "op6_media_columns", "op8_simhash", "op10_token_counts"])
+@pytest.mark.parametrize("name", ["op2_ordinal_quality", "op4_fuzzy_lines", "op5_string_kernel_toxicity", "op6_media_columns", "op8_simhash", "op10_token_counts", "op11_token_alignment", "op13_ngram_join"])
 def test_every_document_returns(spark, name):
     got = queries.queries()[name](spark, SF)
     docs = table(spark, SF, "documents")
