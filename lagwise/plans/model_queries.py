@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lagwise.operators import blend, ensemble, importance, metrics, models, selection, splits
+from lagwise.operators import blend, boosting, ensemble, importance, metrics, models, network, selection, splits
 from lagwise.sources import sinks
 from lagwise.staging import shared_dir, stage
 
@@ -72,6 +72,28 @@ def mlp_fit(spark, d):
     return _scored(t, models.perceptron(len(FEATURES), (8,), maxIter=50).fit(train))
 
 
+@query()
+def boosted_fit(spark, d):
+    """Trees with L1, L2 and shares of rows and columns."""
+    t, train, _ = _parts(spark, d)
+    return _scored(t, boosting.Boosted(trees=10, depth=3, rate=0.1, l1=0.1, l2=1.0, rows=0.85, columns=0.85).fit(train))
+
+
+@query()
+def boosted_importance(spark, d):
+    """The share of each feature in the mean gains of splits."""
+    t, train, _ = _parts(spark, d)
+    found = boosting.Boosted(trees=5, depth=3, l1=0.1).fit(train).importances
+    return spark.createDataFrame([(c, float(w)) for c, w in zip(FEATURES, found, strict=True)], "feature string, importance double")
+
+
+@query()
+def network_fit(spark, d):
+    """A network stopped by the last tenth of the training rows in time."""
+    t, train, _ = _parts(spark, d)
+    return _scored(t, network.Network((8,), "tanh", l2=1e-3, most=60).fit(train))
+
+
 @query()
 def random_search(spark, d):
     t, train, _ = _parts(spark, d)
