@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lagwise.plans import model_queries, player_queries, team_queries
+from lagwise.plans import embedding_queries, model_queries, player_queries, team_queries
 
 
 def queries() -> dict:
-    return {**team_queries.Q, **player_queries.Q, **model_queries.Q}
+    return {**team_queries.Q, **player_queries.Q, **model_queries.Q, **embedding_queries.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**team_queries.SQL, **player_queries.SQL, **model_queries.SQL}
+    return {**team_queries.SQL, **player_queries.SQL, **model_queries.SQL, **embedding_queries.SQL}

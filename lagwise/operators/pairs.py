@@ -64,9 +64,9 @@ def pair_join(df: DataFrame, game: str, home: str, columns: Sequence[str]) -> Da
     return a.join(b, game)
 
 
-def deltas(df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "delta_") -> DataFrame:
+def deltas(df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "delta_", starting: str = "") -> DataFrame:
     """df plus home minus away of each column; None: of every column that has both sides
-    and whose name speaks of rolling or ewma."""
+    and whose name speaks of rolling or ewma, and starts so (z_: season scores only)."""
     if columns is None:
-        columns = [c[5:] for c in df.columns if c.startswith("home_") and f"away_{c[5:]}" in df.columns and ("_rolling_" in c or "_ewma_" in c)]
+        columns = [c[5:] for c in df.columns if c.startswith(f"home_{starting}") and f"away_{c[5:]}" in df.columns and ("_rolling_" in c or "_ewma_" in c)]
     return df.withColumns({f"{prefix}{c}": F.col(f"home_{c}") - F.col(f"away_{c}") for c in columns})
