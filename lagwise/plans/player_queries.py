@@ -128,11 +128,7 @@ def game_table(spark, d):
     team = p.groupBy("game", "team").agg(
         F.sum("form").alias("sum_form"), F.max("form").alias("max_form"), F.avg("form").alias("mean_form"), F.stddev_samp("form").alias("std_form"),
         F.sum("impact").alias("sum_impact"), rollups.weighted_mean("form", "mins").alias("form_per_minute"), rollups.star_share("impact").alias("star_share"))
-    g = v.games(spark, d)
-    for side in ("home", "away"):
-        own = team.select(F.col("game"), F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in _SIDE_COLS])
-        g = g.join(own, ["game", f"{side}_team"], "left")
-    g = pairs.deltas(g, _SIDE_COLS)
+    g = pairs.deltas(v.games(spark, d, team, _SIDE_COLS), _SIDE_COLS)
     return g.fillna(0.0, [f"delta_{c}" for c in _SIDE_COLS])
 
 

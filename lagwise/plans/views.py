@@ -7,6 +7,8 @@ games: box paired to a row per game. preds: chances of three simple models per g
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +74,15 @@ def form(spark, d) -> DataFrame:
 FORM = BOX + """, form AS (SELECT *, avg(pts) OVER (PARTITION BY team ORDER BY date, game ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS form FROM box)"""
 
 
-def games(spark, d) -> DataFrame:
-    """A row per game: both sides' team, points and form, their differences, home_win."""
-    g = pairs.pair_up(form(spark, d), "game", "home", ["team", "pts", "form", "date", "season", "host"])
+def games(spark, d, attached: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """A row per game: both sides' team, points and form, their differences, home_win; and
+    both sides' columns named in more, of a table by game and team."""
+    f = form(spark, d) if attached is None else form(spark, d).join(attached, ["game", "team"], "left")
+    g = pairs.pair_up(f, "game", "home", ["team", "pts", "form", "date", "season", "host", *more])
     g = pairs.deltas(g, ["pts", "form"]).withColumn("home_win", F.when(F.col("home_pts") > F.col("away_pts"), 1).otherwise(0))
     return g.select("game", F.col("home_date").alias("date"), F.col("home_season").alias("season"), F.col("home_host").alias("host"),
-                    "home_team", "away_team", "home_pts", "away_pts", "home_form", "away_form", "delta_pts", "delta_form", "home_win")
+                    "home_team", "away_team", "home_pts", "away_pts", "home_form", "away_form", "delta_pts", "delta_form", "home_win",
+                    *[f"{side}_{c}" for side in ("home", "away") for c in more])
 
 
 GAMES = FORM + """, games AS (SELECT h.game, h.date, h.season, h.host, h.team AS home_team, a.team AS away_team, h.pts AS home_pts, a.pts AS away_pts, h.form AS home_form, a.form AS away_form,
