@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lagwise.functions import scalars as sc
 from lagwise.operators import audit, ewma, pairs, profiles, windows
 from lagwise.operators.models import scale_by_train
+from lagwise.sources import seasons
+from lagwise.staging import shared_dir
 
 from . import views as v
 from .player_queries import PLAYER, PLAYER_SQL, _linear, _ratio
@@ -144,3 +146,27 @@ def leak_audit(spark, d):
     """What changes when the table is cut at three moments: nothing in the lagged features."""
     box = v.box(spark, d).select("team", "date", "game", "season", "pts")
     return audit.leak_audit(box, _audited, ["team", "game"], ["date", "game"], ["pts"], _AUDITED, cuts=3)
+
+
+_Q5 = ewma.keep_of(span=5)
+
+
+@query(f"""WITH {v.BOX} SELECT season, game, team, round(avg(pts) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 6) AS form,
+round(list_reduce(list(pts) OVER (w ROWS BETWEEN {ewma.reach(_Q5)} PRECEDING AND 1 PRECEDING), lambda a, x: {_Q5!r} * a + {1 - _Q5!r} * x), 6) AS trend FROM box WINDOW w AS (PARTITION BY team ORDER BY date, game)""")
+def repeated_loads(spark, d):
+    """Features of a history that was first loaded with wrong points from 1996 on, then had
+    these seasons replaced; only they and later ones are made again."""
+    box = v.box(spark, d).select("season", "date", "game", "team", "pts")
+    raw, out = shared_dir(spark), shared_dir(spark)
+
+    def features(df):
+        return ewma.ewma(df.withColumn("form", windows.rolling_mean("pts", 8, *v.TEAM)), {"trend": "pts"}, *v.TEAM, span=5)
+
+    def load(since=None):
+        return seasons.refresh(spark, raw, out, features, "season", ["team"], ["date", "game"], ewma.reach(_Q5) + 1, since)
+
+    seasons.replace_seasons(box.withColumn("pts", F.when(F.col("season") >= 1996, 0.0).otherwise(F.col("pts"))), raw, "season")
+    load()
+    changed = seasons.replace_seasons(box.where("season >= 1996"), raw, "season")
+    load(min(changed, default=None))
+    return spark.read.parquet(f"{out}/features").select("season", "game", "team", r("form").alias("form"), r("trend").alias("trend"))
