@@ -26,7 +26,9 @@ SIZE = BUCKETS + 1
 FIT_ROWS = 4_000
 #: Half of this times the squared weights is added to the mean loss.
 RIDGE = 1e-4
-STEPS, MEMORY, SETTLED = 60, 8, 1e-6
+#: The fit ends when the gradient's norm is SETTLED times the loss (or 1, if that is more);
+#: STEPS without getting there are an error.
+STEPS, MEMORY, SETTLED = 1_000, 20, 2e-6
 #: Texts are kept whose chance of a grade of at least KEEP_GRADE is KEEP_CHANCE or more.
 KEEP_GRADE, KEEP_CHANCE = 1, 0.5
 _BYTES_AT_ONCE = 1 << 20
@@ -126,11 +128,14 @@ def _loss(data: DataFrame, place: dict[int, int], at: np.ndarray) -> tuple[float
     return sum(p.loss for p in parts) / n + RIDGE / 2 * float(w @ w), sum(np.array(p.gradient) for p in parts) / n + RIDGE * w
 
 
-def minimise(f, at: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """L-BFGS with halved steps, until the value falls by less than SETTLED of itself."""
+def minimise(f, at: np.ndarray, steps: int = STEPS, settled: float = SETTLED) -> np.ndarray:
+    """The minimum of f (value and gradient) by L-BFGS with halved steps: where the gradient's
+    norm is settled * max(1, value) or less. An error if it isn't reached."""
     value, g = f(at)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
+        if np.linalg.norm(g) <= settled * max(1.0, abs(value)):
+            return at
         d, marks = -g, []
         for s, y in reversed(moves):
             a = (s @ d) / (s @ y)
@@ -139,22 +144,21 @@ def minimise(f, at: np.ndarray, steps: int = STEPS) -> np.ndarray:
         d = d * ((moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1e-12, np.linalg.norm(g)))
         for (s, y), a in zip(moves, reversed(marks), strict=True):
             d = d + s * (a - (y @ d) / (s @ y))
-        size = 1.0
+        size, rounding = 1.0, 1e-14 * abs(value)
         while True:
             there = at + size * d
             after, h = f(there)
-            if after <= value + 1e-4 * size * (g @ d) or size < 1e-6:
+            if after <= value + 1e-4 * size * (g @ d) + rounding:
                 break
             size /= 2
-        if not after < value:
-            break
-        if (there - at) @ (h - g) > 1e-12:
+            if size < 1e-9:
+                raise RuntimeError(f"no lower value along a step; the gradient's norm is {np.linalg.norm(g):.1e}")
+        if (there - at) @ (h - g) > 1e-16:
             moves = [*moves[1 - MEMORY :], (there - at, h - g)]
-        done = value - after < SETTLED * max(value, 1e-3)
         at, value, g = there, after, h
-        if done:
-            break
-    return at
+    if np.linalg.norm(g) <= settled * max(1.0, abs(value)):
+        return at
+    raise RuntimeError(f"not settled in {steps} steps; the gradient's norm is {np.linalg.norm(g):.1e}")
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
