@@ -20,7 +20,7 @@ RATE = 8_000
 FRAME, HOP = 576, 288
 #: Peaks are sought below this bin; each frame keeps the strongest of each band.
 BANDS = ((4, 24), (24, 72), (72, 144), (144, 288))
-#: A peak is paired with the peaks of the next frames, up to this many.
+#: A peak is paired with all peaks of so many next frames.
 AHEAD = 2
 #: Frames transformed at a time, which bounds memory for long payloads.
 FRAMES_AT_ONCE = 2_048
@@ -75,22 +75,15 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(t: np.ndarray, b: np.ndarray, ahead: int = AHEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Time-coded fingerprints: for each anchor peak and each of the next peaks in
-    later frames, its frame and a code of (anchor bin, other bin, frames between)."""
-    if not len(t):
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    later = np.searchsorted(t, t, side="right")
-    times, codes = [], []
-    for k in range(ahead):
-        other = later + k
-        ok = other < len(t)
-        gap = np.where(ok, t[np.minimum(other, len(t) - 1)] - t, 0)
-        ok &= gap < 64
-        times.append(t[ok])
-        codes.append((b[ok] << 15) | (b[other[ok]] << 6) | gap[ok])
-    when, code = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((code, when))
-    return when[order].astype(np.int32), code[order].astype(np.int32)
+    """Time-coded fingerprints of the peaks (t, b), which are in order: for each anchor peak
+    and each peak of the next `ahead` frames, in whichever band, the anchor's frame and a
+    code of (anchor bin, other bin, frames between), in order of anchors and others."""
+    first = np.searchsorted(t, t, side="right")
+    n = np.searchsorted(t, t + ahead, side="right") - first
+    anchor = np.repeat(np.arange(len(t)), n)
+    other = np.arange(len(anchor)) - np.repeat(np.cumsum(n) - n, n) + first[anchor]
+    code = (b[anchor] << 15) | (b[other] << 6) | (t[other] - t[anchor])
+    return t[anchor].astype(np.int32), code.astype(np.int32)
 
 
 def describe(data: bytes) -> tuple:
