@@ -161,7 +161,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     or a whole record inside a payload is passed over. A record whose payload holds
     a magic is put together from its parts in a second pass over the files, which
     is left out if there is none. A revisit's size and digest are those it states
-    of the payload that it revisits. An empty folder of archives gives no rows. An
+    of the payload that it revisits; if no response of that page has a payload of this size
+    and digest, the archives are refused. An empty folder of archives gives no rows. An
     archive whose chain doesn't end with its last byte is refused."""
     found = stage(_chunks(spark, path).mapInPandas(_candidates, _CANDIDATE))
     sums = found.groupBy("file", "split").agg(F.sum("bytes").alias("bytes"))
@@ -205,7 +206,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         mended = (kept.where("not whole").drop("payload_bytes", "payload_digest")
                   .join(joined.withColumn("d", digest("chunk")).select("file", "pos", "d.*"), ["file", "pos"]))
-        done = done.select(out).unionByName(mended.select(out))
+        done = done.select(out).unionByName(stage(mended.select(out)))
+    # what revisits state, once for all revisits of a payload
+    stated = stage(done.where("type = 'revisit'").select(F.col("refers_to").alias("page_id"), "stated_bytes", "stated_digest").distinct())
+    is_so = [F.col("page_id") == F.col("id"), F.col("stated_bytes") == F.col("payload_bytes"), F.col("stated_digest") == F.col("payload_digest")]
+    held = done.where("type = 'response'").select(F.col("page_id").alias("id"), "payload_bytes", "payload_digest")
+    true = held.join(broadcast_if_small(stated), is_so).select(stated.columns).distinct()
+    wrong = stated.join(true, stated.columns, "left_anti").first()
+    if wrong:
+        raise ValueError(f"no response of page {wrong.page_id} has the {wrong.stated_bytes} bytes of digest {wrong.stated_digest} that a record revisits")
     same = F.col("type") == "revisit"
     return done.select("type", "page_id", "refers_to",
                        F.when(same, F.col("stated_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
