@@ -1,9 +1,9 @@
 """Token counts: pieces are counted once per distinct pre-token and summed by
 each document's pre-token frequencies; no list of ids is ever built.
 
-The pre-token is a whitespace-delimited word. Tokens of this vocabulary never
-span white space, and its normaliser works on each side of a blank alone, so a
-word has the same pieces wherever it stands. A task counts each distinct word of
+The pre-token is a whitespace-delimited word. Only tokenizers are taken that drop white
+space and never look over it, so a word has the same pieces wherever it stands; others,
+in whose tokens blanks have a part, are refused. A task counts each distinct word of
 an Arrow batch once (and remembers words between batches, up to a bound), joins
 these counts with the documents' word frequencies, and adds them up. This needs
 no shuffle: at any scale the cost is one pass over the texts. Distinct words of all
@@ -28,9 +28,28 @@ _BLANK = re.compile(r"[ \t\n\r]+")
 REMEMBER = 300_000
 #: Longer words are counted but not remembered.
 REMEMBER_CHARS = 64
+#: Words of letters, digits, signs, marks and other scripts, in neighbourhoods where patterns
+#: that look over blanks would show.
+_PROBE = ("word", "it's", "12", "34", "5", ".", ",", "--", "(", ")", "'", "s", "'s", "A", "Bc", "\u00e9", "e\u0301", "\u0301", "\u4e2d\u6587", "\u3042", "\U0001f600", "_", "a_b", "x1", "end")
 _loaded: dict = {}
 
 
+def drops_blanks(tokenizer) -> bool:
+    """Whether each blank ends a pre-token and is in none: the pre-tokenizer, after the
+    normaliser, makes of words between blanks what it makes of each of them; no added token
+    holds a blank."""
+    if tokenizer.pre_tokenizer is None or any(_BLANK.search(t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+
+    def pieces(text: str) -> list[str]:
+        if tokenizer.normalizer is not None:
+            text = tokenizer.normalizer.normalize_str(text)
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    each = [pieces(w) for w in _PROBE]
+    return all(pieces(blank + blank.join(_PROBE) + blank) == sum(each, []) for blank in (" ", "  ", "\t", "\n", "\r", "\r\n", " \n"))
+
+
 def _tokenizer(path: str):
     if path not in _loaded:
         from tokenizers import Tokenizer
@@ -38,6 +57,8 @@ def _tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        if not drops_blanks(t):
+            raise ValueError(f"{path}: its tokens may hold or span blanks, so words can't be counted one by one")
         _loaded[path] = (t, {})
     return _loaded[path]
 
@@ -67,8 +88,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     """docs plus n_bytes (UTF-8 length of the text), n_tokens and over_limit.
 
     tokenizer_path names a tokenizers .json file that every executor can open
-    (installed beside the library, or shipped with the job). A null text counts
-    as empty: 0 bytes, 0 tokens. Rows are neither joined nor grouped, so repeated
+    (installed beside the library, or shipped with the job); one whose tokens may hold
+    or span blanks is refused with a ValueError. A null text counts as empty: 0 bytes, 0 tokens. Rows are neither joined nor grouped, so repeated
     rows and null ids pass through; columns of docs named like the results are
     replaced.
     """
