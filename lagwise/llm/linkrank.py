@@ -124,23 +124,26 @@ def query(spark, sf_dir):
 
 
 def oracle() -> str:
-    """DuckDB, with the rounds written out one after the other."""
+    """DuckDB; the rounds are those of a recursive query over nodes, each of which gives what
+    a round adds, until all later ones together can't add more than TOLERANCE."""
     lower = f"translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}')"
+    node = lambda c: f"regexp_replace({c}, '^.*@|:[0-9]*$', '', 'g')"
     case = lambda f: "CASE " + " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{f(h, p, v)}'"
         for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
+    link = f"""translate(unnest(regexp_extract_all(coalesce(html, ''), '{HREF[4:].replace("'", "''")}', 1, 'i')), '{_UPPER}', '{_LOWER}')"""
     sql = [f"""p AS (SELECT page_id, {lower} AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, html FROM pages)""",
-           f"r AS (SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS fit FROM p)",
-           "s AS (SELECT host, count(*) FILTER (fit = 'allow') / count(*) AS good, count(*) FILTER (fit = 'block') / count(*) AS bad FROM r WHERE host <> '' GROUP BY 1)",
-           f"""l AS (SELECT host AS src, regexp_replace(translate(unnest(regexp_extract_all(coalesce(html, ''), '{HREF[4:].replace("'", "''")}', 1, 'i')),
-                '{_UPPER}', '{_LOWER}'), '^.*@|:[0-9]*$', '', 'g') AS dst FROM p)""",
-           "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2)"]
+           f"r AS (SELECT page_id, host, path, {node('host')} AS node, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS fit FROM p)",
+           "s AS (SELECT node, count(*) FILTER (fit = 'allow') / count(*) AS good, count(*) FILTER (fit = 'block') / count(*) AS bad FROM r WHERE node <> '' GROUP BY 1)",
+           f"l AS (SELECT {node('host')} AS src, {link} AS dst FROM p)",
+           f"m AS (SELECT src, {node('dst')} AS dst FROM l)",
+           "e AS (SELECT src, dst, count(*) AS n FROM m WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2)"]
     for kind, weight, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
         sql += [f"{kind}w AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM e)",
-                f"{kind}0 AS (SELECT host, {weight} AS score FROM s WHERE {weight} > 0)"]
-        home = f"SELECT host, score FROM {kind}0"
-        for k in range(ROUNDS):
-            sql.append(f"{kind}{k + 1} AS (SELECT host, sum(score) AS score FROM ({home} UNION ALL SELECT dst, share * score * {DAMPING} "
-                       f"FROM {kind}w JOIN {kind}{k} ON src = host) GROUP BY host)")
-    return (f"WITH {', '.join(sql)} SELECT page_id, r.host, path, rule, coalesce(fit, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) > {MARGIN} "
-            f"THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN t{ROUNDS} t ON r.host = t.host LEFT JOIN d{ROUNDS} d ON r.host = d.host")
+                f"""{kind}r(node, added, total) AS (SELECT node, {weight}, sum({weight}) OVER () FROM s WHERE {weight} > 0
+                UNION ALL SELECT node, added, sum(added) OVER () FROM (
+                  SELECT dst AS node, sum(share * added) * {DAMPING} AS added FROM {kind}w JOIN {kind}r ON src = node
+                  WHERE total * {DAMPING} > {TOLERANCE} * {1 - DAMPING} GROUP BY dst))""",
+                f"{kind}s AS (SELECT node, sum(added) AS score FROM {kind}r GROUP BY node)"]
+    return (f"WITH RECURSIVE {', '.join(sql)} SELECT page_id, host, path, rule, coalesce(fit, CASE WHEN coalesce(ds.score, 0) - coalesce(ts.score, 0) > {MARGIN} "
+            "THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN ts USING (node) LEFT JOIN ds USING (node)")
