@@ -94,11 +94,14 @@ def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (42, 7)]
+            # a line that a batch repeats is hashed and signed once
+            once = {line: k for k, line in enumerate(dict.fromkeys(lines))}
+            of = pa.array([once[line] for line in lines], pa.int64())
+            raw = [x.encode("utf-8", "surrogatepass") for x in once]
+            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)).take(of) for seed in (42, 7)]
             where = pa.array(places, pa.int64())
             return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(numbers, pa.int32()), *hashes,
-                                               word_lists(band_keys(lines))], ["row", "doc_id", "line_no", "id", "more", "keys"])
+                                               word_lists(band_keys(list(once))).take(of)], ["row", "doc_id", "line_no", "id", "more", "keys"])
 
         for b in batches:
             lines: list[str] = []
