@@ -7,6 +7,7 @@ import wave
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -111,6 +112,10 @@ def test_link_trust_settles(spark):
     assert all(got[i].distrust == pytest.approx(0.17 / 0.2775, abs=1e-5) and got[i].verdict == "block" for i in range(1, 6))
     assert got[20].host == "liker.test:8080" and got[20].distrust == pytest.approx(0.85)
     assert got[22].distrust == pytest.approx(0.7225) and got[22].verdict == "block"
+    duckdb = pytest.importorskip("duckdb")
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841, the SQL reads it
+    by_sql = duckdb.sql(linkrank.oracle()).fetchall()
+    assert sorted(by_sql) == sorted((i, r.host, r.path, r.rule, r.verdict) for i, r in got.items())
     with pytest.raises(RuntimeError, match="settle"):
         linkrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rounds=3)
 
@@ -155,6 +160,22 @@ def test_cumulative_likelihood():
     assert np.allclose(found, at, atol=0.02) and np.all(np.diff(ordinal.thresholds(found[3:])) > 0)
 
 
+def test_ordinal_settles_or_says_so(spark):
+    """End to end the weights are at the maximum of the likelihood of all rows, computed here
+    in one piece; a fit that runs out of steps is an error."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels").where("doc_id % 4 = 0")
+    model = ordinal.fit(docs, ordinal.ratings(labels))
+    rows = docs.join(ordinal.ratings(labels).where("grade is not null"), "doc_id").select("text", "grade").collect()
+    x, grade = np.array([ordinal.hashed(r.text) for r in rows]), np.array([r.grade for r in rows])
+    cut = np.array(model.thresholds)
+    at = np.concatenate([model.weights, cut[:1], np.log(np.diff(cut))])
+    ridge = ordinal.RIDGE * np.append(model.weights, np.zeros(len(cut)))
+    assert np.linalg.norm(ordinal.losses(x, grade, at)[1] / len(x) + ridge) < 1e-5
+    with pytest.raises(RuntimeError, match="not settled in 3 steps"):
+        ordinal.minimise(lambda a: ordinal.losses(x, grade, a), np.zeros(len(at)), steps=3)
+
+
 def test_ordinal_ties_and_clashing_columns(spark):
     """A chance of just the bound is enough; columns named like the results are replaced."""
     model = ordinal.OrdinalModel((0.0,) * ordinal.SIZE, (0.0, 1.0), (0, 1, 2))
@@ -512,6 +533,21 @@ def test_media(spark, odd, none):
     assert media.media_columns(none).count() == 0
 
 
+def test_pairs_by_brute_force():
+    """Every peak with each one of the next two frames, whichever band it is in."""
+    rng = np.random.default_rng(2)
+    peaks = sorted({(int(t), int(b)) for t, b in zip(rng.integers(0, 40, 70), rng.integers(4, 288, 70), strict=True)})
+    want = [(t, (b << 15) | (c << 6) | (u - t)) for t, b in peaks for u, c in peaks if 0 < u - t <= 2]
+    when, code = media.pairs(*np.array(peaks).T)
+    assert list(zip(when.tolist(), code.tolist(), strict=True)) == want and len({(c >> 6) & 511 for _, c in want}) > 30
+    assert all(not len(x) for x in media.pairs(np.empty(0, np.int64), np.empty(0, np.int64)))
+
+
+def test_media_column_is_replaced(spark):
+    out = media.media_columns(spark.createDataFrame([(1, "abc", "old")], "doc_id long, text string, media string"))
+    assert out.columns == ["doc_id", "text", "media"] and out.first().media.n_bytes == 3
+
+
 def test_peaks_in_parts(monkeypatch):
     data = bytes(np.random.default_rng(0).integers(0, 256, 576 * 40, dtype=np.uint8))
     whole = media.peaks(data)
@@ -567,6 +603,20 @@ def test_warc_magic_in_url(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read(spark, path).collect()) == list(range(15))
 
 
+def test_warc_false_revisit(spark, tmp_path):
+    """A revisit that states another payload than its response has is refused."""
+    df = spark.createDataFrame([(i, "u", "x" * 1200) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, "file://" + str(tmp_path / "w"))
+    (part,) = (tmp_path / "w").glob("part-*")
+    (tmp_path / "false").mkdir()
+    raw = part.read_bytes()
+    at = raw.index(b"WARC-Payload-Length: 1200")
+    (tmp_path / "false" / "part-0.txt").write_bytes(raw[:at] + b"WARC-Payload-Length: 1201" + raw[at + 25 :])
+    assert b"revisit" in raw[:at]
+    with pytest.raises(ValueError, match="no response of page 4 has the 1201 bytes"):
+        warc.read(spark, "file://" + str(tmp_path / "false"))
+
+
 @pytest.mark.parametrize("cut", [30, 700])
 def test_warc_torn_archive(spark, tmp_path, cut):
     df = spark.createDataFrame([(i, "u", f"p{i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
@@ -709,6 +759,12 @@ def test_token_counts(spark, odd, none, tokenizer):
     assert token_counts.token_counts(none, tokenizer).count() == 0
 
 
+def test_tokens_that_hold_blanks_are_refused(spark, odd):
+    tokens = pytest.importorskip("public_tokenizers")
+    with pytest.raises(Exception, match="may hold or span blanks"):
+        token_counts.token_counts(odd, tokens.path("byte_bpe_50k.json")).collect()
+
+
 def test_token_memory_is_bounded(monkeypatch, tokenizer):
     texts = [f"alpha{i} beta{i % 3}" for i in range(50)]
     want = token_counts._count(texts, tokenizer)
