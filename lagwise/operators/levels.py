@@ -9,7 +9,7 @@ order, with the ratings that its teams have before, and holds a bounded number o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from lagwise.staging import broadcast_if_small, stage, unstage
 
+from . import scans
 from .ratings import SCALE, START, STEP
 
 #: Levels of more games are replayed by joins; narrower ones together, up to BAND games.
 WIDE, BAND = 50_000, 200_000
+#: Games of a band that is cut from the order itself.
+PLACES = 500_000
 
 
 def with_levels(games: DataFrame, game: str, order: Sequence[str], home: str, away: str) -> DataFrame:
@@ -80,39 +83,69 @@ def replay_by_levels(games: DataFrame, game: str, order: Sequence[str], home: st
     done: list[DataFrame] = []
     expected = 1 / (1 + F.pow(F.lit(10.0), (F.col("_a") - F.col("_h")) / scale))
     change = step * (F.when(F.col(home_won) == 1, 1.0).otherwise(0.0) - expected)
+    at_once = lambda p: p.select("_game", "level", "_home", "_away", "_h", "_a", (F.col("_h") + change).alias("_h2"), (F.col("_a") - change).alias("_a2"))
     for first, last, alone in _bands(sizes, wide, band):
         part = levelled.where(F.col("level").between(first, last)).select(F.col(game).alias("_game"), "level", F.col(home).alias("_home"), F.col(away).alias("_away"), home_won)
-        for side in ("home", "away"):
-            if ratings is None:
-                part = part.withColumn(f"_{side[0]}", F.lit(start))
-            else:
-                known = ratings.select(F.col("team").alias(f"_{side}"), F.col("rating").alias(f"_{side[0]}"))
-                part = part.join(broadcast_if_small(known), f"_{side}", "left").fillna(start, [f"_{side[0]}"])
-        if alone:
-            rated = part.select("_game", "level", "_home", "_away", "_h", "_a", (F.col("_h") + change).alias("_h2"), (F.col("_a") - change).alias("_a2"))
-        else:
-            rated = _in_order(part, home_won, step, scale)
-        rated = stage(rated)
-        done.append(rated.select(F.col("_game").alias(game), F.col("_h").alias("home_rating"), F.col("_a").alias("away_rating")))
-        ends = rated.select("level", F.explode(F.array(*[F.struct(F.col(f"_{s}").alias("team"), F.col(f"_{s[0]}2").alias("rating")) for s in ("home", "away")])).alias("s"))
-        ends = ends.groupBy("s.team").agg(F.max_by("s.rating", "level").alias("rating"))
-        if ratings is not None:
-            old = ratings.join(ends.select("team"), "team", "left_anti")
-            ends = old.unionByName(ends)
-            before, ratings = ratings, stage(ends)
-            unstage(before)
-        else:
-            ratings = stage(ends)
+        replay = at_once if alone else lambda p: _in_order(p, home_won, step, scale)
+        rated, ratings = _round(part, ratings, replay, start, game)
+        done.append(rated)
     if not done:
-        nothing = F.lit(None).cast("double")
-        none = levelled.sparkSession.createDataFrame([], f"team {kind}, rating double")
-        return levelled.drop("level").withColumns({"home_rating": nothing, "away_rating": nothing}), none if ratings is None else ratings
+        return _unrated(levelled.drop("level"), kind, ratings)
     found = done[0]
     for df in done[1:]:
         found = found.unionByName(df)
     return levelled.join(found, game, "left").drop("level"), ratings
 
 
+def replay_in_bands(games: DataFrame, game: str, order: Sequence[str], home: str, away: str, home_won: str, state: DataFrame | None = None,
+                    start: float = START, step: float = STEP, scale: float = SCALE, band: int = PLACES) -> tuple[DataFrame, DataFrame]:
+    """What replay_by_levels gives, without looking for levels: the order itself is cut into
+    bands of so many games, and a task replays a band with the ratings that its teams have
+    before. Rounds grow with games / band, where levels take a round for each link of the
+    longest chain of games; but one task works at a time, so levels are for pools whose games
+    take longer than that to go through. order begins with a date or number that many games share."""
+    games = stage(games)
+    kind = dict(games.dtypes)[home]
+    able = F.col(home).isNotNull() & F.col(away).isNotNull() & (F.col(home) != F.col(away))
+    own = scans.cut(games.where(able).select(*dict.fromkeys([game, *order, home, away, home_won])), [], order, order[0]).df
+    own = own.select(F.col(game).alias("_game"), F.col("_i").alias("level"), F.col(home).alias("_home"), F.col(away).alias("_away"), home_won, F.floor(F.col("_i") / band).alias("_band"))
+    own = stage(own.repartition("_band"))  # a band's games are in one file, so a round reads little else
+    last = own.agg(F.max("_band")).first()[0]
+    ratings = stage(state.select(F.col("team").cast(kind), F.col("rating").cast("double"))) if state is not None else None
+    found = None
+    for b in range(0 if last is None else last + 1):
+        rated, ratings = _round(own.where(F.col("_band") == b).drop("_band"), ratings, lambda part: _in_order(part, home_won, step, scale), start, game)
+        found = rated if found is None else found.unionByName(rated)
+    if found is None:
+        return _unrated(games, kind, ratings)
+    return games.join(found, game, "left"), ratings
+
+
+def _unrated(games: DataFrame, kind: str, ratings: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    nothing = F.lit(None).cast("double")
+    none = games.sparkSession.createDataFrame([], f"team {kind}, rating double")
+    return games.withColumns({"home_rating": nothing, "away_rating": nothing}), none if ratings is None else ratings
+
+
+def _round(part: DataFrame, ratings: DataFrame | None, replay: Callable[[DataFrame], DataFrame], start: float, game: str) -> tuple[DataFrame, DataFrame]:
+    """The games of part, by _game and level, with the ratings before each, and all teams' ratings after them."""
+    for side in ("home", "away"):
+        if ratings is None:
+            part = part.withColumn(f"_{side[0]}", F.lit(start))
+        else:
+            known = ratings.select(F.col("team").alias(f"_{side}"), F.col("rating").alias(f"_{side[0]}"))
+            part = part.join(broadcast_if_small(known), f"_{side}", "left").fillna(start, [f"_{side[0]}"])
+    rated = stage(replay(part))
+    ends = rated.select("level", F.explode(F.array(*[F.struct(F.col(f"_{s}").alias("team"), F.col(f"_{s[0]}2").alias("rating")) for s in ("home", "away")])).alias("s"))
+    ends = ends.groupBy("s.team").agg(F.max_by("s.rating", "level").alias("rating"))
+    if ratings is not None:
+        ends = ratings.join(ends.select("team"), "team", "left_anti").unionByName(ends)
+    now = stage(ends)
+    if ratings is not None:
+        unstage(ratings)
+    return rated.select(F.col("_game").alias(game), F.col("_h").alias("home_rating"), F.col("_a").alias("away_rating")), now
+
+
 def _in_order(part: DataFrame, home_won: str, step: float, scale: float) -> DataFrame:
     """The games of a band of narrow levels, replayed one after the other in one task."""
 

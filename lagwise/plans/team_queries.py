@@ -268,8 +268,8 @@ _GAME = ("game", ["date", "game"], "home_team", "away_team", "home_win")
 
 @query(_ONE_POOL)
 def rating_replay_one_pool(spark, d):
-    """All games in one pool, by levels of dependency."""
-    out, _ = levels.replay_by_levels(v.games(spark, d), *_GAME)
+    """All games in one pool, by bands of their order."""
+    out, _ = levels.replay_in_bands(v.games(spark, d), *_GAME)
     return out.select("game", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))
 
 
@@ -277,6 +277,6 @@ def rating_replay_one_pool(spark, d):
 def rating_replay_resumed(spark, d):
     """The same in two runs, the second from the ratings at the end of the first."""
     g = v.games(spark, d)
-    first, state = levels.replay_by_levels(g.where("season <= 1998"), *_GAME)
-    then, _ = levels.replay_by_levels(g.where("season > 1998"), *_GAME, state=state)
+    first, state = levels.replay_in_bands(g.where("season <= 1998"), *_GAME)
+    then, _ = levels.replay_in_bands(g.where("season > 1998"), *_GAME, state=state)
     return first.unionByName(then).select("game", r("home_rating", 4).alias("home_rating"), r("away_rating", 4).alias("away_rating"))

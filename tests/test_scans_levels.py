@@ -112,3 +112,31 @@ def test_resumed_replay(games, in_order):
 
 def test_bands():
     assert levels._bands([(1, 5), (2, 3), (3, 20), (4, 2), (5, 4), (6, 7)], wide=10, band=9) == [(1, 2, False), (3, 3, True), (4, 5, False), (6, 6, False)]
+
+
+@pytest.mark.parametrize("band", [7, 500_000])
+def test_places_like_in_order(games, in_order, band):
+    few = games.where("day < 6") if band == 7 else games
+    got = replayed(levels.replay_in_bands(few, *GAME, band=band)[0])
+    assert got == {k: pytest.approx(v) if v[0] is not None else v for k, v in in_order.items() if k in got} and len(got) == few.count()
+
+
+def test_places_resumed(games, in_order):
+    first, state = levels.replay_in_bands(games.where("day < 8"), *GAME)
+    then, end = levels.replay_in_bands(games.where("day >= 8"), *GAME, state=state)
+    assert replayed(first.unionByName(then)) == {k: pytest.approx(v) if v[0] is not None else v for k, v in in_order.items()}
+    assert {r.team: r.rating for r in end.collect()} == pytest.approx({r.team: r.rating for r in levels.replay_by_levels(games, *GAME)[1].collect()})
+    nothing, none = levels.replay_in_bands(games.limit(0), *GAME)
+    assert nothing.count() == none.count() == 0
+
+
+def test_places_take_few_jobs(spark):
+    """A chain of games, each with a team of the one before, takes no round for each link."""
+    chain = spark.createDataFrame([(i, i // 4, i, i + 1, i % 2) for i in range(300)], "game long, day int, h long, a long, won int")
+    spark.sparkContext.setJobGroup("places", "")
+    try:
+        out, _ = levels.replay_in_bands(chain, *GAME)
+        assert out.where("home_rating is null").count() == 0
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("places")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
