@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import by
@@ -42,34 +42,38 @@ def _fitting(qs: Sequence[float]) -> list[list[float]]:
     return out
 
 
-def _means(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: Sequence[str], order: Sequence[str], adjust: bool, lag: int) -> DataFrame:
+def _means(df: DataFrame, wanted: dict[str, tuple[str | Column, float]], keys: Sequence[str], order: Sequence[str], adjust: bool, lag: int) -> DataFrame:
     """df plus, for each new name in wanted, the mean of its column by its decay. Decays
-    that share blocks share one pass of windows."""
+    that share blocks share one pass of windows. Places take one sort and the rest another,
+    which is made before any value is: rows are sorted as narrow as they came."""
     out, whole = df, by(keys, order)
     for group in _fitting([q for _, q in wanted.values()]):
         n = reach(group[0])
         names = {name: w for name, w in wanted.items() if w[1] in group}
-        out = out.withColumn("_i", F.row_number().over(whole) - 1)
-        out = out.withColumns({"_block": F.floor(F.col("_i") / n), "_o": F.col("_i") % n})
+        along = by(keys, ["_block", *order])  # the order of whole
+        out = out.withColumn("_block", F.floor((F.row_number().over(whole) - 1) / n)).withColumn("_i", F.row_number().over(along) - 1)
+        out = out.withColumn("_o", F.col("_i") % n)
         block = by([*keys, "_block"], order).rowsBetween(Window.unboundedPreceding, 0)
         before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
         own, ends, total = {}, {}, {}
         for k, (column, q) in enumerate(names.values()):
-            x = F.coalesce(F.col(column).cast("double"), F.raise_error(F.lit(f"{column} is null: take ewma_with_nulls")).cast("double"))
+            named = F.col(column) if isinstance(column, str) else column
+            x = F.coalesce(named.cast("double"), F.raise_error(F.lit(f"{list(names)[k]} is of a null: take ewma_with_nulls")).cast("double"))
             x = x if adjust else F.when(F.col("_i") == 0, x / (1 - q)).otherwise(x)
             own[f"_s{k}"] = F.sum(x * F.pow(F.lit(q), -F.col("_o"))).over(block) * F.pow(F.lit(q), F.col("_o"))
             ends[f"_e{k}"] = F.sum(F.when(F.col("_o") == n - 1, F.col(f"_s{k}"))).over(before)
             s = F.col(f"_s{k}") + F.coalesce(F.col(f"_e{k}"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_o")) * q
             total[f"_t{k}"] = s * (1 - q) / (1 - F.pow(F.lit(q), F.col("_i") + 1)) if adjust else s * (1 - q)
         out = out.withColumns(own).withColumns(ends).withColumns(total)
-        out = out.withColumns({name: F.lag(f"_t{k}", lag).over(whole) if lag else F.col(f"_t{k}") for k, name in enumerate(names)})
+        out = out.withColumns({name: F.lag(f"_t{k}", lag).over(along) if lag else F.col(f"_t{k}") for k, name in enumerate(names)})
         out = out.drop("_i", "_block", "_o", *own, *ends, *total)
     return out
 
 
-def ewma(df: DataFrame, columns: dict[str, str], keys: Sequence[str], order: Sequence[str], span: float | None = None,
+def ewma(df: DataFrame, columns: dict[str, str | Column], keys: Sequence[str], order: Sequence[str], span: float | None = None,
          halflife: float | None = None, adjust: bool = False, lag: int = 1) -> DataFrame:
-    """df plus, for each new name in columns, the mean of its column as of `lag` rows before.
+    """df plus, for each new name in columns, the mean of its column, or of a value made of
+    the row's columns, as of `lag` rows before.
 
     adjust=False starts from the first value; adjust=True divides by the sum of weights.
     All columns share one pass; the key's shuffle is used for every window. A null in a

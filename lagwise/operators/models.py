@@ -5,21 +5,23 @@ parameters, folds and fitted models."""
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import binary_metrics
 from .splits import fold_bounds, positions
+from .sums import matrix
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
@@ -30,7 +32,12 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
 def scale_by_train(df: DataFrame, columns: Sequence[str], split: str = "split", train: Sequence[str] = ("train",)) -> DataFrame:
     """df with each column less the mean and over the population sd of its train rows; a
     constant column becomes 0. One aggregation of one row, joined to all."""
-    stats = df.where(F.col(split).isin(*train)).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return scaled_by(df, df.where(F.col(split).isin(*train)), columns)
+
+
+def scaled_by(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """scale_by_train by the rows of another table with these columns."""
+    stats = train.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     row = stats.first()
     return df.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.lit(row[f"_m_{c}"]), F.lit(row[f"_s_{c}"])), F.lit(0.0)) for c in columns})
 
@@ -39,13 +46,52 @@ def pca_by_train(df: DataFrame, vector: str, k: int, train) -> tuple[DataFrame,
     """df plus pca_1..pca_k of the vector, standardised and fitted on the rows of train
     (a Column), and the explained variance. Of each axis the largest loading is made
     positive, as its sign is arbitrary."""
-    fitted = Pipeline(stages=[StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True),
-                              PCA(k=k, inputCol="_scaled", outputCol="_pca")]).fit(df.where(train))
-    axes = fitted.stages[1].pc.toArray()
-    signs = np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
-    out = fitted.transform(df).withColumn("_a", vector_to_array("_pca"))
-    named = {f"pca_{i + 1}": F.get("_a", F.lit(i)) * float(signs[i]) for i in range(k)}
-    return out.withColumns(named).drop("_scaled", "_pca", "_a"), [float(x) for x in fitted.stages[1].explainedVariance]
+    return pca_by(df, df.where(train), vector, k)
+
+
+def pca_by(df: DataFrame, train: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
+    """pca_by_train by the rows of another table with the vector. One pass over it: moments
+    of tasks about their own means are put together, so nothing is lost to large means."""
+    n, mean, scatter = _moments(train.select(vector_to_array(vector).alias("x")))
+    if n < 2:
+        raise ValueError(f"{n} rows are too few for components")
+    sd = np.sqrt(np.diag(scatter) / (n - 1))
+    unit = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    found, axes = np.linalg.eigh(scatter / (n - 1) * np.outer(unit, unit))
+    axes, found = axes[:, ::-1][:, :k], np.clip(found[::-1], 0, None)
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
+    loads = unit[:, None] * axes
+    a = vector_to_array(vector)
+    scores = [F.aggregate(F.zip_with("_a", F.array(*[F.lit(float(w)) for w in loads[:, i]]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) - float(mean @ loads[:, i]) for i in range(k)]
+    out = df.withColumn("_a", a).withColumns({f"pca_{i + 1}": s for i, s in enumerate(scores)}).drop("_a")
+    return out, [float(x) for x in found[:k] / found.sum()]
+
+
+def _moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and sums of products about the mean of x, an array of one length. Each
+    task gives one row; the driver puts these together."""
+
+    def joined(a, b):
+        n = a[0] + b[0]
+        step = b[1] - a[1]
+        return n, a[1] + step * (b[0] / n), a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b, "x")
+                m = x.mean(axis=0)
+                part = len(x), m, (x - m).T @ (x - m)
+                total = part if total is None else joined(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tolist()]), pa.array([total[2].ravel().tolist()])], ["n", "mean", "scatter"])
+
+    total = None
+    for r in df.mapInArrow(own, "n long, mean array<double>, scatter array<double>").toLocalIterator():
+        part = r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)
+        total = part if total is None else joined(total, part)
+    return total or (0, np.zeros(0), np.zeros((0, 0)))
 
 
 def logistic(c: float = 1.0, rows: int = 1) -> LogisticRegression:

@@ -25,16 +25,23 @@ def stats() -> dict[str, Column]:
     return rates | {c: F.coalesce(x, F.lit(0.0)) for c, x in ratios.items()}
 
 
-def profiles(df: DataFrame, player: str, date: str, ties: Sequence[str], halflife: float = 20) -> DataFrame:
+def profiles(df: DataFrame, player: str, date: str, ties: Sequence[str], halflife: float = 20, keep: Sequence[str] = ()) -> DataFrame:
     """player, date and the profile as of the day before, for each of a player's days but
-    the first. Of several rows of a day the last by ties counts."""
-    last = windows.keep_last(df, [player, date], ties).select(player, date, *[x.cast("double").alias(c) for c, x in stats().items()])
-    before = ewma.ewma(last.withColumnsRenamed({c: f"_{c}" for c in COLUMNS}), {c: f"_{c}" for c in COLUMNS}, [player], [date], halflife=halflife, adjust=True)
-    return before.select(player, date, *COLUMNS).dropna(subset=list(COLUMNS))
+    the first, and the columns in keep. Of several rows of a day the last by ties counts.
+
+    The counts become numbers only after the last sort. df dealt by player isn't shuffled."""
+    last = windows.keep_last(df, [player, date], ties)
+    before = ewma.ewma(last, {f"_{c}": x.cast("double") for c, x in stats().items()}, [player], [date], halflife=halflife, adjust=True)
+    return before.select(player, date, *[F.col(f"_{c}").alias(c) for c in COLUMNS], *keep).dropna(subset=list(COLUMNS))
 
 
 def embed(df: DataFrame, train: Column, k: int = 4) -> tuple[DataFrame, list[float]]:
     """df plus embed_1..embed_k, components of the profile scaled and fitted on the rows of
     train, and the variance that each explains there."""
-    out, explained = models.pca_by_train(models.assemble(df, COLUMNS, "_profile"), "_profile", k, train)
+    return embed_by(df, df.where(train), k)
+
+
+def embed_by(df: DataFrame, train: DataFrame, k: int = 4) -> tuple[DataFrame, list[float]]:
+    """embed by the profiles of another table."""
+    out, explained = models.pca_by(models.assemble(df, COLUMNS, "_profile"), models.assemble(train, COLUMNS, "_profile"), "_profile", k)
     return out.drop("_profile").withColumnsRenamed({f"pca_{i}": f"embed_{i}" for i in range(1, k + 1)}), explained

@@ -3,13 +3,14 @@ and the audit for leaks."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagwise.functions import scalars as sc
 from lagwise.operators import audit, ewma, pairs, profiles, windows
-from lagwise.operators.models import scale_by_train
+from lagwise.operators.models import scaled_by
 from lagwise.sources import seasons
-from lagwise.staging import shared_dir
+from lagwise.staging import dealt, shared_dir, stage
 
 from . import views as v
 from .player_queries import PLAYER, PLAYER_SQL, _linear, _ratio
@@ -20,6 +21,7 @@ SQL: dict[str, str] = {}
 query = query_into(Q, SQL)
 TIES = ["game", "line", "team", "minutes", "pts"]
 
+_EARLY = "year(date) <= 1996"
 _H = ewma.keep_of(halflife=20)
 _STATS = {f"{c}_rate": f"CASE WHEN minutes >= 5 THEN {c} / minutes ELSE 0 END" for c in profiles.COUNTS} | dict(zip(profiles.RATIOS, (
     _ratio("pts", "2 * (fga + 0.44 * fta)"), _ratio("fgm + 0.5 * fg3m", "fga"), _ratio("tov", "fga + 0.44 * fta + tov"), _ratio("ast", "tov"),
@@ -37,14 +39,14 @@ l AS (SELECT player, date, {', '.join(f'list({c}) OVER w AS {c}' for c in _STATS
 prof AS (SELECT player, date, {', '.join(f'{_mean_sql(c)} AS {c}' for c in _STATS)} FROM l WHERE pts_rate IS NOT NULL)"""
 
 
-def _profiles(spark, d):
+def _profiles(p, keep=()):
     # the given tables have no count of long attempts: made of two that they have
-    return profiles.profiles(v.plog(spark, d).withColumn("fg3a", F.col("fg3m") + F.col("stl")), "player", "date", TIES)
+    return profiles.profiles(p.withColumn("fg3a", F.col("fg3m") + F.col("stl")), "player", "date", TIES, keep=keep)
 
 
 @query(f"WITH {PROFILES} SELECT player, date, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM prof")
 def player_profiles(spark, d):
-    return _profiles(spark, d).select("player", "date", *[r(c).alias(c) for c in profiles.COLUMNS])
+    return _profiles(v.by_player(spark, d)).select("player", "date", *[r(c).alias(c) for c in profiles.COLUMNS])
 
 
 _OWN = {"sum": F.sum, "mean": F.avg, "max": F.max, "std": F.stddev_samp}
@@ -54,12 +56,23 @@ _EXPECTED = [f"{f}_expected_{i}" for i in range(1, 5) for f in _OWN]
 _RAW = [f"{f}_raw_{i}" for i in range(1, 5) for f in ("mean", "max")]
 
 
-def vector_deltas(spark, d, vectors):
+def _fitted_and_met(spark, d):
+    """What vectors are made from: the plog of players, written once as narrow lines; the
+    profiles of the years to 1996, which only need these years' rows, to fit on; and those
+    of the days that a game of box needs, which need all rows."""
+    lines, n = stage(v.lines(spark, d)), v.n_lines(spark, d)
+    p = v.plog(spark, d, dealt(lines, ["player"], n), ["paired"])
+    early = v.plog(spark, d, dealt(lines.where(_EARLY), ["player"], n))
+    day = F.max("paired").over(Window.partitionBy("player", "date"))
+    return p, _profiles(early), _profiles(p.withColumn("needed", day), ["needed"]).where("needed").drop("needed")
+
+
+def vector_deltas(spark, d, p, vectors):
     """game, home_win and home minus away of team sums, means, greatest values and
     deviations: of the players' vectors (embed_1..4) times their minutes of late, and of the
-    vectors alone. One join by player and day, one by game and team, then one aggregation
-    by game."""
-    p = v.plog(spark, d).withColumn("mins", F.coalesce(windows.rolling_mean("minutes", 5, *PLAYER), F.lit(0.0)))
+    vectors alone. p is plog, dealt by player, whose rows of the games in box (paired) are
+    all that is joined by player and day, then by game and team, and aggregated by game."""
+    p = p.withColumn("mins", F.coalesce(windows.rolling_mean("minutes", 5, *PLAYER), F.lit(0.0))).where("paired")
     p = pairs.attach(p, vectors, ["player", "date"], [f"embed_{i}" for i in range(1, 5)], fill=0.0)
     sums = [f(F.col(f"embed_{i}") * F.col("mins")).alias(f"{n}_expected_{i}") for i in range(1, 5) for n, f in _OWN.items()]
     sums += [_OWN[n](f"embed_{i}").alias(f"{n}_raw_{i}") for i in range(1, 5) for n in ("mean", "max")]
@@ -81,17 +94,18 @@ SELECT x.game, CASE WHEN x.pts > y.pts THEN 1 ELSE 0 END AS home_win, {', '.join
 FROM box x JOIN box y ON x.game = y.game AND x.home AND NOT y.home LEFT JOIN t h ON h.game = x.game AND h.team = x.team LEFT JOIN t w ON w.game = y.game AND w.team = y.team""")
 def profile_deltas(spark, d):
     """Four numbers of the profile, scaled by the years to 1996, as the players' vectors."""
-    e = _profiles(spark, d).withColumn("split", F.when(F.year("date") <= 1996, "train").otherwise("later"))
-    e = scale_by_train(e, _CHOSEN).withColumnsRenamed({c: f"embed_{i}" for i, c in enumerate(_CHOSEN, 1)})
-    out = vector_deltas(spark, d, e)
+    p, early, e = _fitted_and_met(spark, d)
+    e = scaled_by(e, early, _CHOSEN).withColumnsRenamed({c: f"embed_{i}" for i, c in enumerate(_CHOSEN, 1)})
+    out = vector_deltas(spark, d, p, e)
     return out.select("game", "home_win", *[r(c, 4).alias(c) for c in out.columns[2:]])
 
 
 @query()
 def embedding_deltas(spark, d):
     """The profile's four components, fitted on the years to 1996, as the players' vectors."""
-    e, _ = profiles.embed(_profiles(spark, d), F.year("date") <= 1996)
-    return vector_deltas(spark, d, e)
+    p, early, e = _fitted_and_met(spark, d)
+    e, _ = profiles.embed_by(e, early)
+    return vector_deltas(spark, d, p, e)
 
 
 _SPANS = (3, 5, 10)
