@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagwise import catalog
-from lagwise.operators import ewma, models
+from lagwise.operators import ewma, models, rollups
 from lagwise.plans import views as v
 from lagwise.staging import dealt
 
@@ -23,6 +23,14 @@ def test_parts_follow_the_rows(spark):
     assert v.by_player(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 4
 
 
+def test_rosters_are_summed_in_order(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, None), (1, 4.0), (2, None), (3, float("nan")), (3, 1.0)], "g int, x double")
+    out = rollups.roster_rollup(df, ["g"], {"x": ["max", "std", "mean", "sum"]}, fill_std=["x"])
+    assert "SortAggregate" in plan(out) and "HashAggregate" not in plan(out)
+    got = {r.g: tuple(r)[1:] for r in out.collect()}
+    assert got[1] == (4.0, pytest.approx(2**0.5), 3.0, 6.0) and got[2] == (None, 0.0, None, None) and got[3][0] != got[3][0]
+
+
 def test_profiles_are_sorted_and_shuffled_narrow(spark):
     got = plan(catalog.queries()["player_profiles"](spark, "/root/testdata/sf0.1"))
     assert len(re.findall("Exchange hashpartitioning", got)) == 2  # by game, by player
