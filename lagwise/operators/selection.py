@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .models import Result
 from .splits import fold_bounds
 
 _ROWS_AT_ONCE = 2_048
@@ -76,13 +77,14 @@ def _penalised(s: Sums, w: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray
     return c * s.gradient + ridge * w, c * s.hessian + np.diag(ridge)
 
 
-def settled(df: DataFrame, columns: Sequence[str], bounds, weights: list[np.ndarray], c: float, most: int = 30) -> tuple[list[np.ndarray], list[tuple[Sums, Sums]]]:
+def settled(df: DataFrame, columns: Sequence[str], bounds, weights: list[np.ndarray], c: float | Sequence[float], most: int = 30) -> tuple[list[np.ndarray], list[tuple[Sums, Sums]]]:
     """Each fold's optimum by Newton steps from weights, all folds in one job a step; an
-    error if the gradients don't fall under a millionth of their rows."""
+    error if the gradients don't fall under a millionth of their rows. c is one number or one for each of bounds."""
+    cs = [c] * len(bounds) if isinstance(c, (int, float)) else list(c)
     for _ in range(most):
         found = fold_sums(df, columns, bounds, weights)
-        steps = [_penalised(train, w, c) for (train, _), w in zip(found, weights, strict=True)]
-        if all(np.abs(g).max() <= 1e-6 * max(c * train.n, 1) for (g, _), (train, _) in zip(steps, found, strict=True)):
+        steps = [_penalised(train, w, one) for (train, _), w, one in zip(found, weights, cs, strict=True)]
+        if all(np.abs(g).max() <= 1e-6 * max(one * train.n, 1) for (g, _), (train, _), one in zip(steps, found, cs, strict=True)):
             return weights, found
         moves = [np.linalg.solve(h, g) for g, h in steps]
         # a long step is cut: the loss bends less further out
@@ -142,3 +144,17 @@ def backward_selection(df: DataFrame, columns: Sequence[str], c: float = 0.1, fo
         return kept, gone
     finally:
         df.unpersist()
+
+
+def ridge_cv(df: DataFrame, columns: Sequence[str], cs: Sequence[float], folds: int = 5) -> list[Result]:
+    """models.expanding_cv of ridge logistic regressions over their c. All folds of all c
+    take their Newton steps in the same jobs, so these don't grow with the candidates; the
+    losses are those of the settled fits."""
+    df = df.select("position", "label", *columns).persist()
+    try:
+        bounds = fold_bounds(df.count(), folds)
+        _, found = settled(df, columns, bounds * len(cs), [np.zeros(len(columns) + 1)] * (folds * len(cs)), [c for c in cs for _ in bounds])
+    finally:
+        df.unpersist()
+    losses = [val.loss / max(val.n, 1) for _, val in found]
+    return sorted((Result({"c": c}, losses[i * folds : (i + 1) * folds]) for i, c in enumerate(cs)), key=lambda r: r.loss)

@@ -104,8 +104,8 @@ def random_search(spark, d):
 @query()
 def grid_search(spark, d):
     t, train, _ = _parts(spark, d)
-    space = {"c": [0.0001, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 1000.0]}
-    return sinks.cv_results(spark, models.expanding_cv(train, lambda p, n: models.logistic(p["c"], n), models.grid(space), folds=5))
+    cs = [0.0001, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 1000.0]
+    return sinks.cv_results(spark, selection.ridge_cv(train, FEATURES, cs, folds=5))
 
 
 @query()

@@ -131,3 +131,20 @@ def test_confirmation_can_refuse(data):
     asked = []
     kept, gone = selection.backward_selection(df, list("abcde"), c=0.1, folds=3, confirm=lambda left: asked.append(left) or float(-len(left)))
     assert kept == list("abcde") and not gone and len(asked) == 2
+
+
+def test_ridges_settled_together(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 3))
+    y = (rng.random(240) < 1 / (1 + np.exp(-x @ [1.0, -0.5, 0.0]))).astype(float)
+    df = models.assemble(spark.createDataFrame([(i, *map(float, r), float(l)) for i, (r, l) in enumerate(zip(x, y, strict=True))], ["position", "a", "b", "c", "label"]), ["a", "b", "c"])
+    cs = [0.001, 0.1, 10.0]
+    want = {r.params["c"]: r.losses for r in models.expanding_cv(df, lambda p, n: models.logistic(p["c"], n), models.grid({"c": cs}), folds=3)}
+    spark.sparkContext.setJobGroup("ridges", "")
+    try:
+        got = selection.ridge_cv(df, ["a", "b", "c"], cs, folds=3)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ridges")) < 40  # not some for each fit
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.params["c"]: r.losses for r in got} == {c: pytest.approx(x, abs=1e-4) for c, x in want.items()}
+    assert [r.loss for r in got] == sorted(r.loss for r in got)
