@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,10 @@ _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 _DROPPED = re.compile(r"[^\w\s]+|_")
 #: Digits and signs that stand in for letters; fixed values.
 _STAND_INS = str.maketrans("013457@$", "oieastas")
+#: What _DROPPED drops of ASCII, which translate takes out more quickly.
+_ASCII_DROPPED = {i: None for i in range(128) if _DROPPED.fullmatch(chr(i))}
+#: Landmarks are kept in so many groups of similar ones.
+GROUPS = 64
 _known: dict = {}
 
 
@@ -85,11 +90,16 @@ class KernelModel:
     slope: float
     cut: tuple[float, float]
 
+    @cached_property
+    def along(self) -> np.ndarray:
+        """The sentence's weights on the sums themselves."""
+        return self.root @ self.sentence[:-1]
+
     def margins(self, rows: np.ndarray, whole: np.ndarray) -> list[float]:
         """What decides, that of a text's most toxic sentence and WHOLE of the whole text's, and
         what ranks, their sum, for the sums `rows` of its sentences and `whole` of all its
         words. A text has a sentence without a similar word too."""
-        best = self.sentence[-1] + np.max(rows @ self.root @ self.sentence[:-1], initial=0.0)
+        best = self.sentence[-1] + np.max(rows @ self.along, initial=0.0)
         text = self.text[-1] + _drawn_in(whole @ self.root) @ self.text[:-1]
         return [float(best + WHOLE * text), float(best + text)]
 
@@ -104,15 +114,17 @@ def _kernel(similarity: np.ndarray) -> np.ndarray:
     return sum(s**p for p in POWERS) / len(POWERS)
 
 
-def words(text: str | None) -> set[str]:
-    """Lower-case words without signs; runs of single letters are one word, so a word
-    that is spaced out letter by letter is seen whole."""
-    t = (text or "").lower()
+def _tokens(text: str) -> list[str]:
+    t = text.lower()
     if "@" in t or "$" in t:
         t = re.sub(r"(?<=\w)[@$](?=\w)", lambda m: m[0].translate(_STAND_INS), t)
-    tokens = _DROPPED.sub("", t).split()
-    out = set(tokens)
-    if sum([len(w) == 1 for w in out]) > 1:
+    return (t.translate(_ASCII_DROPPED) if t.isascii() else _DROPPED.sub("", t)).split()
+
+
+def _spelt(tokens: list[str], different: set[str]) -> set[str]:
+    """The runs of more than two single letters; different is the set of tokens."""
+    out: set[str] = set()
+    if sum([len(w) == 1 for w in different]) > 1:
         run: list[str] = []
         for w in [*tokens, ""]:
             if len(w) == 1:
@@ -121,7 +133,15 @@ def words(text: str | None) -> set[str]:
                 if len(run) > 2:
                     out.add("".join(run))
                 run = []
-    return {w for w in out if len(w) > 2}
+    return out
+
+
+def words(text: str | None) -> set[str]:
+    """Lower-case words without signs; runs of single letters are one word, so a word
+    that is spaced out letter by letter is seen whole."""
+    tokens = _tokens(text or "")
+    out = set(tokens)
+    return {w for w in out | _spelt(tokens, out) if len(w) > 2}
 
 
 def _pieces(word: str) -> list[str]:
@@ -181,6 +201,16 @@ class Landmarks:
         self.peak = np.zeros(1 << 18, np.float32)
         self.peak[used] = self.of.max(axis=1)
         self.n = len(names)
+        # groups about landmarks that are far from each other, and a group's peaks
+        alike = self.of.T @ self.of
+        centres, best = [0], alike[0].copy() if names else np.empty(0)
+        while len(centres) < min(GROUPS, len(names)):
+            centres.append(int(best.argmin()))
+            best = np.maximum(best, alike[centres[-1]])
+        group = alike[centres].argmax(axis=0) if names else np.empty(0, int)
+        self.members = [m for g in range(len(centres)) if len(m := np.flatnonzero(group == g))]
+        self.own = [np.ascontiguousarray(self.of[:, m]) for m in self.members]
+        self.peaks = np.stack([o.max(axis=1, initial=0) for o in self.own], axis=1) if names else np.zeros((0, 0), np.float32)
 
     def gram(self) -> np.ndarray:
         """The kernel matrix of the landmarks, by the kernel that texts have."""
@@ -217,11 +247,14 @@ class Landmarks:
             if not len(row):
                 continue
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            sums = np.empty((len(begin), self.n), np.float32)
-            for i in range(0, len(begin), 256):  # bounds the gathered rows
-                lo, hi = begin[i], begin[i + 256] if i + 256 < len(begin) else len(row)
-                sums[i : i + 256] = np.add.reduceat(self.of[at[lo:hi]] * weight[lo:hi, None], begin[i : i + 256] - lo)
-            sums /= norm[row[begin], None]
+            size, length = np.diff(np.r_[begin, len(row)]), norm[row[begin]].astype(np.float32)[:, None]
+            # a group's peaks bound the similarity to each of its landmarks; only where the bound
+            # reaches FLOOR can the kernel be other than none
+            may = _sums(self.peaks, at, weight, begin, size) >= FLOOR * 0.999 * length
+            sums = np.zeros((len(begin), self.n), np.float32)
+            for members, own, open_ in zip(self.members, self.own, may.T, strict=True):
+                if len(some := np.flatnonzero(open_)):
+                    sums[np.ix_(some, members)] = _sums(own, at, weight, begin[some], size[some]) / norm[row[begin[some]], None]
             ok = (sums >= FLOOR).any(axis=1)
             best = np.zeros((len(part), self.n), np.float32)
             np.maximum.at(best, owner[row[begin[ok]]], _kernel(sums[ok]))
@@ -233,6 +266,17 @@ class Landmarks:
         return np.concatenate(places), np.concatenate(rows)
 
 
+def _sums(table: np.ndarray, at: np.ndarray, weight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of so many places from begin on, the sum of the table's rows at these, times their weights."""
+    out = np.empty((len(begin), table.shape[1]), np.float32)
+    for i in range(0, len(begin), 256):  # bounds the gathered rows
+        n = size[i : i + 256]
+        first = np.cumsum(n) - n
+        places = np.arange(n.sum()) + np.repeat(begin[i : i + 256] - first, n)
+        out[i : i + 256] = np.add.reduceat(table[at[places]] * weight[places, None], first)
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """A text's sentences, cut to SENTENCE words."""
     out = []
@@ -245,32 +289,38 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def _near(texts, names: tuple[str, ...]) -> Iterator[tuple[set[str], dict[str, np.ndarray]]]:
-    """For each text its words, and the similarities to each landmark of those that have one."""
+def _near(texts, names: tuple[str, ...]) -> Iterator[tuple[list[list[str]], bool, dict[str, np.ndarray]]]:
+    """For each text its sentences' tokens, whether letters may be spelt out in it, and the
+    similarities to each landmark of those words that have one. No token goes over the end
+    of a sentence, so a text's tokens are those of its sentences."""
     key = hashlib.sha256("\0".join(names).encode("utf-8", "surrogatepass")).digest()
     if key not in _known:
         _known.clear()
         _known[key] = (Landmarks(names), set(), {})
     marks, known, near = _known[key]
-    part: list[set[str]] = []
+    part: list[tuple[list[list[str]], bool, set[str]]] = []
     size = 0
 
     def done():
-        new = set().union(*part) - known
+        new = set().union(*[found for _, _, found in part]) - known
         if len(known) + len(new) > REMEMBER:
             known.clear()
             near.clear()
-            new = set().union(*part)
+            new = set().union(*[found for _, _, found in part])
         known.update(new)
         new = sorted(new, key=len)  # words of about one length fill a table well
         at, rows = marks.similar(new)
         near.update(zip((new[i] for i in at), rows, strict=True))
-        for found in part:
-            yield {w: near[w] for w in near.keys() & found}
+        for tokens, spelling, found in part:
+            yield tokens, spelling, {w: near[w] for w in near.keys() & found}
 
     for t in texts:
-        part.append(words(t))
-        size += len(part[-1])
+        tokens = [_tokens(s) for s in sentences(t)]
+        every = [w for own in tokens for w in own]
+        different = set(every)
+        runs = _spelt(every, different)
+        part.append((tokens, bool(runs), {w for w in different | runs if len(w) > 2}))
+        size += len(part[-1][2])
         if size > 20_000:
             yield from done()
             part, size = [], 0
@@ -281,17 +331,23 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.n
     """For each text, a row for each of its sentences that has words similar to a landmark:
     the sums of their kernels with each; and that sum of all its words. Words that only the
     text as a whole has, spelled out over several sentences, are a sentence of their own."""
-    for t, near in zip(texts, _near(texts, names), strict=True):
-        rows, left = [], set(near)
-        if near:
-            for part in sentences(t):
-                if own := near.keys() & words(part):
-                    rows.append(np.sum([near[w] for w in own], axis=0, dtype=np.float64))
-                    left -= own
-            if left:
-                rows.append(np.sum([near[w] for w in left], axis=0, dtype=np.float64))
-        whole = np.sum(list(near.values()), axis=0, dtype=np.float64) if near else np.zeros(len(names))
-        yield np.array(rows).reshape(-1, len(names)), whole
+    for tokens, spelling, near in _near(texts, names):
+        if not near:
+            yield np.zeros((0, len(names))), np.zeros(len(names))
+            continue
+        place = {w: i for i, w in enumerate(near)}
+        each = np.array(list(near.values()), np.float64)
+        used, begin, left = [], [], set(near)
+        for one in tokens:
+            different = set(one)
+            if own := near.keys() & (different | _spelt(one, different) if spelling else different):
+                begin.append(len(used))
+                used += [place[w] for w in own]
+                left -= own
+        if left:
+            begin.append(len(used))
+            used += [place[w] for w in left]
+        yield np.add.reduceat(each[used], begin, axis=0), each.sum(axis=0)
 
 
 def choose_landmarks(sample: DataFrame, count: int = LANDMARKS, texts: int = LANDMARK_TEXTS, beside: int = BESIDE) -> tuple[list[str], list[str]]:

@@ -405,6 +405,38 @@ def test_words():
     assert "idiot" in toxicity.words("you i d i o t now") and toxicity.words(None) == set()
 
 
+def test_similarities_by_groups_like_all(monkeypatch):
+    """Group bounds leave out nothing, and most sums; a text's sentences are read once."""
+    rng = np.random.default_rng(4)
+    names = tuple("".join(rng.choice(list("abcdefghij"), rng.integers(4, 9))) for _ in range(90))
+    found = [*names[:20], *[n[:2] + "x" + n[2:] for n in names], *["".join(rng.choice(list("abcdefghijklmn"), rng.integers(3, 12))) for _ in range(600)], "ab"]
+    cells, sums = [], toxicity._sums
+    monkeypatch.setattr(toxicity, "_sums", lambda table, at, weight, begin, size: cells.append(len(begin) * table.shape[1]) or sums(table, at, weight, begin, size))
+    marks = toxicity.Landmarks(names)
+    at, got = marks.similar(found)
+    row, code, weight = toxicity.subsequences(found)
+    dense = np.zeros((len(found), 1 << 18))
+    dense[row, code] = weight
+    norm = np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    row, code, weight = toxicity.subsequences(list(names))
+    own = np.zeros((len(names), 1 << 18))
+    own[row, code] = weight
+    raw = dense / np.where(norm > 0, norm, 1) @ (own / np.sqrt((own**2).sum(axis=1, keepdims=True))).T
+    all_ = toxicity._kernel(raw)
+    assert sorted(at) == np.flatnonzero(all_.any(axis=1)).tolist()
+    assert got == pytest.approx(all_[at], abs=1e-5)
+    assert sum(cells[1:]) < 0.25 * len(found) * len(names)
+    texts = [". ".join(found[i : i + 3]) + "! A b C. d\n" + found[i] + " @x_y. q" for i in range(0, 60, 5)] + ["", "\u03a3. \u03a3 a b. c"]
+    for t, (rows, whole) in zip(texts, toxicity._described(texts, names), strict=True):
+        known = dict(zip(*marks.similar(sorted(toxicity.words(t))), strict=True))
+        each = dict(zip(np.array(sorted(toxicity.words(t)))[list(known)].tolist(), known.values(), strict=True)) if known else {}
+        assert whole == pytest.approx(np.sum(list(each.values()), axis=0) if each else np.zeros(len(names)), abs=1e-5)
+        by = [toxicity.words(x) & each.keys() for x in toxicity.sentences(t)]
+        left = each.keys() - set().union(*by)
+        want = [np.sum([each[w] for w in b], axis=0) for b in [*by, left] if b]
+        assert np.array(rows) == pytest.approx(np.array(want).reshape(-1, len(names)), abs=1e-5)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, d, "documents").select("doc_id", "text"), common.table(spark, d, "labels")
