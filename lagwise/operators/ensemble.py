@@ -12,6 +12,8 @@ from pyspark.ml.util import DefaultParamsReader, MLReadable, MLReader, MLWritabl
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagwise.staging import stage, unstage
+
 from . import blend
 from .models import Calibrated, assemble, calibrate
 from .splits import positions
@@ -98,9 +100,10 @@ def fit_blend(df: DataFrame, columns: Sequence[str], makers: dict[str, Callable[
     def fitted(rows: DataFrame, weights: Sequence[float], info: dict) -> BlendModel:
         stats = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         means, deviations = ([float(stats[f"{n}{i}"] or 0.0) for i in range(len(columns))] for n in "ms")
-        own = positions(BlendModel(columns, means, deviations).scaled(rows), first, order).select("features", "label", "position").persist()
+        # staged, as a cached table would keep the shuffle's many small parts in every pass of every fit
+        own = stage(positions(BlendModel(columns, means, deviations).scaled(rows), first, order).select("features", "label", "position"))
         members = [Member(name, calibrate(own, make, folds), float(w)) for (name, make), w in zip(makers.items(), weights, strict=True)]
-        own.unpersist()
+        unstage(own)
         return BlendModel(columns, means, deviations, members, info)
 
     first_fit = fitted(df.where(F.col(split) == train), [1 / len(makers)] * len(makers), {})

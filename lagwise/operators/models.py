@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.staging import stage, unstage
+
 from .metrics import binary_metrics
 from .splits import fold_bounds, positions
 from .sums import matrix
@@ -174,12 +176,13 @@ def _logit(p: str):
     return F.ln(q / (1 - q))
 
 
-def calibrate(df: DataFrame, make: Callable[[int], Estimator], folds: int = 5) -> Calibrated:
+def calibrate(df: DataFrame, make: Callable[[int], Estimator], folds: int = 5, parallel: int = 4) -> Calibrated:
     """Per fold: fit what make gives for so many rows on what is before it, then a sigmoid on the fold's own scores, with
-    targets drawn in from 0 and 1 by the number of examples of each label."""
-    bounds = fold_bounds(df.count(), folds)
-    parts = []
-    for a, b in bounds:
+    targets drawn in from 0 and 1 by the number of examples of each label. Folds are fitted side by side, so that the
+    many short jobs of one fit don't leave the cluster idle between them."""
+
+    def one(bounds: tuple[int, int]) -> tuple[Model, float, float]:
+        a, b = bounds
         model = make(a).fit(df.where(F.col("position") < a))
         seen = chance(df.where((F.col("position") >= a) & (F.col("position") < b)), model).select("label", array_to_vector(F.array(_logit("p"))).alias("features"))
         n = seen.agg(F.sum("label"), F.count(F.lit(1))).first()
@@ -189,8 +192,10 @@ def calibrate(df: DataFrame, make: Callable[[int], Estimator], folds: int = 5) -
         both = seen.withColumn("t", target).select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("t").alias("w")),
                                                                                F.struct(F.lit(0.0).alias("label"), (1 - F.col("t")).alias("w")))).alias("x")).select("features", "x.*")
         fit = LogisticRegression(regParam=0.0, weightCol="w").fit(both)
-        parts.append((model, float(fit.coefficients[0]), float(fit.intercept)))
-    return Calibrated(parts)
+        return model, float(fit.coefficients[0]), float(fit.intercept)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return Calibrated(list(pool.map(one, fold_bounds(df.count(), folds))))
 
 
 def coefficient_ranking(spark, model, columns: Sequence[str]) -> DataFrame:
@@ -209,9 +214,10 @@ def retrain_calibrated(df: DataFrame, columns: Sequence[str], make: Callable[[in
     every row is scored. df has label, first (a date or number) and order, which give the
     positions of the folds."""
     scaled = assemble(scale_by_train(df, columns, split, parts), columns)
-    own = positions(scaled.where(F.col(split).isin(*parts)), first, order).select("features", "label", "position").cache()
+    # a cached table would keep the shuffle's many small parts, each a task of every pass of every fit
+    own = stage(positions(scaled.where(F.col(split).isin(*parts)), first, order).select("features", "label", "position"))
     model = calibrate(own, make, folds)
-    own.unpersist()
+    unstage(own)
     return model.transform(scaled).drop("features")
 
 

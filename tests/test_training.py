@@ -146,3 +146,22 @@ def test_saved_blend_of_own_models(spark, tmp_path):
     again = ensemble.BlendModel.load(str(tmp_path / "m"))
     one, two = (m.transform(df).orderBy("game").select("p_trees", "p_net", "p").collect() for m in (model, again))
     assert one == two and 0 < one[0].p < 1
+
+
+def test_calibrated_fits_read_few_parts(spark, monkeypatch):
+    """What all fits pass over doesn't keep the parts of the shuffle that numbered its rows."""
+    x, y = rows_of(300, 2, seed=2)
+    df = spark.createDataFrame([(i, "train" if i < 200 else "val", float(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], ["game", "split", "label", "a", "b"])
+    seen, whole = [], models.calibrate
+    for place in (models, ensemble):
+        monkeypatch.setattr(place, "calibrate", lambda own, *more: seen.append(own.rdd.getNumPartitions()) or whole(own, *more))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        make = lambda n: models.logistic(0.1, n)
+        out = models.retrain_calibrated(df, ["a", "b"], make, "game", ["game"], folds=2)
+        model = ensemble.fit_blend(df, ["a", "b"], {"lr": make}, "game", ["game"], folds=2)
+        one, two = (t.orderBy("game").select("p").collect() for t in (out, model.transform(df)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 3 and max(seen) < 20
+    assert [r.p for r in one] == pytest.approx([r.p for r in two], abs=1e-6)
