@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -65,6 +66,8 @@ PIECE, OVERLAP = 32, 12
 #: Words whose similarities one Python worker remembers.
 REMEMBER = 200_000
 _WORDS_AT_ONCE = 4_096
+#: Examples, of some 250 numbers each, that a worker gathers before it passes them on.
+EXAMPLES_AT_ONCE = 1_000
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 _DROPPED = re.compile(r"[^\w\s]+|_")
@@ -72,6 +75,8 @@ _DROPPED = re.compile(r"[^\w\s]+|_")
 _STAND_INS = str.maketrans("013457@$", "oieastas")
 #: What _DROPPED drops of ASCII, which translate takes out more quickly.
 _ASCII_DROPPED = {i: None for i in range(128) if _DROPPED.fullmatch(chr(i))}
+#: A blank that stands between sentences whose letters are read at once.
+_BETWEEN = "\x1e"
 #: Landmarks are kept in so many groups of similar ones.
 GROUPS = 64
 _known: dict = {}
@@ -114,17 +119,29 @@ def _kernel(similarity: np.ndarray) -> np.ndarray:
     return sum(s**p for p in POWERS) / len(POWERS)
 
 
-def _tokens(text: str) -> list[str]:
+def _plain(text: str) -> str:
     t = text.lower()
     if "@" in t or "$" in t:
         t = re.sub(r"(?<=\w)[@$](?=\w)", lambda m: m[0].translate(_STAND_INS), t)
-    return (t.translate(_ASCII_DROPPED) if t.isascii() else _DROPPED.sub("", t)).split()
+    return t.translate(_ASCII_DROPPED) if t.isascii() else _DROPPED.sub("", t)
+
+
+def _tokens(text: str) -> list[str]:
+    return _plain(text).split()
 
 
-def _spelt(tokens: list[str], different: set[str]) -> set[str]:
+def _tokens_of(parts: list[str]) -> list[list[str]]:
+    """The tokens of each part, whose letters are all read at once."""
+    joined = _BETWEEN.join(parts)
+    if not parts or joined.count(_BETWEEN) >= len(parts):  # some part has the mark itself
+        return [_tokens(p) for p in parts]
+    return [p.split() for p in _plain(joined).split(_BETWEEN)]
+
+
+def _spelt(tokens: Iterable[str], different: set[str]) -> set[str]:
     """The runs of more than two single letters; different is the set of tokens."""
     out: set[str] = set()
-    if sum([len(w) == 1 for w in different]) > 1:
+    if list(map(len, different)).count(1) > 1:
         run: list[str] = []
         for w in [*tokens, ""]:
             if len(w) == 1:
@@ -308,18 +325,18 @@ def _near(texts, names: tuple[str, ...]) -> Iterator[tuple[list[list[str]], bool
             near.clear()
             new = set().union(*[found for _, _, found in part])
         known.update(new)
-        new = sorted(new, key=len)  # words of about one length fill a table well
+        # words of about one length fill a table well; those of one or two letters are none
+        new = sorted([w for w in new if len(w) > 2], key=len)
         at, rows = marks.similar(new)
         near.update(zip((new[i] for i in at), rows, strict=True))
         for tokens, spelling, found in part:
             yield tokens, spelling, {w: near[w] for w in near.keys() & found}
 
     for t in texts:
-        tokens = [_tokens(s) for s in sentences(t)]
-        every = [w for own in tokens for w in own]
-        different = set(every)
-        runs = _spelt(every, different)
-        part.append((tokens, bool(runs), {w for w in different | runs if len(w) > 2}))
+        tokens = _tokens_of(sentences(t))
+        different = set(chain.from_iterable(tokens))
+        runs = _spelt(chain.from_iterable(tokens), different)
+        part.append((tokens, bool(runs), different | runs if runs else different))
         size += len(part[-1][2])
         if size > 20_000:
             yield from done()
@@ -339,6 +356,8 @@ def _described(texts, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.n
         each = np.array(list(near.values()), np.float64)
         used, begin, left = [], [], set(near)
         for one in tokens:
+            if not spelling and near.keys().isdisjoint(one):
+                continue
             different = set(one)
             if own := near.keys() & (different | _spelt(one, different) if spelling else different):
                 begin.append(len(used))
@@ -413,14 +432,20 @@ def _examples(toxic: list[str], names: tuple[str, ...], root: np.ndarray):
                         for m in (part, *[f"{others} {x}" for m in marks for x in _altered(m)]):
                             parts.append(m)
                             labels.append(1)
-            out = []
+            maps, own = [], []
             for (rows, whole), y in zip(_described(parts, names), labels, strict=True):
                 if len(rows):
-                    out.append(((whole @ root).tolist(), y, 1.0))
+                    maps.append(whole @ root)
+                    own.append(y)
+                    if len(maps) == EXAMPLES_AT_ONCE:
+                        yield pd.DataFrame({"x": maps, "label": own, "weight": 1.0})
+                        maps, own = [], []
                 else:
                     plain += 1 - y
-            out.append(([0.0] * root.shape[1], 0, float(plain)))
-            yield pd.DataFrame([x for x in out if x[2]], columns=["x", "label", "weight"])
+            if maps:
+                yield pd.DataFrame({"x": maps, "label": own, "weight": 1.0})
+            if plain:
+                yield pd.DataFrame({"x": [np.zeros(root.shape[1])], "label": [0], "weight": [float(plain)]})
 
     return examples
 

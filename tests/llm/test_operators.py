@@ -803,3 +803,17 @@ def test_token_memory_is_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(token_counts, "REMEMBER", 5)
     token_counts._loaded.clear()
     assert [token_counts._count([t], tokenizer)[0] for t in texts] == want
+
+
+def test_toxicity_reads_sentences_at_once():
+    texts = ["Straße, OIO. s p a c e d! ΟΔΟΣ. a$b @c_d … “quoted”\nx\n\ny? ", "plain. two words", "one\x1etwo. three", "", "..."]
+    for text in texts:
+        parts = toxicity.sentences(text)
+        assert toxicity._tokens_of(parts) == [toxicity._tokens(p) for p in parts]
+    seen = []
+    plain, toxicity._plain = toxicity._plain, lambda t: seen.append(t) or plain(t)
+    try:
+        toxicity._tokens_of(["one.", "two.", "three."])
+    finally:
+        toxicity._plain = plain
+    assert len(seen) == 1  # letters are read once a text, not once a sentence
