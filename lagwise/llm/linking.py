@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ CROWDED, PIVOTS = 32, 16
 
 #: Hashes of the shingles of several texts (repeats allowed), and the place of each one's text.
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-#: Rows and characters that are worked on at a time in NumPy.
-_ROWS_AT_ONCE, _CHARACTERS_AT_ONCE = 2_048, 1 << 18
+#: Rows and bytes of text that are worked on at a time in NumPy.
+_ROWS_AT_ONCE, _BYTES_AT_ONCE = 2_048, 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -52,13 +53,15 @@ def bitmaps(keys: np.ndarray, texts: int) -> np.ndarray:
 
 
 def _pieces(batch: pa.RecordBatch, *texts: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
-    """Parts of batch with not too many rows and characters, and their columns of texts."""
-    columns = [batch.column(k).to_pylist() for k in texts]
+    """Parts of batch with not too many rows and bytes, and their columns of texts; a part's texts
+    are read from the batch when its turn comes."""
+    lengths = [pc.binary_length(batch.column(k)).to_pylist() for k in texts]
     first, size = 0, 0
-    for i in range(batch.num_rows):
-        size += sum(len(c[i]) for c in columns)
-        if size >= _CHARACTERS_AT_ONCE or i + 1 - first >= _ROWS_AT_ONCE or i + 1 == batch.num_rows:
-            yield batch.slice(first, i + 1 - first), [c[first : i + 1] for c in columns]
+    for i, more in enumerate(map(sum, zip(*lengths, strict=True))):
+        size += more
+        if size >= _BYTES_AT_ONCE or i + 1 - first >= _ROWS_AT_ONCE or i + 1 == batch.num_rows:
+            part = batch.slice(first, i + 1 - first)
+            yield part, [part.column(k).to_pylist() for k in texts]
             first, size = i + 1, 0
 
 

@@ -817,3 +817,28 @@ def test_toxicity_reads_sentences_at_once():
     finally:
         toxicity._plain = plain
     assert len(seen) == 1  # letters are read once a text, not once a sentence
+
+
+def test_pipeline_passes_few_documents_at_once(spark):
+    import corpus_pipeline
+
+    setting, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(30).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    before = spark.conf.get(setting)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("-1", "1000"), ("7", "7")):
+            spark.conf.set(setting, given)
+            assert corpus_pipeline._apart(docs, lambda d: d).count() == 30
+            assert spark.conf.get(setting) == then
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_pieces_of_a_batch_are_read_one_by_one():
+    import pyarrow as pa
+    from lagwise.llm import linking
+
+    texts = ["é" * n for n in (0, 10, linking._BYTES_AT_ONCE, 3)] + ["x"] * (linking._ROWS_AT_ONCE + 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "norm"])
+    parts = list(linking._pieces(batch, 1))
+    assert [t for _, (own,) in parts for t in own] == texts
+    assert [p.column(0).to_pylist()[0] for p, _ in parts] == [0, 3, 3 + linking._ROWS_AT_ONCE]
