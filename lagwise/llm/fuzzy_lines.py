@@ -1,86 +1,74 @@
-"""Line dedup: MinHash over character shingles, banding, exact Jaccard and
-distributed components.
+"""Line dedup: keys of a line's content, exact Jaccard over character shingles and
+distributed components, all in DataFrame operations.
 
-A shingle is a line's 8 characters from any place on. Lines are signed in NumPy, many at
-a time: signing every shingle in DataFrame operations took more than the time there is."""
+A shingle is a line's 8 characters from any place on. Characters stand four bytes apart in
+UTF-32, so a window of them is cut at the same cost wherever it is. Only lines that share a
+key with another are hashed shingle by shingle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, numbered, stage
-from .linking import linked, marked, mixed, rooted, similar, word_lists
+from .linking import linked, rooted
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
-#: A hash falls into one of BANDS * BAND_ROWS slots, of which a signature has the least
-#: hashes; a band is BAND_ROWS slots, so lines of similarity s share one with chance s**4:
-#: 1 - (1 - 0.8**4)**8 = 98.5 % at 0.8, 99.7 % at 0.85.
-BANDS, BAND_ROWS = 8, 4
-SLOTS = BANDS * BAND_ROWS
-#: Lines and characters that go out in one batch, and characters that are signed at a
-#: time; longer lines are signed in parts.
-_LINES_AT_ONCE, _BATCH, _CHARACTERS_AT_ONCE = 20_000, 1 << 21, 1 << 17
+#: A line is cut at each of these letters in turn; pieces of PIECE characters or more count.
+#: At a similarity of 0.8 one letter in 72 differs at most, so pieces mostly stay whole.
+CUTS, PIECE = ("e", "a", "i"), 16
+#: Keys of one kind: the least hashes.
+KEYS = 8
+#: Lines of fewer different pieces also have keys of windows of WINDOW characters from any
+#: place; those too short or too uniform for different windows, of shingles.
+FEW, WINDOW = 6, 24
+#: The least hashes of a line's shingles that are compared before its text is.
+SKETCH = 64
 #: So many lines to go, of twelve bytes each, are broadcast; more are shuffled.
 GONE = 2_000_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def shingle_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all shingles of all parts, and the place of each one's part."""
-    parts = [p if len(p) >= SHINGLE else p.ljust(SHINGLE, "\0") for p in parts]
-    c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    n = len(c) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h *= _FACTOR
-        h += c[k : k + n]
-    whole = owner[:n] == owner[SHINGLE - 1 :]
-    return mixed(h[whole]), owner[:n][whole]
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line. An empty slot takes the next one's hash, round
-    the end to the first."""
-    least = np.full(len(lines) * SLOTS, _NONE)
-    parts: list[str] = []
-    of: list[int] = []
-    size = 0
-
-    def sign():
-        h, part = shingle_hashes(parts)
-        slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least, np.array(of)[part] * SLOTS + slot, h)
-
-    for i, line in enumerate(lines):
-        for at in range(0, max(1, len(line) - SHINGLE + 1), _CHARACTERS_AT_ONCE):
-            parts.append(line[at : at + _CHARACTERS_AT_ONCE + SHINGLE - 1])
-            of.append(i)
-            size += len(parts[-1])
-            if size >= _CHARACTERS_AT_ONCE:
-                sign()
-                parts, of, size = [], [], 0
-    if parts:
-        sign()
-    least = least.reshape(-1, SLOTS)
-    for j in range(2 * SLOTS - 1, -1, -1):
-        at, after = j % SLOTS, (j + 1) % SLOTS
-        least[:, at] = np.where(least[:, at] == _NONE, least[:, after], least[:, at])
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        k = np.full(len(lines), b + 1, np.uint64)
-        for r in range(BAND_ROWS):
-            k = mixed(k * _FACTOR + least[:, b * BAND_ROWS + r])
-        keys[:, b] = k
-    return keys.view(np.int64)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often, and in whatever lambda, use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _units(line: Column) -> Column:
+    """The characters as four bytes each, one shingle's at least."""
+    return F.encode(F.when(F.length(line) < SHINGLE, F.rpad(line, SHINGLE, "\0")).otherwise(line), "UTF-32")
+
+
+def _size(units: Column) -> Column:
+    return (F.octet_length(units) / 4).cast("int")
+
+
+def _hashes(units: Column, width: int, first: Column, last: Column) -> Column:
+    """The hashes of the runs of width characters from each of the places first to last on."""
+    each = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.substring(units, i * 4 + 1, F.lit(4 * width))))
+    return F.when(first <= last, each).otherwise(F.array().cast("array<long>"))
+
+
+def _all_hashes(line: Column, width: int = SHINGLE) -> Column:
+    """The different hashes of all runs of width characters, in order."""
+    return F.sort_array(F.array_distinct(_let(_units(line), lambda u: _hashes(u, width, F.lit(0), _size(u) - width))))
+
+
+def _pieces(line: Column) -> Column:
+    """The different hashes of a line's long pieces, in order."""
+    cut = F.filter(F.concat(*[F.split(line, c) for c in CUTS]), lambda x: F.length(x) >= PIECE)
+    return F.sort_array(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x))))
+
+
+def _keys(line: Column, pieces: Column) -> Column:
+    """A line's keys. Lines of a similarity of 0.8 differ by a fifth in their shingles at most, so
+    of two such lines both have windows or both have shingles as keys."""
+    none = F.array().cast("array<long>")
+    windows = F.when(F.length(line) >= WINDOW + 4, _all_hashes(line, WINDOW)).otherwise(none)
+    few = _let(windows, lambda w: F.concat(F.slice(w, 1, KEYS), F.when(F.size(w) <= KEYS + 2, F.slice(_all_hashes(line), 1, KEYS)).otherwise(none)))
+    return F.when(F.size(pieces) < FEW, F.concat(pieces, few)).otherwise(F.slice(pieces, 1, KEYS))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,50 +78,69 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """row (of id and whole text), doc_id, line_no, id, more, keys: every line that isn't
     blank. Lines are taken without case and without blanks at their ends; id and more
-    are two hashes of that, keys the line's band keys."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> pa.RecordBatch:
-            # a line that a batch repeats is hashed and signed once
-            once = {line: k for k, line in enumerate(dict.fromkeys(lines))}
-            of = pa.array([once[line] for line in lines], pa.int64())
-            raw = [x.encode("utf-8", "surrogatepass") for x in once]
-            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)).take(of) for seed in (42, 7)]
-            where = pa.array(places, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(numbers, pa.int32()), *hashes,
-                                               word_lists(band_keys(list(once))).take(of)], ["row", "doc_id", "line_no", "id", "more", "keys"])
-
-        for b in batches:
-            lines: list[str] = []
-            places: list[int] = []
-            numbers: list[int] = []
-            size = 0
-            for i, t in enumerate(b.column(2)):
-                for k, line in enumerate((t.as_py() or "").split("\n")):
-                    if line := line.strip(" "):
-                        lines.append(line)
-                        places.append(i)
-                        numbers.append(k)
-                        size += len(line)
-                        if len(lines) >= _LINES_AT_ONCE or size >= _BATCH:
-                            yield done()
-                            lines, places, numbers, size = [], [], [], 0
-            if lines:
-                yield done()
-
-    rows = _rows(docs, doc_id, text)
-    return rows.mapInArrow(sign, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no int, id long, more long, keys array<long>")
+    are two hashes of that, keys what similar lines have in common."""
+    lines = _rows(docs, doc_id, text).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    norm = lines.select("row", "doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''")
+    pieces = norm.withColumn("pieces", _pieces(F.col("norm")))
+    return pieces.select("row", "doc_id", "line_no", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(7), "norm").alias("more"),
+                         _keys(F.col("norm"), F.col("pieces")).alias("keys"))
+
+
+def described(texts: DataFrame) -> DataFrame:
+    """texts (id, norm) plus n, the number of different shingles, and marks, their least hashes."""
+    return texts.withColumn("hashes", _all_hashes(F.col("norm"))).select("id", "norm", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("marks"))
+
+
+def _may_link(a: str, b: str) -> Column:
+    """False for pairs that can't be alike. Of SKETCH least hashes lines of a similarity of 0.8 share 51
+    on the average, so half is six standard deviations off; sets of fewer hashes are whole."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    both = F.size(F.array_intersect(f"{a}marks", f"{b}marks"))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (2 * both >= F.least(n, m, F.lit(SKETCH)))
+
+
+def _common(a: Column, b: Column, size: Column, end: bool) -> Column:
+    """How many characters two different lines have in common at their start or end; size: of the shorter."""
+    part = (lambda x, k: F.substring(x, k * -4, k * 4)) if end else (lambda x, k: F.substring(x, F.lit(1), k * 4))
+    steps = F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0), F.lit(-1))
+    return F.aggregate(F.transform(steps, lambda e: F.pow(F.lit(2), e).cast("int")), F.lit(0),
+                       lambda p, k: F.when(part(a, p + k) == part(b, p + k), p + k).otherwise(p))
+
+
+def _differing(a: Column, b: Column, start: Column, end: Column) -> Column:
+    """How many shingles only one of two lines has, of those not wholly in the first `start` or last `end` characters."""
+    own = lambda u: _hashes(u, SHINGLE, F.greatest(start - SHINGLE + 1, F.lit(0)), _size(u) - F.greatest(end + 1, F.lit(SHINGLE)))
+    return _let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda h: F.size(F.array_except(h["a"], h["b"])) + F.size(F.array_except(h["b"], h["a"])))
+
+
+def alike_lines(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ids of items (id, norm, n) whose sets of shingles have a Jaccard similarity
+    of 0.8 or more: those in which a ninth of both sizes or fewer shingles differ. What lies
+    between common ends is looked at first; it can only differ by more."""
+    met = pairs.select("u", "v")
+    for i in "uv":
+        met = met.join(items.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        size = F.least(_size(a), _size(b))
+        ends = F.struct(_common(a, b, size, False).alias("p"), _common(a, b, size, True).alias("s"))
+        return _let(ends, lambda e: _differing(a, b, e["p"], F.least(e["s"], size - e["p"])))
+
+    both, n = F.struct(_units(F.col("u_norm")).alias("a"), _units(F.col("v_norm")).alias("b")), F.col("u_n") + F.col("v_n")
+    none = F.lit(0)
+    return met.where((9 * _let(both, between) <= n) | (9 * _let(both, lambda s: _differing(s["a"], s["b"], none, none)) <= n)).select("u", "v")
 
 
 def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:
     """node, root: components of the lines that are linked by a similarity of 0.8 or more
-    and share a band. signed has ids and keys; texts (id, norm) may repeat rows. Links are
+    and share a key. signed has ids and keys; texts (id, norm) may repeat rows. Links are
     looked for as linking.linked does."""
 
     def describe(wanted: DataFrame) -> DataFrame:
-        return marked(texts.join(broadcast_if_small(wanted, 1_000_000), "id").distinct(), shingle_hashes)
+        return described(texts.join(broadcast_if_small(wanted, 1_000_000), "id").select("id", "norm").distinct())
 
-    return linked(signed.select("id", F.explode("keys").alias("key")), describe, lambda pairs, items: similar(pairs, items, shingle_hashes))
+    return linked(signed.select("id", F.explode("keys").alias("key")), describe, alike_lines, _may_link)
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

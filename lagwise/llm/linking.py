@@ -23,6 +23,8 @@ CROWDED, PIVOTS = 32, 16
 
 #: Hashes of the shingles of several texts (repeats allowed), and the place of each one's text.
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Whether two items may be alike, by columns with two prefixes.
+Near = Callable[[str, str], Column]
 #: Rows and bytes of text that are worked on at a time in NumPy.
 _ROWS_AT_ONCE, _BYTES_AT_ONCE = 2_048, 1 << 18
 
@@ -71,19 +73,6 @@ def word_lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
-def marked(texts: DataFrame, hashes: Hashes) -> DataFrame:
-    """texts (id, norm) plus n, the number of different shingles, and marks."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, (norm,) in _pieces(batch, 1):
-                keys = different(*hashes(norm))
-                n = np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(norm)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), word_lists(bitmaps(keys, len(norm)))], ["id", "norm", "n", "marks"])
-
-    return texts.select("id", "norm").mapInArrow(mark, "id long, norm string, n int, marks array<long>")
-
-
 def similar(pairs: DataFrame, texts: DataFrame, hashes: Hashes, least: float = SIMILAR) -> DataFrame:
     """The pairs (u, v) of ids of texts (id, norm) whose sets of shingles have a Jaccard
     similarity of `least` or more. Texts meet, not sets, which are several times larger."""
@@ -114,12 +103,12 @@ def _near(a: str, b: str, least: float = SIMILAR) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * least - 1e-6) & (differing * (1 + least) <= (n + m) * (1 - least) + 1e-6)
 
 
-def _hopeful(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
+def _hopeful(pairs: DataFrame, items: DataFrame, least: float = SIMILAR, near: Near | None = None) -> DataFrame:
     """The different pairs (u, v), without those that their marks rule out."""
     met = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     for i in "uv":
         met = met.join(items.select(F.col("id").alias(i), F.col("marks").alias(f"{i}_marks"), F.col("n").alias(f"{i}_n")), i)
-    return stage(met.where(_near("u_", "v_", least)).select("u", "v"))
+    return stage(met.where(near("u_", "v_") if near else _near("u_", "v_", least)).select("u", "v"))
 
 
 def rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
@@ -158,7 +147,7 @@ def _more_pivots(buckets: DataFrame) -> DataFrame:
     return crowded.join(broadcast_if_small(pivots), "key").where("root <> v_root").select(F.col("id").alias("u"), "v")
 
 
-def _open_pairs(buckets: DataFrame, items: DataFrame) -> DataFrame:
+def _open_pairs(buckets: DataFrame, items: DataFrame, near: Near = _near) -> DataFrame:
     """u, v: items of one bucket and different components that may be alike. Items outside
     the bucket's main component meet all others; in crowded buckets marks are compared
     before a pair is made."""
@@ -166,17 +155,19 @@ def _open_pairs(buckets: DataFrame, items: DataFrame) -> DataFrame:
     few = small.join(small.where("root <> main").select("key", F.col("id").alias("v"), F.col("root").alias("v_root")), "key")
     marked = stage(crowded.join(items.select("id", "marks", "n"), "id"))
     stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
-    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & _near("", "s_"))
-    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), items).unionByName(
+    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & near("", "s_"))
+    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), items, near=near).unionByName(
         stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()))
 
 
-def linked(bands: DataFrame, describe: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def linked(bands: DataFrame, describe: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame, DataFrame], DataFrame],
+           near: Near = _near) -> DataFrame:
     """node, root: components of the items that are linked and share a bucket.
 
     bands: id, key (both long; repeats allowed). describe gives, for the ids of buckets
     with several items, what is compared: id, n, marks and whatever alike needs. alike
-    keeps the pairs (u, v) that are links.
+    keeps the pairs (u, v) that are links. near tells by the marks of two items, whose columns
+    start with the two prefixes, whether they may be alike.
 
     In each bucket all items meet one of them, the pivot, another in each bucket. In
     crowded buckets that this leaves with several components, items meet a few pivots
@@ -191,6 +182,6 @@ def linked(bands: DataFrame, describe: Callable[[DataFrame], DataFrame], alike:
         members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key").select("key", "id", "pivot").distinct())
         items = stage(describe(stage(members.select("id").distinct())))
         star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-        tied = stage(components(alike(_hopeful(star, items), items)))
-        tied = _merged(tied, stage(alike(_hopeful(_more_pivots(_buckets(members, tied)), items), items)))
-        return keep(_merged(tied, stage(alike(_open_pairs(_buckets(members, tied), items), items))))
+        tied = stage(components(alike(_hopeful(star, items, near=near), items)))
+        tied = _merged(tied, stage(alike(_hopeful(_more_pivots(_buckets(members, tied)), items, near=near), items)))
+        return keep(_merged(tied, stage(alike(_open_pairs(_buckets(members, tied), items, near), items))))

@@ -374,6 +374,22 @@ def test_crowded_bucket_of_strays(spark):
     assert len({(got[x], r) for x, r in zip(lines, root, strict=True)}) == len(set(root)) == len(set(got.values())) < len(lines) - 10
 
 
+def test_lines_run_no_python(spark, monkeypatch):
+    """DataFrame operations only, on similar lines, crowded buckets and uniform lines of any length."""
+    from pyspark.sql import DataFrame
+
+    def refuse(*a, **b):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(DataFrame, name, refuse)
+    monkeypatch.setattr(F, "pandas_udf", refuse)
+    lines = ["-" * n for n in (9, 20, 33, 50, 400)] + ["=-" * 300, "=-" * 8, "short", "\U0001f600\u4e2d" * 40, "\U0001f600\u4e2d" * 40 + "!"]
+    got = linked_lines(spark, lines)
+    assert len(set(map(got.get, lines[:5]))) == 1 and got[lines[5]] == got[lines[6]] and got[lines[8]] != got[lines[7]] != got[lines[0]]
+    assert alike(shingle_set(lines[8]), shingle_set(lines[9])) == (got[lines[8]] == got[lines[9]])
+
+
 # 5
 
 
