@@ -107,29 +107,39 @@ def _common(a: Column, b: Column, size: Column, end: bool) -> Column:
                        lambda p, k: F.when(part(a, p + k) == part(b, p + k), p + k).otherwise(p))
 
 
-def _differing(a: Column, b: Column, start: Column, end: Column) -> Column:
-    """How many shingles only one of two lines has, of those not wholly in the first `start` or last `end` characters."""
+def _differing(a: Column, b: Column, start: Column, end: Column, n: Column) -> Column:
+    """Of the shingles not wholly in the first `start` or last `end` characters, which two lines have in common: how
+    many only one line has (least to most: some may also lie in the common ends). n: the sum of both lines' sizes."""
     own = lambda u: _hashes(u, SHINGLE, F.greatest(start - SHINGLE + 1, F.lit(0)), _size(u) - F.greatest(end + 1, F.lit(SHINGLE)))
-    return _let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda h: F.size(F.array_except(h["a"], h["b"])) + F.size(F.array_except(h["b"], h["a"])))
+    ends = F.greatest(start - SHINGLE + 1, F.lit(0)) + F.greatest(end - SHINGLE + 1, F.lit(0))
+
+    def count(h: Column) -> Column:
+        most = F.size(F.array_except(h["a"], h["b"])) + F.size(F.array_except(h["b"], h["a"]))
+        again = 2 * ends + F.size(F.array_distinct(h["a"])) + F.size(F.array_distinct(h["b"])) - n
+        return _let(most, lambda m: F.struct((m - again).alias("least"), m.alias("most")))
+
+    return _let(F.struct(own(a).alias("a"), own(b).alias("b")), count)
 
 
 def alike_lines(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs (u, v) of ids of items (id, norm, n) whose sets of shingles have a Jaccard similarity
     of 0.8 or more: those in which a ninth of both sizes or fewer shingles differ. What lies
-    between common ends is looked at first; it can only differ by more."""
+    between common ends is looked at first, and all only where that leaves it open."""
     met = pairs.select("u", "v")
     for i in "uv":
         met = met.join(items.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
+    n, none = F.col("u_n") + F.col("v_n"), F.lit(0)
 
     def between(s: Column) -> Column:
         a, b = s["a"], s["b"]
         size = F.least(_size(a), _size(b))
         ends = F.struct(_common(a, b, size, False).alias("p"), _common(a, b, size, True).alias("s"))
-        return _let(ends, lambda e: _differing(a, b, e["p"], F.least(e["s"], size - e["p"])))
+        return _let(ends, lambda e: _differing(a, b, e["p"], F.least(e["s"], size - e["p"]), n))
 
-    both, n = F.struct(_units(F.col("u_norm")).alias("a"), _units(F.col("v_norm")).alias("b")), F.col("u_n") + F.col("v_n")
-    none = F.lit(0)
-    return met.where((9 * _let(both, between) <= n) | (9 * _let(both, lambda s: _differing(s["a"], s["b"], none, none)) <= n)).select("u", "v")
+    both = F.struct(_units(F.col("u_norm")).alias("a"), _units(F.col("v_norm")).alias("b"))
+    whole = 9 * _let(both, lambda s: _differing(s["a"], s["b"], none, none, n))["most"] <= n
+    alike = _let(_let(both, between), lambda d: F.when(9 * d["most"] <= n, True).when(9 * d["least"] > n, False).otherwise(whole))
+    return met.where(alike).select("u", "v")
 
 
 def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:

@@ -390,6 +390,30 @@ def test_lines_run_no_python(spark, monkeypatch):
     assert alike(shingle_set(lines[8]), shingle_set(lines[9])) == (got[lines[8]] == got[lines[9]])
 
 
+def test_alike_lines_by_brute_force(spark):
+    """Edits at all places, also in lines that repeat themselves, near the bound."""
+    rng = np.random.default_rng(11)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lines = set()
+    for k in range(120):
+        base = draw("abcdefgh\u4e2d\U0001f600", rng.integers(1, 250)) if k % 2 else draw("ab", rng.integers(1, 5)) * rng.integers(2, 60) + draw("abc", rng.integers(0, 30))
+        lines.add(base)
+        for _ in range(3):
+            x = base
+            for _ in range(rng.integers(1, 3)):
+                at, cut = rng.integers(0, len(x) + 1), rng.integers(0, 2)
+                x = x[:at] + draw("abcx", rng.integers(0, 1 + len(base) // 16)) + x[at + cut :]
+            lines.add(x)
+    lines = sorted(lines - {""})
+    items = common.stage(fuzzy_lines.described(spark.createDataFrame(list(enumerate(lines)), "id long, norm string")))
+    sets = [shingle_set(x) for x in lines]
+    assert {r.id: r.n for r in items.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if sets[a] & sets[b]]
+    got = {tuple(r) for r in fuzzy_lines.alike_lines(spark.createDataFrame(pairs, "u long, v long"), items).collect()}
+    want = {(a, b) for a, b in pairs if alike(sets[a], sets[b])}
+    assert got == want and 80 < len(want) < len(pairs) - 100
+
+
 # 5
 
 
