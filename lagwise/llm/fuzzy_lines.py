@@ -13,20 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, numbered, stage
-from .linking import linked, rooted
+from .linking import among, linked, rooted
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
-#: A line is cut at each of these letters in turn; pieces of PIECE characters or more count.
-#: At a similarity of 0.8 one letter in 72 differs at most, so pieces mostly stay whole.
-CUTS, PIECE = ("e", "a", "i"), 16
-#: Keys of one kind: the least hashes.
-KEYS = 8
-#: Lines of fewer different pieces also have keys of windows of WINDOW characters from any
-#: place; those too short or too uniform for different windows, of shingles.
-FEW, WINDOW = 6, 24
-#: The least hashes of a line's shingles that are compared before its text is.
-SKETCH = 64
+#: The hashes of a line lie on a circle of 2 ** SLOT_BITS slots. A key is made of the first hashes from the start of
+#: a slot on, so that lines of similarity s share one with chance s ** (hashes in it).
+SLOT_BITS = 3
+#: Pairs of neighbouring words in a key of lines that have many of them, and shingles in one of other lines.
+OF_WORDS, OF_SHINGLES = 3, 4
+#: Lines of MANY different pairs of words or more have keys of these; lines of fewer than SOME, or of
+#: LONG characters a pair or more, have keys of shingles, so that of two similar lines both have the same kind.
+MANY, SOME, LONG = 16, 24, 12
+#: Lines of so many hashes or fewer have a key from each of them on.
+FEW = 16
+#: Of the least hashes of a line's shingles so many, 16 bits of each, are compared before its text is.
+SKETCH = 1024
 #: So many lines to go, of twelve bytes each, are broadcast; more are shuffled.
 GONE = 2_000_000
 
@@ -45,30 +47,41 @@ def _size(units: Column) -> Column:
     return (F.octet_length(units) / 4).cast("int")
 
 
-def _hashes(units: Column, width: int, first: Column, last: Column) -> Column:
-    """The hashes of the runs of width characters from each of the places first to last on."""
-    each = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.substring(units, i * 4 + 1, F.lit(4 * width))))
-    return F.when(first <= last, each).otherwise(F.array().cast("array<long>"))
+def _shingles(line: Column) -> Column:
+    """The hashes of a line's shingles, one of each place."""
+    each = lambda u: F.transform(F.sequence(F.lit(0), _size(u) - SHINGLE), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))
+    return _let(_units(line), each)
 
 
-def _all_hashes(line: Column, width: int = SHINGLE) -> Column:
-    """The different hashes of all runs of width characters, in order."""
-    return F.sort_array(F.array_distinct(_let(_units(line), lambda u: _hashes(u, width, F.lit(0), _size(u) - width))))
+def _all_hashes(line: Column) -> Column:
+    """The different hashes of all shingles, in order."""
+    return F.sort_array(F.array_distinct(_shingles(line)))
 
 
-def _pieces(line: Column) -> Column:
-    """The different hashes of a line's long pieces, in order."""
-    cut = F.filter(F.concat(*[F.split(line, c) for c in CUTS]), lambda x: F.length(x) >= PIECE)
-    return F.sort_array(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x))))
+def _word_pairs(line: Column) -> Column:
+    """The different hashes of two neighbouring words each, in order."""
+    pairs = _let(F.split(line, " "), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
+    return F.sort_array(F.array_distinct(pairs))
 
 
-def _keys(line: Column, pieces: Column) -> Column:
-    """A line's keys. Lines of a similarity of 0.8 differ by a fifth in their shingles at most, so
-    of two such lines both have windows or both have shingles as keys."""
+def _runs(hashes: Column, width: int) -> Column:
+    """The keys of a line: `width` hashes in turn, from the first of each slot on, round the end to the least."""
+    slot = lambda h, i: F.shiftright(F.get(h, i), 64 - SLOT_BITS)
+
+    def keys(h: Column) -> Column:
+        n = F.size(h)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (n <= FEW) | (i == 0) | (slot(h, i) != slot(h, i - 1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.get(h, (i + k) % n) for k in range(width)]))
+
+    return _let(hashes, keys)
+
+
+def _keys(line: Column, pairs: Column) -> Column:
+    """A line's keys."""
     none = F.array().cast("array<long>")
-    windows = F.when(F.length(line) >= WINDOW + 4, _all_hashes(line, WINDOW)).otherwise(none)
-    few = _let(windows, lambda w: F.concat(F.slice(w, 1, KEYS), F.when(F.size(w) <= KEYS + 2, F.slice(_all_hashes(line), 1, KEYS)).otherwise(none)))
-    return F.when(F.size(pieces) < FEW, F.concat(pieces, few)).otherwise(F.slice(pieces, 1, KEYS))
+    n = F.size(pairs)
+    return F.concat(F.when(n >= MANY, _runs(pairs, OF_WORDS)).otherwise(none),
+                    F.when((n < SOME) | (F.length(line) >= LONG * n), _runs(_all_hashes(line), OF_SHINGLES)).otherwise(none))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -81,65 +94,42 @@ def signed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     are two hashes of that, keys what similar lines have in common."""
     lines = _rows(docs, doc_id, text).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     norm = lines.select("row", "doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''")
-    pieces = norm.withColumn("pieces", _pieces(F.col("norm")))
-    return pieces.select("row", "doc_id", "line_no", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(7), "norm").alias("more"),
-                         _keys(F.col("norm"), F.col("pieces")).alias("keys"))
+    pairs = norm.withColumn("pairs", _word_pairs(F.col("norm")))
+    return pairs.select("row", "doc_id", "line_no", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(7), "norm").alias("more"),
+                         _keys(F.col("norm"), F.col("pairs")).alias("keys"))
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """texts (id, norm) plus n, the number of different shingles, and marks, their least hashes."""
-    return texts.withColumn("hashes", _all_hashes(F.col("norm"))).select("id", "norm", F.size("hashes").alias("n"), F.slice("hashes", 1, SKETCH).alias("marks"))
-
-
-def _may_link(a: str, b: str) -> Column:
-    """False for pairs that can't be alike. Of SKETCH least hashes lines of a similarity of 0.8 share 51
-    on the average, so half is six standard deviations off; sets of fewer hashes are whole."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    both = F.size(F.array_intersect(f"{a}marks", f"{b}marks"))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (2 * both >= F.least(n, m, F.lit(SKETCH)))
-
+    """texts (id, norm) plus n, the number of different shingles."""
+    return texts.select("id", "norm", F.size(F.array_distinct(_shingles(F.col("norm")))).alias("n"))
 
-def _common(a: Column, b: Column, size: Column, end: bool) -> Column:
-    """How many characters two different lines have in common at their start or end; size: of the shorter."""
-    part = (lambda x, k: F.substring(x, k * -4, k * 4)) if end else (lambda x, k: F.substring(x, F.lit(1), k * 4))
-    steps = F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0), F.lit(-1))
-    return F.aggregate(F.transform(steps, lambda e: F.pow(F.lit(2), e).cast("int")), F.lit(0),
-                       lambda p, k: F.when(part(a, p + k) == part(b, p + k), p + k).otherwise(p))
 
+def _marked(items: DataFrame) -> DataFrame:
+    """items plus marks, the different last 16 bits of their least hashes."""
+    least = F.slice(_all_hashes(F.col("norm")), 1, SKETCH)
+    return items.withColumn("marks", F.array_distinct(F.transform(least, lambda h: F.shiftright(F.shiftleft(h, 48), 48).cast("short"))))
 
-def _differing(a: Column, b: Column, start: Column, end: Column, n: Column) -> Column:
-    """Of the shingles not wholly in the first `start` or last `end` characters, which two lines have in common: how
-    many only one line has (least to most: some may also lie in the common ends). n: the sum of both lines' sizes."""
-    own = lambda u: _hashes(u, SHINGLE, F.greatest(start - SHINGLE + 1, F.lit(0)), _size(u) - F.greatest(end + 1, F.lit(SHINGLE)))
-    ends = F.greatest(start - SHINGLE + 1, F.lit(0)) + F.greatest(end - SHINGLE + 1, F.lit(0))
 
-    def count(h: Column) -> Column:
-        most = F.size(F.array_except(h["a"], h["b"])) + F.size(F.array_except(h["b"], h["a"]))
-        again = 2 * ends + F.size(F.array_distinct(h["a"])) + F.size(F.array_distinct(h["b"])) - n
-        return _let(most, lambda m: F.struct((m - again).alias("least"), m.alias("most")))
-
-    return _let(F.struct(own(a).alias("a"), own(b).alias("b")), count)
+def _may_link(a: str, b: str) -> Column:
+    """False for pairs that can't be alike. Each mark that only one of two lines has stands for a shingle or more that only this
+    one has; at a similarity of 0.8 these are a ninth of both sizes at most. Of larger sets only the least hashes are known: one
+    of the larger set's is also the other's with the chance p, and five standard deviations less are asked for (and what
+    coincides within the marks)."""
+    n, m, x, y = F.col(f"{a}n"), F.col(f"{b}n"), F.size(f"{a}marks"), F.size(f"{b}marks")
+    both = F.size(F.array_intersect(f"{a}marks", f"{b}marks"))
+    p = (n + m) * 4.0 / (F.greatest(n, m) * 9)
+    few = SKETCH * p - 5 * F.sqrt(SKETCH * p * (1 - p)) - SKETCH + F.when(n >= m, x).otherwise(y)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & F.when(F.greatest(n, m) <= SKETCH, 9 * (x + y - 2 * both) <= n + m).otherwise(both >= few)
 
 
 def alike_lines(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs (u, v) of ids of items (id, norm, n) whose sets of shingles have a Jaccard similarity
-    of 0.8 or more: those in which a ninth of both sizes or fewer shingles differ. What lies
-    between common ends is looked at first, and all only where that leaves it open."""
+    of 0.8 or more: those that have four ninths of both sizes or more in common."""
     met = pairs.select("u", "v")
     for i in "uv":
         met = met.join(items.select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"), F.col("n").alias(f"{i}_n")), i)
-    n, none = F.col("u_n") + F.col("v_n"), F.lit(0)
-
-    def between(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        size = F.least(_size(a), _size(b))
-        ends = F.struct(_common(a, b, size, False).alias("p"), _common(a, b, size, True).alias("s"))
-        return _let(ends, lambda e: _differing(a, b, e["p"], F.least(e["s"], size - e["p"]), n))
-
-    both = F.struct(_units(F.col("u_norm")).alias("a"), _units(F.col("v_norm")).alias("b"))
-    whole = 9 * _let(both, lambda s: _differing(s["a"], s["b"], none, none, n))["most"] <= n
-    alike = _let(_let(both, between), lambda d: F.when(9 * d["most"] <= n, True).when(9 * d["least"] > n, False).otherwise(whole))
-    return met.where(alike).select("u", "v")
+    both = F.size(F.array_intersect(_shingles(F.col("u_norm")), _shingles(F.col("v_norm"))))
+    return met.where(9 * both >= 4 * (F.col("u_n") + F.col("v_n"))).select("u", "v")
 
 
 def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:
@@ -148,9 +138,9 @@ def similar_lines(texts: DataFrame, signed: DataFrame) -> DataFrame:
     looked for as linking.linked does."""
 
     def describe(wanted: DataFrame) -> DataFrame:
-        return described(texts.join(broadcast_if_small(wanted, 1_000_000), "id").select("id", "norm").distinct())
+        return described(among(texts, "id", wanted).select("id", "norm").distinct())
 
-    return linked(signed.select("id", F.explode("keys").alias("key")), describe, alike_lines, _may_link)
+    return linked(signed.select("id", F.explode("keys").alias("key")), describe, alike_lines, _may_link, _marked)
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,8 +23,12 @@ CROWDED, PIVOTS = 32, 16
 
 #: Hashes of the shingles of several texts (repeats allowed), and the place of each one's text.
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Up to so many values to look for are broadcast as they are; of more a bitmap is, SPARSE to 2 * SPARSE bits for each value, PAGE of them in a row.
+LOOKED_FOR, SPARSE, PAGE = 1_000_000, 16, 1 << 15
 #: Whether two items may be alike, by columns with two prefixes.
 Near = Callable[[str, str], Column]
+#: Items with their marks.
+Mark = Callable[[DataFrame], DataFrame]
 #: Rows and bytes of text that are worked on at a time in NumPy.
 _ROWS_AT_ONCE, _BYTES_AT_ONCE = 2_048, 1 << 18
 
@@ -103,9 +107,11 @@ def _near(a: str, b: str, least: float = SIMILAR) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * least - 1e-6) & (differing * (1 + least) <= (n + m) * (1 - least) + 1e-6)
 
 
-def _hopeful(pairs: DataFrame, items: DataFrame, least: float = SIMILAR, near: Near | None = None) -> DataFrame:
-    """The different pairs (u, v), without those that their marks rule out."""
+def _hopeful(pairs: DataFrame, items: DataFrame, least: float = SIMILAR, near: Near | None = None, sift: bool = True) -> DataFrame:
+    """The different pairs (u, v); if sift is set, without those that their marks rule out."""
     met = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if not sift:
+        return stage(met)
     for i in "uv":
         met = met.join(items.select(F.col("id").alias(i), F.col("marks").alias(f"{i}_marks"), F.col("n").alias(f"{i}_n")), i)
     return stage(met.where(near("u_", "v_") if near else _near("u_", "v_", least)).select("u", "v"))
@@ -117,6 +123,26 @@ def rooted(members: DataFrame, tied: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "id"))
 
 
+def _thinned(rows: DataFrame, column: str, wanted: DataFrame, values: int) -> DataFrame:
+    """rows without most of those whose column (long) holds none of the `values` values of wanted: a bitmap is broadcast."""
+    bits = 1 << max(15, (SPARSE * values - 1).bit_length())
+    at = lambda d: F.pmod(F.xxhash64(d[column]), F.lit(bits))
+    pages = wanted.select(at(wanted).alias("at")).select(F.floor(F.col("at") / PAGE).alias("_page"), F.pmod("at", F.lit(PAGE)).alias("at"))
+    pages = stage(pages.repartition("_page").groupBy("_page").agg(F.bitmap_construct_agg("at").alias("_bits")))
+    bit = F.pmod("_at", F.lit(PAGE)).cast("int")
+    byte = F.ascii(F.decode(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    met = rows.withColumn("_at", at(rows)).withColumn("_page", F.floor(F.col("_at") / PAGE)).join(F.broadcast(pages), "_page")
+    return met.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*rows.columns)
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows joined with the staged table wanted by column (long). Rows that meet none are mostly gone before any are shuffled."""
+    values = wanted.count()
+    if values <= LOOKED_FOR:
+        return rows.join(F.broadcast(wanted), column)
+    return _thinned(rows, column, wanted, values).join(wanted, column)
+
+
 def _merged(tied: DataFrame, links: DataFrame) -> DataFrame:
     """tied with the components that links (u, v) join made one."""
     if not links.limit(1).count():
@@ -147,27 +173,31 @@ def _more_pivots(buckets: DataFrame) -> DataFrame:
     return crowded.join(broadcast_if_small(pivots), "key").where("root <> v_root").select(F.col("id").alias("u"), "v")
 
 
-def _open_pairs(buckets: DataFrame, items: DataFrame, near: Near = _near) -> DataFrame:
+def _open_pairs(buckets: DataFrame, items: DataFrame, near: Near = _near, mark: Mark | None = None) -> DataFrame:
     """u, v: items of one bucket and different components that may be alike. Items outside
     the bucket's main component meet all others; in crowded buckets marks are compared
     before a pair is made."""
     small, crowded = buckets.where(F.col("size") <= CROWDED), buckets.where(F.col("size") > CROWDED)
     few = small.join(small.where("root <> main").select("key", F.col("id").alias("v"), F.col("root").alias("v_root")), "key")
-    marked = stage(crowded.join(items.select("id", "marks", "n"), "id"))
-    stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n")])
-    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & near("", "s_"))
-    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), items, near=near).unionByName(
-        stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v")).distinct()))
+    own = crowded.groupBy("id").agg(F.collect_set("key").alias("keys")).join(items, "id")
+    marked = stage(crowded.join((mark(own) if mark else own).select("id", "keys", "marks", "n"), "id"))
+    stray = marked.where("root <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("id", "root", "marks", "n", "keys")])
+    # two items meet in the least of their buckets only, and two strays once
+    once = ((F.col("root") == F.col("main")) | (F.col("id") < F.col("s_id"))) & (F.array_min(F.array_intersect("keys", "s_keys")) == F.col("key"))
+    many = marked.join(stray, "key").where((F.col("root") != F.col("s_root")) & once & near("", "s_"))
+    return _hopeful(few.where("root <> v_root").select(F.col("id").alias("u"), "v"), items, near=near, sift=not mark).unionByName(
+        stage(many.select(F.least("id", "s_id").alias("u"), F.greatest("id", "s_id").alias("v"))))
 
 
 def linked(bands: DataFrame, describe: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame, DataFrame], DataFrame],
-           near: Near = _near) -> DataFrame:
+           near: Near = _near, mark: Mark | None = None) -> DataFrame:
     """node, root: components of the items that are linked and share a bucket.
 
     bands: id, key (both long; repeats allowed). describe gives, for the ids of buckets
     with several items, what is compared: id, n, marks and whatever alike needs. alike
     keeps the pairs (u, v) that are links. near tells by the marks of two items, whose columns
-    start with the two prefixes, whether they may be alike.
+    start with the two prefixes, whether they may be alike. mark adds marks to described
+    items that have none, only for the strays of crowded buckets and what they meet; other pairs then go to alike at once.
 
     In each bucket all items meet one of them, the pivot, another in each bucket. In
     crowded buckets that this leaves with several components, items meet a few pivots
@@ -179,9 +209,9 @@ def linked(bands: DataFrame, describe: Callable[[DataFrame], DataFrame], alike:
         turned = F.col("id").bitwiseXOR(F.col("key"))
         shared = bands.groupBy("key").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi")
         shared = stage(shared.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("pivot")))
-        members = stage(bands.join(broadcast_if_small(shared, 1_000_000), "key").select("key", "id", "pivot").distinct())
+        members = stage(among(bands, "key", shared).select("key", "id", "pivot").distinct())
         items = stage(describe(stage(members.select("id").distinct())))
         star = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-        tied = stage(components(alike(_hopeful(star, items, near=near), items)))
-        tied = _merged(tied, stage(alike(_hopeful(_more_pivots(_buckets(members, tied)), items, near=near), items)))
-        return keep(_merged(tied, stage(alike(_open_pairs(_buckets(members, tied), items, near), items))))
+        tied = stage(components(alike(_hopeful(star, items, near=near, sift=not mark), items)))
+        tied = _merged(tied, stage(alike(_hopeful(_more_pivots(_buckets(members, tied)), items, near=near, sift=not mark), items)))
+        return keep(_merged(tied, stage(alike(_open_pairs(_buckets(members, tied), items, near, mark), items))))

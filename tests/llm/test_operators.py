@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lagwise.llm import common, decontaminate, fuzzy_lines, linkrank, media, mixing, ordinal, simhash, token_counts, toxicity, warc
+from lagwise.llm import common, decontaminate, fuzzy_lines, linking, linkrank, media, mixing, ordinal, simhash, token_counts, toxicity, warc
 
 LONG = "lorem ipsum dolor " * 30_000
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (None, "two words"), (6, None), (7, LONG), (4, "one"), (8, "éè \U0001f600 x"), (9, "a\x0bb\x85c d")]
@@ -374,6 +374,34 @@ def test_crowded_bucket_of_strays(spark):
     assert len({(got[x], r) for x, r in zip(lines, root, strict=True)}) == len(set(root)) == len(set(got.values())) < len(lines) - 10
 
 
+def test_near_copies_that_are_not_alike(spark, monkeypatch):
+    """Of edited copies of one line that aren't alike few pairs are compared whole; the alike ones are found."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    base = [word() for _ in range(60)]
+    lines = [" ".join(w if rng.random() > 0.12 else word() for w in base) for _ in range(400)]
+    lines += [x + " y" for x in lines[:10]]
+    sets = [shingle_set(x) for x in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if alike(sets[a], sets[b])]
+    met, compare = [], fuzzy_lines.alike_lines
+    monkeypatch.setattr(fuzzy_lines, "alike_lines", lambda pairs, items: met.append(pairs.count()) or compare(pairs, items))
+    got = linked_lines(spark, lines)
+    assert sum(got[lines[a]] == got[lines[b]] for a, b in links) == len(links) >= 10
+    assert len(set(got.values())) == len(set(components_of(len(lines), links)))
+    assert met[2] < 25 * len(lines)  # strays of crowded buckets, which met in 70,145 pairs when marks told less
+
+
+def test_wanted_values_by_bitmap(spark, monkeypatch):
+    """A bitmap loses none of the values looked for, and what it leaves over the join drops."""
+    wanted = common.stage(spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("key")))
+    rows = spark.range(90_000).select(F.xxhash64("id").alias("key"), "id")
+    thin = linking._thinned(rows, "key", wanted, 10_000)
+    of = F.col("id") % 3 == 0
+    assert thin.where(of & (F.col("id") < 30_000)).count() == 10_000 and 10_000 <= thin.count() < 20_000
+    monkeypatch.setattr(linking, "LOOKED_FOR", 9_999)
+    assert sorted(r.id for r in linking.among(rows, "key", wanted).collect()) == list(range(0, 30_000, 3))
+
+
 def test_lines_run_no_python(spark, monkeypatch):
     """DataFrame operations only, on similar lines, crowded buckets and uniform lines of any length."""
     from pyspark.sql import DataFrame
